@@ -293,8 +293,13 @@ def remove_repeats(docs: DataFrame, window: int = 400, shard_bytes: int = 2 << 2
     ranges = max(1, -(-wide.count() // range_windows))
     merged = wide.groupBy(F.pmod(F.shiftright("hash", 8), F.lit(ranges)).alias("range")).applyInArrow(lambda t: _merge(t.drop_columns(["range"]) if "range" in t.column_names else t), "anchor long, ctx long, a long, b long")
     verdicts = judged.where("hash IS NULL").select("anchor", "ctx", "a", "b").union(merged).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # contexts with over a thousandth of all rows, a thousand at most, are salted on both sides
+    salts = 64
+    hot = F.broadcast(folded.where(F.col("m") > max(salts, found.count() // 1000)).select("anchor", "ctx", F.lit(True).alias("salted")))
+    found = found.join(hot, ["anchor", "ctx"], "left").withColumn("salt", F.when(F.col("salted"), F.pmod(F.xxhash64("doc_id", "k", "low"), F.lit(salts))).otherwise(0))
+    verdicts = verdicts.join(hot, ["anchor", "ctx"], "left").withColumn("salt", F.explode(F.when(F.col("salted"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("salted")
     spans = (
-        found.join(verdicts, ["anchor", "ctx"]).select("doc_id", "k", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("low")).alias("a"), (s["b"] + F.col("low")).alias("b")))).alias("s"))
+        found.join(verdicts, ["anchor", "ctx", "salt"]).select("doc_id", "k", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("low")).alias("a"), (s["b"] + F.col("low")).alias("b")))).alias("s"))
         .groupBy("doc_id", "k").agg(F.collect_set("s").alias("spans"))
     )
     kept = both(packed, spans, "left").select(packed.doc_id, "z", "spans").mapInArrow(lambda b: _kept_batches(b, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
