@@ -11,7 +11,7 @@ Words are split at ASCII white space, A-Z lower-cased. The benchmark is a stated
 bounded size, one pass over the documents for each block, without a shuffle.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than five words is one shingle, the whole
-sequence; a document shorter than an item is compared whole; of equally similar windows the first is named; repeated
+sequence, and is met in a longer document by the shingles of its own length; a document shorter than an item is compared whole; of equally similar windows the first is named; repeated
 documents or items give a row each; an empty table on either side gives no rows; columns besides doc_id, text and item_id,
 text are not read."""
 
@@ -70,8 +70,11 @@ class Index:
         for i in np.flatnonzero(n):
             by.setdefault(int(n[i]), []).append(int(i))
         self.items = {}
+        #: sizes by the width of their shingles: the full width, or less for shorter items
+        self.widths: dict[int, list[int]] = {}
         for size, mine in sorted(by.items()):
             bits = np.stack([bits_of(words[first[i] : first[i + 1]]).sum(0, dtype=np.int32) for i in mine])
+            self.widths.setdefault(min(size, width), []).append(size)
             self.items[size] = ([ids[i] for i in mine], simhash(bits, np.full(len(mine), size)), [Counter(sh[begin[i] : begin[i + 1]].tolist()) for i in mine])
 
     def candidates(self, fps: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,21 +98,21 @@ class Index:
         near = distance <= self.radius
         return window[near], item[near], distance[near]
 
-    def search(self, words: np.ndarray, sh: np.ndarray, shared: np.ndarray, least: float) -> dict:
-        """{(size, item): [similarity, start, words, distance, windows]} of one text's windows."""
+    def search(self, words: np.ndarray, sh: np.ndarray, shared: np.ndarray, least: float, width: int) -> dict:
+        """{(size, item): [similarity, start, words, distance, windows]} of one text's windows, for items of that shingle width."""
         n = len(words)
         # bits are summed from the first to the last window that can hold a shared shingle
         seen = np.flatnonzero(shared)
-        most = max(self.items)
-        low, high = max(0, int(seen[0]) - most), min(n, int(seen[-1]) + self.width + most)
+        most = max(self.widths[width])
+        low, high = max(0, int(seen[0]) - most), min(n, int(seen[-1]) + width + most)
         total = np.zeros((high - low + 1, 64), np.int32)
         np.cumsum(bits_of(words[low:high]), axis=0, dtype=np.int32, out=total[1:])
         upto = np.concatenate([[0], np.cumsum(shared)])
         found: dict = {}
-        for size in self.items:
+        for size in self.widths[width]:
             start = np.arange(low, max(low, min(high - size, n - size)) + 1) if size < n else np.zeros(1, np.int64)
             stop = np.minimum(start + size, n)
-            last = np.maximum(stop - self.width, start) + 1  # shingles start..last lie in the window
+            last = np.maximum(stop - width, start) + 1  # shingles start..last lie in the window
             start = start[(stop <= high) & (upto[np.minimum(last, len(sh))] > upto[np.minimum(start, len(sh))])]
             if not len(start):
                 continue
@@ -117,7 +120,7 @@ class Index:
             fps = simhash(total[stop - low] - total[start - low], stop - start)
             for w, i, d in zip(*self.candidates(fps, size)):
                 a, b = int(start[w]), int(stop[w])
-                ours = Counter(sh[a : max(b - self.width, a) + 1].tolist())
+                ours = Counter(sh[a : max(b - width, a) + 1].tolist())
                 theirs = self.items[size][2][i]
                 both = sum((ours & theirs).values())
                 similarity = both / (ours.total() + theirs.total() - both)
@@ -134,17 +137,16 @@ def _search_batches(batches: Iterator[pa.RecordBatch], index: Index, least: floa
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     for batch in tx.pieces(batches):
         words, first = word_hashes(*tx.utf8(batch.column(1)))
-        sh, begin = shingles(words, first, index.width)
-        if not len(sh):
-            continue
-        at = np.searchsorted(index.known, sh)
-        shared = index.known[np.minimum(at, len(index.known) - 1)] == sh
         rows = []
-        for k in np.flatnonzero(tx.sums(shared.astype(np.int64), begin)):
-            doc_id = batch.column(0)[int(k)].as_py()
-            s = slice(begin[k], begin[k + 1])
-            for (size, i), found in index.search(words[first[k] : first[k + 1]], sh[s], shared[s], least).items():
-                rows.append((doc_id, index.items[size][0][i], *found))
+        for width in index.widths if len(words) else ():
+            sh, begin = shingles(words, first, width)
+            at = np.searchsorted(index.known, sh)
+            shared = index.known[np.minimum(at, len(index.known) - 1)] == sh
+            for k in np.flatnonzero(tx.sums(shared.astype(np.int64), begin)):
+                doc_id = batch.column(0)[int(k)].as_py()
+                s = slice(begin[k], begin[k + 1])
+                for (size, i), found in index.search(words[first[k] : first[k + 1]], sh[s], shared[s], least, width).items():
+                    rows.append((doc_id, index.items[size][0][i], *found))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
