@@ -47,9 +47,52 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return robots.select("host", F.explode(F.regexp_extract_all("body", F.lit(r"(?im)^sitemap:\s*(\S+)"), F.lit(1))).alias("sitemap"))
 
 
+def _locations(sitemaps: DataFrame, of_index: bool) -> DataFrame:
+    kind = F.coalesce(F.col("body").rlike("(?is)<sitemapindex[\\s>]"), F.lit(False))
+    found = sitemaps.where(kind if of_index else ~kind).select("sitemap", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url"))
+    return found.withColumn("url", F.regexp_replace(F.regexp_replace("url", "&amp;", "&"), "^([a-zA-Z]+://[^/?#]+)$", "$1/"))
+
+
+def sitemap_children(sitemaps: DataFrame) -> DataFrame:
+    """(sitemap, url) of the further sitemaps that index files among sitemaps(sitemap, body) name."""
+    return _locations(sitemaps, True)
+
+
 def sitemap_urls(sitemaps: DataFrame, most: int = 20000) -> DataFrame:
-    """(sitemap, url) of sitemaps(sitemap, body), index files naming further ones; at most `most` URLs, as a feature."""
-    return sitemaps.select("sitemap", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url")).limit(most)
+    """(sitemap, url) of the page lists among sitemaps(sitemap, body); an empty path is /; at most `most` URLs, as a feature."""
+    return _locations(sitemaps, False).limit(most)
+
+
+def sitemaps_of(hosts: DataFrame, robots: DataFrame, rules: DataFrame, ignore_robots: bool = False) -> DataFrame:
+    """(host, sitemap, sitemap_blocked) of hosts(host, scheme): those that robots(host, body) names, else /sitemap.xml.
+
+    Blocked ones are left out unless robots are ignored."""
+    named = robots_sitemaps(robots)
+    usual = hosts.join(named.select("host").distinct(), "host", "left_anti").select("host", F.concat("scheme", F.lit("://"), "host", F.lit("/sitemap.xml")).alias("sitemap"))
+    asked = blocked(named.unionByName(usual).withColumnRenamed("sitemap", "url"), rules)
+    asked = asked.select("host", F.col("url").alias("sitemap"), F.col("robotstxt_blocked").alias("sitemap_blocked"))
+    return asked if ignore_robots else asked.where("NOT sitemap_blocked")
+
+
+def expand_links(pages: DataFrame, follow_nofollow: bool = False) -> DataFrame:
+    """(crawl_id, source, url, kind, ignore_domain) of everything that page records lead to, in one explode.
+
+    Links are followed unless the page or the link says nofollow; `indirect` URLs and `resource` URLs always are, and
+    resources on any host."""
+    follow = lambda x: F.lit(True) if follow_nofollow else ~x["nofollow"] & ~F.col("nofollow")
+    as_kind = lambda urls_of, kind: F.transform(urls_of, lambda u: F.struct(u.alias("url"), F.lit(kind).alias("kind")))
+    of = lambda column: F.transform(column, lambda x: x["url"])
+    links = F.concat(*[F.transform(F.filter(c, follow), lambda x: x["url"]) for c in ("links", "external_links")])
+    indirect = F.concat(of("hreflangs"), "iframes", F.array("redirect_url", "canonical"))
+    resources = F.concat("scripts", "styles", "audios", of("images"), of("videos"), F.transform("videos", lambda x: x["poster"]))
+    everything = F.concat(as_kind(links, "link"), as_kind(indirect, "indirect"), as_kind(resources, "resource"))
+    rows = pages.select("crawl_id", F.col("url").alias("source"), F.explode(everything).alias("x")).select("crawl_id", "source", "x.url", "x.kind")
+    return rows.where("url IS NOT NULL AND url <> ''").withColumn("ignore_domain", F.col("kind") == "resource")
+
+
+def blocked_rows(urls_of: DataFrame) -> DataFrame:
+    """Page rows of URLs(crawl_id, url) that robots.txt keeps out: nothing but the URL is known, and no page rule runs on them."""
+    return urls_of.select("crawl_id", "url", urls.scheme(F.col("url")).alias("scheme"), F.lit(0).alias("status_code"), F.lit(True).alias("robotstxt_blocked"), F.lit(False).alias("crawled"))
 
 
 def reach(seeds: DataFrame, links: DataFrame, main: str, subdomains: bool = False, limit: int = 20000, levels: int = 100) -> DataFrame:
