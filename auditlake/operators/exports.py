@@ -12,7 +12,7 @@ def page_reports(pages: DataFrame) -> DataFrame:
     """Lengths count characters, the size is shown in KB of 1024 bytes, ties to even."""
     return pages.select(
         F.col("status_code").alias("Status Code"), F.col("url").alias("URL"), F.col("title").alias("Title"), F.char_length("title").alias("Title Length"), F.col("description").alias("Description"), F.char_length("description").alias("Description Length"),
-        F.col("lang").alias("Language"), F.col("h1").alias("H1"), F.col("words").alias("Nº of words"), F.col("media_type").alias("Media Type"), F.col("robots").alias("Robots"), F.col("canonical").alias("Canonical"),
+        F.col("lang").alias("Language"), F.col("h1").alias("H1"), F.col("h2").alias("H2"), F.col("words").alias("Nº of words"), F.col("content_type").alias("Content Type"), F.col("media_type").alias("Media Type"), F.col("robots").alias("Robots"), F.col("canonical").alias("Canonical"),
         F.format_string("%.1f KB", F.bround(F.col("size") / 1024, 1)).alias("Size"), F.format_string("%d ms", "ttfb").alias("TTFB"), F.col("depth").alias("Depth"),
     )
 

@@ -86,6 +86,33 @@ def crawl_counters(pages: DataFrame, links: DataFrame) -> DataFrame:
     return p.join(own.groupBy("crawl_id").agg(F.count_if(~no).alias("internal_follow"), F.count_if(no).alias("internal_nofollow")), "crawl_id", "left").fillna(0)
 
 
+def link_counters(records: DataFrame) -> DataFrame:
+    """Per crawl, over page records: links by follow, and sponsored and user-made external links; one pass, no join."""
+    no = lambda link: link["nofollow"] | F.col("nofollow")
+    many = lambda column, of: F.coalesce(F.sum(F.size(F.filter(column, of))), F.lit(0)).alias
+    return records.groupBy("crawl_id").agg(
+        many("links", lambda x: ~no(x))("internal_follow"), many("links", no)("internal_nofollow"), many("external_links", lambda x: ~no(x))("external_follow"), many("external_links", no)("external_nofollow"),
+        many("external_links", lambda x: x["sponsored"])("sponsored"), many("external_links", lambda x: x["ugc"])("ugc"),
+    )
+
+
+def link_totals(counters: DataFrame) -> DataFrame:
+    """Sums of the follow kinds, for the chart of link types."""
+    return counters.select("crawl_id", (F.col("internal_follow") + F.col("internal_nofollow")).alias("internal"), (F.col("external_follow") + F.col("external_nofollow")).alias("external"), "sponsored", "ugc")
+
+
+def tab_page_count(tables: dict[str, DataFrame], page_id: int, tab: str) -> DataFrame:
+    """Pages of a tab; links are all counted, though the tab lists those with a target only."""
+    if tab in ("links", "external_links"):
+        return page_count(tables[tab].where(F.col("pagereport_id") == page_id))
+    one = tables["pagereports"].where(F.col("id") == page_id).select("url_hash")
+    if tab == "inlinks":
+        return page_count(tables["links"].join(one, "url_hash", "left_semi"))
+    if tab == "redirections":
+        return page_count(tables["pagereports"].join(one.select(F.col("url_hash").alias("redirect_hash")), "redirect_hash", "left_semi"))
+    raise ValueError(f"no such tab: {tab}")
+
+
 def index_timeline(crawls: DataFrame) -> DataFrame:
     return crawls.select("crawl_id", (F.col("total_urls") - F.col("noindex")).alias("index"), "noindex")
 

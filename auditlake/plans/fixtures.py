@@ -43,6 +43,8 @@ PAGE = {
     "size": f"CAST(({K} * 7919) % 1000000 AS BIGINT)",
     "words": f"CAST(({K} * 31) % 500 AS INT)",
     "h1": f"CASE WHEN {K} % 6 = 0 THEN '' ELSE 'Heading' END",
+    "h2": f"CASE WHEN {K} % 4 = 0 THEN '' ELSE 'Part' END",
+    "content_type": f"CASE {K} % 8 WHEN 0 THEN 'image/png' WHEN 1 THEN '' WHEN 2 THEN 'text/javascript' ELSE 'text/html; charset=utf-8' END",
     "body_hash": f"CASE WHEN {K} % 8 < 3 THEN '' ELSE concat('h', CAST({K} % 4000 AS STRING)) END",
 }
 LINK_COUNT = f"CASE WHEN {K} % 31 = 0 THEN 0 WHEN {K} % 37 = 0 THEN 120 ELSE {K} % 5 END"

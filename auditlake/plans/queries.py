@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import urls
 from auditlake.issue_types import ROWS, issue_types
-from auditlake.operators import archive, exports, graph_rules, page_rules, reports
+from auditlake.operators import archive, crawl, exports, graph_rules, lifecycle, page_rules, reports
 from auditlake.plans import fixtures as fx
 from auditlake.plans import rule_sql
 from auditlake.sources import html
@@ -72,6 +72,20 @@ SELECT crawl_id, count(*) AS total_urls, count(*) FILTER (noindex) AS noindex, c
 register("agg_crawl_counters", lambda s, d: reports.crawl_counters(pages(s, d), fx.links(s, d)), COUNTERS)
 register("agg_index_timeline", lambda s, d: reports.index_timeline(reports.crawl_counters(pages(s, d), fx.links(s, d))), f"{P} SELECT crawl_id, count(*) FILTER (NOT noindex) AS \"index\", count(*) FILTER (noindex) AS noindex FROM pagereports GROUP BY crawl_id")
 
+_blank = lambda df: df.selectExpr("*", *[f"CAST(array() AS array<{t}>) AS {c}" for c, t in (("scripts", "string"), ("styles", "string"), ("audios", "string"), ("iframes", "string"), ("videos", "struct<url:string,poster:string>"))])
+COUNT_LINKS = f"""{P}, l AS (SELECT p.crawl_id, CAST(i = 3 OR nofollow AS INT) AS no, 0 AS ext FROM pagereports p, range(1, 121) r(i) WHERE i <= n_links UNION ALL SELECT crawl_id, CAST(external_nofollow OR nofollow AS INT), 1 FROM pagereports p, range(1, 3) r(i) WHERE i <= n_external)
+SELECT crawl_id, count(*) FILTER (ext = 0 AND no = 0) AS internal_follow, count(*) FILTER (ext = 0 AND no = 1) AS internal_nofollow, count(*) FILTER (ext = 1 AND no = 0) AS external_follow, count(*) FILTER (ext = 1 AND no = 1) AS external_nofollow FROM l GROUP BY crawl_id"""
+_marked = lambda s, d: fx.page_records(s, d).withColumn("external_links", F.transform("external_links", lambda x: x.withField("sponsored", F.lit(False)).withField("ugc", F.lit(False))))
+register("agg_link_counters", lambda s, d: reports.link_counters(_marked(s, d)).drop("sponsored", "ugc"), COUNT_LINKS)
+register("agg_link_totals", lambda s, d: reports.link_totals(reports.link_counters(_marked(s, d))).drop("sponsored", "ugc"), f"SELECT crawl_id, internal_follow + internal_nofollow AS internal, external_follow + external_nofollow AS external FROM ({COUNT_LINKS})")
+EXPAND = f"""{P}, one AS (SELECT 'link' AS kind, i FROM pagereports, range(1, 121) r(i) WHERE i <= n_links AND i <> 3 AND NOT nofollow UNION ALL SELECT 'link', i FROM pagereports, range(1, 3) r(i) WHERE i <= n_external AND NOT external_nofollow AND NOT nofollow
+UNION ALL SELECT 'resource', i FROM pagereports, range(1, 3) r(i) WHERE i <= n_images UNION ALL SELECT 'indirect', i FROM pagereports, range(0, 4) r(i) WHERE (i = 0 AND redirect_url <> '') OR (i = 1 AND canonical <> '') OR (i = 2 AND hreflang_kind < 3) OR (i = 3 AND hreflang_kind = 0))
+SELECT kind, kind = 'resource' AS ignore_domain, count(*) AS n FROM one GROUP BY 1"""
+register("crawl_expand_links", lambda s, d: crawl.expand_links(_blank(fx.page_records(s, d))).groupBy("kind", "ignore_domain").agg(F.count("*").alias("n")), EXPAND)
+register("extract_expand_links", lambda s, d: crawl.expand_links(records(s, d)))
+for _tab, _from in (("links", "links WHERE pagereport_id = 45"), ("inlinks", "links WHERE url_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)"), ("redirections", "pagereports WHERE redirect_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)")):
+    register(f"agg_tab_page_count_{_tab}", lambda s, d, t=_tab: reports.tab_page_count(fx.tables(s, d), 45, t), f"{PL} SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM {_from}")
+
 # listings and views
 
 register("view_pages_with_issue", lambda s, d: reports.page(reports.pages_with_issue(pages(s, d), issues(s, d), 12), 2, "url", "id").select("id", "url"), ISSUES_SQL + " SELECT id, url FROM pagereports WHERE id IN (SELECT pagereport_id FROM issues WHERE issue_type_id = 12) ORDER BY url, id LIMIT 25 OFFSET 25")
@@ -87,11 +101,13 @@ register("view_sitemap", lambda s, d: reports.sitemap_pages(pages(s, d)), f"{P}
 # orders stand for crawls of customers
 crawls = lambda s, d: s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS id", "o_custkey AS project_id", "o_orderdate AS start", "IF(o_orderkey % 3 = 0, NULL, o_orderdate) AS end", "IF(o_orderkey % 5 = 0, NULL, o_orderdate) AS issues_end")
 register("view_last_crawl", lambda s, d: reports.last_crawl(crawls(s, d)).select("project_id", "id", "crawling"), "SELECT o_custkey AS project_id, o_orderkey AS id, o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AS crawling FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+register("crawls_unfinished", lambda s, d: lifecycle.unfinished(crawls(s, d)), "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0")
+register("crawls_superseded", lambda s, d: lifecycle.superseded(crawls(s, d)), "SELECT o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 1")
 register("view_last_crawls", lambda s, d: reports.last_crawls(crawls(s, d)).select("id", "project_id"), "SELECT o_orderkey AS id, o_custkey AS project_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
 
 # exports
 
-register("export_page_reports", lambda s, d: exports.page_reports(pages(s, d)).select("URL", "Title Length", "Description Length", "Size", "TTFB", "Depth"), f"""{P} SELECT url AS "URL", CAST(length(title) AS INT) AS "Title Length", CAST(length(description) AS INT) AS "Description Length", printf('%.1f KB', size / 1024) AS "Size", printf('%d ms', ttfb) AS "TTFB", depth AS "Depth" FROM pagereports""")
+register("export_page_reports", lambda s, d: exports.page_reports(pages(s, d)), f"""{P} SELECT status_code AS "Status Code", url AS "URL", title AS "Title", CAST(length(title) AS INT) AS "Title Length", description AS "Description", CAST(length(description) AS INT) AS "Description Length", lang AS "Language", h1 AS "H1", h2 AS "H2", words AS "Nº of words", content_type AS "Content Type", media_type AS "Media Type", robots AS "Robots", canonical AS "Canonical", printf('%.1f KB', size / 1024) AS "Size", printf('%d ms', ttfb) AS "TTFB", depth AS "Depth" FROM pagereports""")
 register("export_links", lambda s, d: exports.resource("internal", fx.links(s, d), pages(s, d)), f"""{PL} SELECT p.url AS "Origin", l.url AS "Destination", l.text AS "Text" FROM links l LEFT JOIN pagereports p ON p.id = l.pagereport_id AND p.crawl_id = l.crawl_id""")
 register("export_images", lambda s, d: exports.resource("images", images(s, d), pages(s, d)), f"""{P} SELECT url AS "Origin", 'i.png' AS "Image URL", repeat('a', alt_length) AS "Alt" FROM pagereports, range(1, 3) r(i) WHERE i <= n_images""")
 register("export_hreflangs", lambda s, d: exports.resource("hreflangs", fx.hreflangs(s, d), pages(s, d)), f"""{fx.duck('pagereports', 'hreflangs')} SELECT p.url AS "Origin", from_lang AS "Origin Language", to_url AS "Hreflang", to_lang AS "Hreflang Language" FROM hreflangs h LEFT JOIN pagereports p ON p.id = h.pagereport_id AND p.crawl_id = h.crawl_id""")
@@ -107,6 +123,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 records = lambda s, d: html.page_records(responses(s, d)).withColumn("id", F.xxhash64("crawl_id", "url"))
+for _t in ("pagereports", *lifecycle.CHILDREN):
+    register(f"table_{_t}", lambda s, d, t=_t: lifecycle.page_table(records(s, d)) if t == "pagereports" else lifecycle.child_table(records(s, d), t))
 TITLE = r"trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
 register("extract_title", lambda s, d: records(s, d).select("url", "title", "lang", "body_hash", "size", "scheme"), rf"SELECT url, replace(replace(replace({TITLE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, '<html lang=.([^>]*).>', 1) AS lang, sha256(html) AS body_hash, CAST(strlen(html) AS BIGINT) AS size, regexp_extract(url, '^([a-z]+):', 1) AS scheme FROM pages")
 register("extract_links", lambda s, d: records(s, d).select("url", F.explode("links").alias("l")).groupBy("url").agg(F.count("*").alias("n")), "SELECT url, n FROM (SELECT url, len(regexp_extract_all(html, '<a href=')) AS n FROM pages) WHERE n > 0")
