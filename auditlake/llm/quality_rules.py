@@ -128,8 +128,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return tx.only(docs, "text", "lang").mapInArrow(lambda b: _count_batches(b), "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, g, logp): log2 of the interpolated modified Kneser-Ney probability of a gram's last byte after the others."""
+def by_language(counts: DataFrame, most_bytes: int = 8 << 20):
+    """What to do with a table of one row per language before a join: broadcast it where all languages' rows are within
+    `most_bytes` (a large language would else be one hot key), or leave it to a shuffle."""
+    n, names = counts.select("lang").distinct().agg(F.count("*"), F.sum(F.octet_length("lang"))).first()
+    return F.broadcast if 64 * n + (names or 0) <= most_bytes else lambda df: df
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER, few=lambda df: df) -> DataFrame:
+    """(lang, g, logp): log2 of the interpolated modified Kneser-Ney probability of a gram's last byte after the others.
+
+    few: of by_language()."""
     tables = {order: counts}
     for k in range(order - 1, 0, -1):  # continuation counts: how many longer grams end so
         tables[k] = tables[k + 1].groupBy("lang", F.col("g").bitwiseAND((1 << 8 * k) - 1).alias("g")).agg(F.count("*").alias("n"))
@@ -143,7 +152,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         discount = [F.greatest(F.lit(0.05), F.least(F.lit(float(i) - 0.05), F.coalesce(F.try_divide((i + 1) * y * F.col(f"m{i + 1}"), F.col(f"m{i}")), F.lit(0.5 * i)).cast("double") * -1 + i)).alias(f"d{i}") for i in (1, 2, 3)]
         seen = seen.select("lang", *discount)
         ctx = t.groupBy("lang", "c").agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i if i < 3 else F.col("n") >= 3).alias(f"k{i}") for i in (1, 2, 3)])
-        ctx = ctx.join(seen, "lang")
+        ctx = ctx.join(few(seen), "lang")
         ctx = ctx.withColumn("back", (F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3")) / F.col("total"))
         t = t.join(ctx, ["lang", "c"])
         own = (F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
@@ -199,7 +208,7 @@ def score(docs: DataFrame, model: DataFrame, most_broadcast: int = 6_000_000) ->
     return wide.drop("gs", "ns").join(summed, "row", "left").drop("row").withColumn("log2p", F.coalesce("log2p", F.lit(0.0)))
 
 
-def bands(scored: DataFrame, spread: float, margin: float) -> DataFrame:
+def bands(scored: DataFrame, spread: float, margin: float, few=lambda df: df) -> DataFrame:
     """(lang, low, high) from histograms of bits per byte in steps of 0.005: exact medians over all documents, tiny shuffles."""
     from pyspark.sql import Window
 
@@ -211,7 +220,7 @@ def bands(scored: DataFrame, spread: float, margin: float) -> DataFrame:
 
     good = scored.where(~F.col("base_failed") & (F.col("n_bytes") > 0)).select("lang", F.col("bits").alias("v"))
     mid = median(good, "mid")
-    off = median(good.join(mid, "lang").select("lang", F.abs(F.col("v") - F.col("mid")).alias("v")), "off")
+    off = median(good.join(few(mid), "lang").select("lang", F.abs(F.col("v") - F.col("mid")).alias("v")), "off")
     half = F.greatest(1.4826 * spread * F.col("off"), F.lit(margin))
     return mid.join(off, "lang").select("lang", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
 
@@ -219,14 +228,15 @@ def bands(scored: DataFrame, spread: float, margin: float) -> DataFrame:
 def quality_rules(docs: DataFrame, spread: float = 5.0, margin: float = 0.2, most_broadcast: int = 6_000_000) -> DataFrame:
     """One row per document: the base counts, base_failed, perplexity (per byte), its language's band, and kept."""
     counts = tx.written(count_grams(docs), "kn-counts")
-    model = tx.written(kneser_ney(counts), "kn-model")
+    few = by_language(counts)
+    model = tx.written(kneser_ney(counts, few=few), "kn-model")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     bits = F.when(F.col("n_bytes") > 0, -F.col("log2p") / F.col("n_bytes"))
     scored = tx.written(score(docs, model, most_broadcast).withColumn("base_failed", failed).withColumn("bits", bits), "kn-scored")
     wider = F.sqrt(F.lit(1.0) + 200.0 / F.greatest(F.col("n_bytes"), F.lit(1)))
     mid, half = (F.col("low") + F.col("high")) / 2, (F.col("high") - F.col("low")) / 2 * wider
     kept = ~F.col("base_failed") & F.coalesce(F.abs(F.col("bits") - mid) <= half, F.lit(False))
-    return scored.join(bands(scored, spread, margin), "lang", "left").select(
+    return scored.join(few(bands(scored, spread, margin, few)), "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), mid - half).alias("least"), F.pow(F.lit(2.0), mid + half).alias("most")
     )
 
