@@ -1,12 +1,14 @@
 """HTTP source: URLs to response rows, fetched in the tasks.
 
 A request follows no redirect, ends after `timeout` seconds, and reads at most 10 MiB of a body. Credentials go only to the
-hosts that they are for. A transport error is a row with timeout set, status 0 and no body."""
+hosts that they are for. A transport error is a row with timeout set, status 0 and no body. GETs run in `consumers` tasks, each
+waiting a random time of up to `delay` seconds before a request."""
 
 from __future__ import annotations
 
 import base64
 import http.client
+import random
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +29,8 @@ class Client:
     user: str = ""
     password: str = ""
     auth_hosts: tuple[str, ...] = ()
+    delay: float = 1.5
+    consumers: int = 2
 
     def ask(self, method: str, url: str) -> dict:
         """status_code, headers, body, content_length, ttfb in whole milliseconds (rounded up) and timeout of one request."""
@@ -66,12 +70,13 @@ def fetch(asked: DataFrame, client: Client = Client()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():  # a body can be large, so each goes on alone
+                time.sleep(random.uniform(0, client.delay))
                 got = client.ask("GET", row["url"])
                 got["body"] = got["body"].decode("utf-8", "replace") if got["body"] is not None else None
                 got["headers"] = list(got["headers"].items())
                 yield pa.RecordBatch.from_pylist([row | got | {"robotstxt_blocked": False}], schema)
 
-    return asked.select("crawl_id", "url", "depth", "in_sitemap").mapInArrow(run, RESPONSE)
+    return asked.select("crawl_id", "url", "depth", "in_sitemap").repartition(client.consumers).mapInArrow(run, RESPONSE)
 
 
 def statuses(urls: DataFrame, client: Client = Client()) -> DataFrame:

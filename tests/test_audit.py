@@ -72,7 +72,7 @@ def test_client(site):
 def test_audit(spark, site, tmp_path):
     root, asked = site
     asked.clear()
-    run = Audit(spark, str(tmp_path), f"{root}/", 7, options=Options(crawl_sitemap=True, check_external=True))
+    run = Audit(spark, str(tmp_path), f"{root}/", 7, fetch.Client(delay=0), Options(crawl_sitemap=True, check_external=True))
     pages = {r.url.removeprefix(root): r for r in run.run().collect()}
     assert {k: (r.depth, r.status_code) for k, r in pages.items() if not r.robotstxt_blocked} == {"/": (0, 200), "/a": (1, 200), "/i.png": (1, 404), "/moved": (2, 302), "/c": (3, 200), "/map-only": (0, 200), "/below": (-1, 200)}
     assert [k for k, r in pages.items() if r.robotstxt_blocked] == ["/private/x"] and pages["/private/x"].crawled is False
