@@ -240,10 +240,3 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, tile: int
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(tx.table(spark, sf_dir, "documents"))
-
-
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the least doc_id stays, once; a null doc_id has no group and stays."""
-    stays = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

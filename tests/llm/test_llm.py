@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from auditlake.llm import decontaminate, langid, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_counts, tokens, warc
+from auditlake.llm import decontaminate, langid, near_copies, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_counts, tokens, warc
 from auditlake.llm import text as tx
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +65,26 @@ def test_simhash(spark, tile):
     assert got == classes(data)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_copies(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    data = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    sets = []
+    for _, t in data:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    low = {}
+    for s, (i, _) in zip(sets, data):
+        low[s] = min(i, low.get(s, i))
+    links = [(x, y) for x in low for y in low if x is not y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)]
+    while any(low[x] > low[y] for x, y in links):
+        for x, y in links:
+            low[x] = min(low[x], low[y])
+    assert links
+    got = sorted(r.doc_id for r in near_copies.stage(spark, docs, "").select("doc_id").collect())
+    assert got == sorted(set(low.values()))
+
+
 def test_bit_sliced_counters():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 300)).astype(np.uint64)
