@@ -225,7 +225,7 @@ def bands(scored: DataFrame, spread: float, margin: float, few=lambda df: df) ->
     return mid.join(off, "lang").select("lang", (F.col("mid") - half).alias("low"), (F.col("mid") + half).alias("high"))
 
 
-def quality_rules(docs: DataFrame, spread: float = 5.0, margin: float = 0.2, most_broadcast: int = 6_000_000) -> DataFrame:
+def quality_rules(docs: DataFrame, spread: float = 2.5, margin: float = 0.05, most_broadcast: int = 6_000_000) -> DataFrame:
     """One row per document: the base counts, base_failed, perplexity (per byte), its language's band, and kept."""
     counts = tx.written(count_grams(docs), "kn-counts")
     few = by_language(counts)

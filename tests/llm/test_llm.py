@@ -137,6 +137,17 @@ def test_quality_base_and_model(spark):
     assert not any(r.kept for r in got if r.base_failed) and sum(r.kept for r in got) > 0.8 * sum(not r.base_failed for r in got)
 
 
+def test_quality_rejects_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    junk = F.col("text").rlike(r"\*\*\*|\$\$\$|###|([|][^|]*){8}")
+    clean = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    got = quality_rules.quality_rules(docs).where("NOT base_failed").select("doc_id", "kept")
+    got = got.join(docs.select("doc_id", junk.alias("junk")), "doc_id").join(labels.select("doc_id", clean.alias("clean")), "doc_id", "left").collect()
+    share = lambda of: sum(not r.kept for r in of) / len(of)
+    assert share([r for r in got if r.junk]) > 0.6 and share([r for r in got if r.clean and not r.junk]) < 0.1
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([("the cat sat on the mat and the dog sat on the log " * 3, "en"), ("abcabcabd", "en")], "text string, lang string")
     counts = quality_rules.count_grams(docs)
