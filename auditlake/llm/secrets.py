@@ -2,8 +2,9 @@
 
 Novelty finds what no pattern names. Near a word that speaks of secrets, each long enough string of secret-like characters is
 a candidate. It is compressed behind its surrounding text with a compressor primed with a dictionary of code identifiers;
-the bytes that it adds beyond the surroundings alone, per character, are its novelty. Words, identifiers and repeated names
-are found in the dictionary or the surroundings and add little; a random string adds about what it is long, and is reported.
+the bytes that it adds beyond the surroundings alone, as a share of what random strings of its length over its own character
+classes add in the same place, are its novelty. Words, identifiers and repeated names are found in the dictionary or the
+surroundings and add little; a random string adds about as much as others of its classes, and is reported.
 A candidate of lower-case letters only is a word for this purpose, and one that overlaps a pattern's span is already known.
 
 Offsets are code points, end exclusive. Defined results: a null or empty text has no spans; texts of any length are searched
@@ -13,6 +14,7 @@ gives no rows; columns besides doc_id and text are not read."""
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 SENSITIVE_WORDS = (*ASSIGN_WORDS, "pwd", "credential", "private", "bearer", "authoriz", "api-key", "access_key", "access-key", "accesskey", "auth_", "auth-", "signature", "client_id", "conn_str", "connection_string")
 SENSITIVE = re.compile("|".join(map(re.escape, sorted(SENSITIVE_WORDS, key=len, reverse=True))), re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: Character classes, narrowest first: a candidate's alphabet is the first that holds its letters and digits, and its signs.
+CLASSES = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Identifiers that source files and configurations share.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key client_id client_secret credential authorization bearer basic signature "
@@ -43,10 +47,16 @@ IDENTIFIERS = (
 )
 
 
+def alphabet(value: str) -> str:
+    """What the characters of a random string like this one are drawn from."""
+    plain = {c for c in value if c.isalnum()}
+    return next(x for x in CLASSES if plain <= set(x)) + "".join(sorted(set(value) - plain))
+
+
 class Novelty:
-    """least: novelty, in bytes a character, from which a candidate is reported."""
+    """least: share of a random string's added bytes from which a candidate is reported."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, least: float = 0.93, around: int = 1024, reach: int = 64):
+    def __init__(self, identifiers: str = IDENTIFIERS, least: float = 0.9, around: int = 1024, reach: int = 64):
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.least, self.around, self.reach = least, around, reach
@@ -56,6 +66,12 @@ class Novelty:
         alone = len(self.compressor.compress(surroundings))
         return (len(self.compressor.compress(surroundings + candidate)) - alone) / len(candidate)
 
+    def share(self, surroundings: bytes, value: str, others: int = 4) -> float:
+        """Added bytes of a candidate over the mean of random strings of its alphabet and length, the same each time."""
+        letters, rng = alphabet(value), random.Random(len(value))
+        usual = sum(self.added(surroundings, "".join(rng.choices(letters, k=len(value))).encode()) for _ in range(others)) / others
+        return self.added(surroundings, value.encode()) / usual
+
     def spans(self, text: str, known: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
         """Candidates up to `reach` characters behind a sensitive word, on its line; each is weighed once."""
         done = 0
@@ -70,7 +86,7 @@ class Novelty:
                 if (value.isalpha() and value.islower()) or any(s < m.end() and m.start() < e for s, e in taken):
                     continue
                 behind = text[max(0, m.start() - self.around) : m.start()] + text[m.end() : m.end() + self.around]
-                if self.added(behind.encode(), value.encode()) >= self.least:
+                if self.share(behind.encode(), value) >= self.least:
                     yield m.start(), m.end()
 
 

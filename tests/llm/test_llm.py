@@ -200,6 +200,32 @@ def test_secrets(spark):
     assert left.text == "[secret]\"" and left.n_chars == len(left.text)
 
 
+CODE = 'import os\nfrom client import Session\n\n\ndef connect(host, port, timeout=30):\n    """Open a session with the server."""\n    options = {"host": host, "port": port}\n    session = Session(options)\n    if not session.ready():\n        raise RuntimeError("no session")\n    return session\n\n\nprivate_value = "%s"\nother = 3\n'
+PROSE = "They walked to the river, where the boats were waiting, and spoke about the weather and the harvest. The private %s was left on the table until evening came and everyone went home."
+
+
+def novel(text):
+    return [text[s:e] for s, e, k in secrets.scan(text, secrets.Novelty()) if k == "novel"]
+
+
+@pytest.mark.parametrize("around", [CODE, PROSE])
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+@pytest.mark.parametrize("size", [24, 64, 200, 400])
+def test_novelty_recall(around, letters, size):
+    rng = np.random.default_rng(size)
+    values = ["".join(rng.choice(list(letters), size)) for _ in range(20)]
+    # lower-case hex of 32 or more has a pattern of its own
+    novelty = secrets.Novelty()
+    found = [novelty.share((around % "").encode(), v) >= novelty.least for v in values]
+    assert sum(found) >= 16
+    assert size >= 32 and letters.endswith("abcdef") or sum(novel(around % v) == [v] for v in values) >= 14
+
+
+def test_novelty_passes_over_names():
+    for name in ("get_authorization_header_value", "com.example.service.authentication.TokenProvider", "AbstractSingletonProxyFactoryBean", "xxxxxxxxxxxxxxxxxxxx", "src/main/java/org/project/Handler.java"):
+        assert not novel(CODE % name) and not novel(PROSE % name)
+
+
 def test_packing_round_trip(spark):
     data = rows(60) + EDGES
     path = tokens.vocabulary()
