@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
-Novelty finds what no pattern names. Near a word that speaks of secrets, each long enough string of secret-like characters is
-a candidate. It is compressed behind its surrounding text with a compressor primed with a dictionary of code identifiers;
+Novelty finds what no pattern names. Around a word that speaks of secrets, on either side and over line ends, each long enough
+string of secret-like characters is a candidate; so is the whole body of a PEM block of a private key. It is compressed behind its surrounding text with a compressor primed with a dictionary of code identifiers;
 the bytes that it adds beyond the surroundings alone, as a share of what random strings of its length over its own character
 classes add in the same place, are its novelty. Words, identifiers and repeated names are found in the dictionary or the
 surroundings and add little; a random string adds about as much as others of its classes, and is reported.
-A candidate of lower-case letters only is a word for this purpose, and one that overlaps a pattern's span is already known.
+A candidate that overlaps a pattern's span is already known.
 
 Offsets are code points, end exclusive. Defined results: a null or empty text has no spans; texts of any length are searched
 whole; of equal starts the kinds come in the order assign, access, hex, novel; repeated rows are scanned each; an empty table
@@ -17,6 +17,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice, takewhile
 
 import pyarrow as pa
 import zstandard
@@ -33,7 +34,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 SENSITIVE_WORDS = (*ASSIGN_WORDS, "pwd", "credential", "private", "bearer", "authoriz", "api-key", "access_key", "access-key", "accesskey", "auth_", "auth-", "signature", "client_id", "conn_str", "connection_string")
 SENSITIVE = re.compile("|".join(map(re.escape, sorted(SENSITIVE_WORDS, key=len, reverse=True))), re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: '=' only ends a candidate: in front of a value it stands for an assignment.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
+CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_.~-]")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\]*")
 #: Character classes, narrowest first: a candidate's alphabet is the first that holds its letters and digits, and its signs.
 CLASSES = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Identifiers that source files and configurations share.
@@ -46,50 +51,90 @@ IDENTIFIERS = (
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx ................ ---------------- ================ ________________ 0000000000000000"
 )
 
+#: Parts that long words of prose are made of.
+WORD_PARTS = (
+    "ational ization isation ition ution ically istic alistic logical graphical ability ibility fulness lessness ousness iveness mental ential ential uous eous ious ative itive "
+    "ingly edly ently antly ward wise ship hood ment ance ence ancy ency ture tude ology ography ometry onomy ectomy scope phone gram graph meter metric morph philia phobia "
+    "inter intra trans super hyper counter under over multi micro macro electro photo thermo hydro psycho neuro cardio gastro immuno bio geo tele auto anti contra circum "
+    "uncharacter incompre misunder disproport unconstitution revolution commun responsib represent administ industri institution national internation environment development "
+    "character hensib compreh straight forward knowledge acknowledg interest particip consider understand transform inform perform confirm constru instru struct distrib "
+    "temperat circumst opportun associ organiz recogn appreci investig demonstr concentr illustr identif classif specif simplif qualif modif justif "
+    "schaft lichkeit igkeit heiten ungen keiten gesellschaft verantwort entwicklung wissenschaft bundes landes zusammen geschwindigkeit aux ement issement ellement amiento aciones imiento mente idades"
+)
+
 
 def alphabet(value: str) -> str:
     """What the characters of a random string like this one are drawn from."""
-    plain = {c for c in value if c.isalnum()}
+    plain = {c for c in value if c.isalnum() and c.isascii()}
     return next(x for x in CLASSES if plain <= set(x)) + "".join(sorted(set(value) - plain))
 
 
 class Novelty:
     """least: share of a random string's added bytes from which a candidate is reported."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, least: float = 0.9, around: int = 1024, reach: int = 64):
+    def __init__(self, identifiers: str = f"{WORD_PARTS} {IDENTIFIERS}", least: float = 0.9, around: int = 1024, reach: int = 1024):
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
         self.least, self.around, self.reach = least, around, reach
 
-    def added(self, surroundings: bytes, candidate: bytes) -> float:
-        """Marginal compressed bytes of a candidate behind its surroundings, per byte."""
+    def added(self, surroundings: bytes, *candidates: str) -> list[int]:
+        """Marginal compressed bytes of each candidate behind the surroundings."""
         alone = len(self.compressor.compress(surroundings))
-        return (len(self.compressor.compress(surroundings + candidate)) - alone) / len(candidate)
+        return [len(self.compressor.compress(surroundings + x.encode())) - alone for x in candidates]
 
     def share(self, surroundings: bytes, value: str, others: int = 4) -> float:
         """Added bytes of a candidate over the mean of random strings of its alphabet and length, the same each time."""
         letters, rng = alphabet(value), random.Random(len(value))
-        usual = sum(self.added(surroundings, "".join(rng.choices(letters, k=len(value))).encode()) for _ in range(others)) / others
-        return self.added(surroundings, value.encode()) / usual
+        own, *usual = self.added(surroundings, value, *["".join(rng.choices(letters, k=len(value))) for _ in range(others)])
+        return own * others / max(1, sum(usual))
+
+    def novel(self, text: str, start: int, end: int, value: str | None = None) -> bool:
+        """Whether text[start:end], or the value in it, is novel behind what surrounds it."""
+        behind = text[max(0, start - self.around) : start] + text[end : end + self.around]
+        return self.share(behind.encode(), value or text[start:end]) >= self.least
 
     def spans(self, text: str, known: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-        """Candidates up to `reach` characters behind a sensitive word, on its line; each is weighed once."""
-        done = 0
+        """Bodies of private keys, then candidates up to `reach` characters before or behind a sensitive word; each is weighed once."""
         taken = sorted((s, e) for s, e, _ in known)
+        blocks = []
+        for start, end in key_bodies(text):
+            value = re.sub(r"\s|\\[nr]", "", text[start:end])
+            if len(value) >= 16 and self.novel(text, start, end, value):
+                blocks.append((start, end))
+        yield from blocks
+        taken = sorted(taken + blocks)
+        done = first = 0
         for word in SENSITIVE.finditer(text):
-            stop = text.find("\n", word.end())
-            stop = len(text) if stop < 0 else stop
-            at = max(word.end(), done)
-            while (m := CANDIDATE.search(text, at, stop)) and m.start() <= word.end() + self.reach:
+            stop = word.end() + self.reach
+            # a candidate that reaches into the window is taken whole
+            at = max(done, word.start() - self.reach)
+            while at > done and CANDIDATE_CHARACTER.match(text, at - 1):
+                at -= 1
+            while (begun := CANDIDATE.search(text, at, stop + 16)) and begun.start() <= stop:
+                m = CANDIDATE.match(text, begun.start())
                 at = done = m.end()
-                value = m.group()
-                if (value.isalpha() and value.islower()) or any(s < m.end() and m.start() < e for s, e in taken):
+                while first < len(taken) and taken[first][1] <= m.start():
+                    first += 1
+                if any(m.start() < e for _, e in takewhile(lambda x: x[0] < m.end(), islice(taken, first, None))):
                     continue
-                behind = text[max(0, m.start() - self.around) : m.start()] + text[m.end() : m.end() + self.around]
-                if self.share(behind.encode(), value) >= self.least:
+                if self.novel(text, m.start(), m.end()):
                     yield m.start(), m.end()
 
 
+def key_bodies(text: str) -> Iterator[tuple[int, int]]:
+    """Spans between the marks of private keys' PEM blocks; without an end mark, as far as base64 goes."""
+    at, mark = 0, 0
+    while m := PEM.search(text, at):
+        if 0 <= mark < m.end():
+            mark = text.find("-----END ", m.end())
+        end = mark
+        if mark < 0 or text.find("-----BEGIN ", m.end(), mark) >= 0:
+            end = PEM_BODY.match(text, m.end()).end()
+        at = max(end, m.end())
+        body = text[m.end() : end]
+        yield m.end() + len(body) - len(body.lstrip()), m.end() + len(body.rstrip())
+
+
 def base_spans(text: str, lower: str | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, leftmost and non-overlapping in each kind; failing matches are dropped."""
     lower = text.lower() if lower is None else lower
