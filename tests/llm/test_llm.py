@@ -85,6 +85,18 @@ def test_near_copies(spark, sf):
     assert got == sorted(set(low.values()))
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    one, two, three = ("".join(f"{w}{i} " for i in range(30)) for w in ("a", "b", "c"))
+    item = "this is an item of the benchmark that no text for training may hold in any case"
+    data = [(1, one), (2, two), (2, three), (None, "n " + item), (None, "n " + item), (3, one), (4, item + " x"), (4, "clean " + two[::-1]), (None, three + "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = near_copies.stage(spark, docs, "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, one), (2, two), (2, three), (4, item + " x"), (4, data[7][1])], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = decontaminate.stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([x for x in data if item not in x[1]], key=str)
+
+
 def test_bit_sliced_counters():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 300)).astype(np.uint64)
