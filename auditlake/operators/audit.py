@@ -25,7 +25,6 @@ class Options:
     crawl_sitemap: bool = False
     check_external: bool = False
     limit: int = 20000
-    levels: int = 100
 
 
 class Audit:
@@ -60,7 +59,7 @@ class Audit:
         mapped = self._sitemap_urls(spark.createDataFrame([(main, scheme)], "host string, scheme string"), robots)
         seen, frontier, records, kept_out = self._keep(start, "seen"), start.withColumn("depth", F.lit(0)), [], []
         total, from_sitemap = 0, False
-        for _ in range(o.levels):
+        while True:
             asked = frontier.join(mapped.withColumn("in_sitemap", F.lit(True)), "url", "left").select(F.lit(self.crawl_id).cast("long").alias("crawl_id"), "url", "depth", F.coalesce("in_sitemap", F.lit(False)).alias("in_sitemap"))
             got = self._keep(page_records(self._keep(fetch.fetch(asked, self.client), "responses"), o.follow_nofollow), "records")
             records.append(got)

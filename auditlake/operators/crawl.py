@@ -5,6 +5,8 @@ written to the checkpoint folder, so lineage stays short."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +97,13 @@ def blocked_rows(urls_of: DataFrame) -> DataFrame:
     return urls_of.select("crawl_id", "url", urls.scheme(F.col("url")).alias("scheme"), F.lit(0).alias("status_code"), F.lit(True).alias("robotstxt_blocked"), F.lit(False).alias("crawled"))
 
 
-def reach(seeds: DataFrame, links: DataFrame, main: str, subdomains: bool = False, limit: int = 20000, levels: int = 100) -> DataFrame:
+def reach(seeds: DataFrame, links: DataFrame, main: str, subdomains: bool = False, limit: int = 20000) -> DataFrame:
     """(url, depth) of every page that a crawl from seeds(url) admits; links(source, target) are already expanded.
 
     A URL is marked seen before its domain is asked for, and counts once. `limit` stops the crawl at a level's end."""
     seen = seeds.select("url").distinct().withColumn("depth", F.lit(0)).withColumn("admitted", allowed(F.col("url"), main, subdomains)).checkpoint()
     frontier, total = seen.where("admitted"), 0
-    for depth in range(1, levels + 1):
+    for depth in count(1):
         total += frontier.count()
         if total >= limit:
             break

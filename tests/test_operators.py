@@ -126,3 +126,11 @@ def test_sinks_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.where("issue_type_id = 2").count() == 1
+
+
+def test_reach_has_no_depth_limit(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    page = lambda i: f"https://site.example/{i}"
+    links = spark.createDataFrame([(page(i), page(i + 1)) for i in range(103)], "source string, target string").coalesce(1).cache()
+    got = crawl.reach(spark.createDataFrame([(page(0),)], "url string"), links, "site.example")
+    assert got.agg({"depth": "max"}).first()[0] == 103
