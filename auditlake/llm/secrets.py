@@ -17,7 +17,6 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from itertools import islice, takewhile
 
 import pyarrow as pa
 import zstandard
@@ -103,22 +102,24 @@ class Novelty:
                 blocks.append((start, end))
         yield from blocks
         taken = sorted(taken + blocks)
-        done = first = 0
+        done = first = covered = 0
         for word in SENSITIVE.finditer(text):
             stop = word.end() + self.reach
-            # a candidate that reaches into the window is taken whole
+            # a candidate that reaches into the window is taken whole; what is done is not looked at again
             at = max(done, word.start() - self.reach)
             while at > done and CANDIDATE_CHARACTER.match(text, at - 1):
                 at -= 1
-            while (begun := CANDIDATE.search(text, at, stop + 16)) and begun.start() <= stop:
+            while at <= stop and (begun := CANDIDATE.search(text, at, stop + 16)) and begun.start() <= stop:
                 m = CANDIDATE.match(text, begun.start())
-                at = done = m.end()
-                while first < len(taken) and taken[first][1] <= m.start():
+                at = m.end()
+                # covered: the furthest end of the known spans that start before this candidate ends
+                while first < len(taken) and taken[first][0] < m.end():
+                    covered = max(covered, taken[first][1])
                     first += 1
-                if any(m.start() < e for _, e in takewhile(lambda x: x[0] < m.end(), islice(taken, first, None))):
-                    continue
-                if self.novel(text, m.start(), m.end()):
+                if covered <= m.start() and self.novel(text, m.start(), m.end()):
                     yield m.start(), m.end()
+            # a run of 16 or more characters that starts up to `stop` has been met
+            done = max(done, at, stop + 1)
 
 
 def key_bodies(text: str) -> Iterator[tuple[int, int]]:
