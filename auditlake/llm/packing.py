@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditlake.llm import text as tx
 from auditlake.llm import tokens
@@ -174,6 +175,70 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, ma
     return tx.only(docs, "doc_id", "text").mapInArrow(lambda b, p=path or tokens.vocabulary(), e=end_id, m=limits: _pack_batches(b, p, e, m), SCHEMA)
 
 
+class LossPacker(Packer):
+    """Pieces also say how many of their tokens bear loss."""
+
+    def _close(self, placed: list[tuple]) -> Iterator[Piece]:
+        for piece, item in zip(super()._close(placed), list(placed)):
+            yield *piece, len(item[2]) if item[3] is None else int(item[3][-1] - item[3][0])
+
+
+CONVERSATION_SCHEMA = "conv_id long, first_turn long, start long, length long, ids_crc32 long, example_tokens long, sequence_id long, offset long, loss_tokens long"
+
+
+def _conversation_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limits: dict, roles: frozenset) -> Iterator[pa.RecordBatch]:
+    base = TaskContext.get().partitionId() << 32
+    packer = LossPacker(**limits)
+
+    def examples():
+        key, ids, loss, held = None, [], [], 0
+        for batch in batches:
+            for conv, turn, role, text in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                mine = np.append(tokens.encode(text, path), np.uint32(end_id))
+                if key is not None and (key[0] != conv or held + len(mine) > packer.max_tokens):
+                    yield key, np.concatenate(ids), np.concatenate(loss)
+                    key, ids, loss, held = None, [], [], 0
+                key = key or (conv, turn)
+                ids.append(mine), loss.append(np.full(len(mine), role in roles))
+                held += len(mine)
+        if key is not None:
+            yield key, np.concatenate(ids), np.concatenate(loss)
+
+    names = [x.split()[0] for x in CONVERSATION_SCHEMA.split(", ")]
+    rows: list[tuple] = []
+
+    def out():
+        columns = list(zip(*rows))
+        columns[6] = [base + x for x in columns[6]]
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
+
+    for key, *piece in packer.pack(examples()):
+        rows.append((*key, *piece))
+        if len(rows) >= 10_000:
+            yield out()
+    if rows:
+        yield out()
+
+
+def pack_conversations(turns: DataFrame, path: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 16, max_loss: int | None = 1536, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Instruction data: turns(conv_id, turn, role, text) packed under limits on tokens, segments and loss-bearing tokens, which
+    are those of `roles`. An example is a run of a conversation's turns, in order, of up to max_tokens (or one longer turn). Turns
+    meet by a sort on (conv_id, turn), so a conversation of any length may lie in several tasks, and is then several examples.
+
+    Defined results: null texts have their end id only; a null conv_id is one conversation; repeated turns follow each other;
+    an empty table gives no rows; other columns are not read."""
+    tx.arrow_batches(turns.sparkSession)
+    limits = {"max_tokens": max_tokens, "max_segments": max_segments, "max_loss": max_loss}
+    order = ["conv_id", "turn", "role", "text"]
+    sorted_turns = tx.only(turns, *order).withColumn("turn", F.col("turn").cast("long")).repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*order)
+    return sorted_turns.mapInArrow(lambda b, p=path or tokens.vocabulary(), e=end_id, m=limits, r=frozenset(roles): _conversation_batches(b, p, e, m, r), CONVERSATION_SCHEMA)
+
+
+def pack_conversations_query(spark, sf_dir: str) -> DataFrame:
+    return pack_conversations(tx.table(spark, sf_dir, "conversations"))
+
+
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     return pack_documents(tx.table(spark, sf_dir, "documents"))
 

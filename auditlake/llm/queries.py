@@ -22,6 +22,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_packing": packing.op9_packing,
     "op10_secrets": secrets.op10_secrets,
+    "packing_conversations": packing.pack_conversations_query,
     "pipeline": pipeline,
 }
 SQL = {"op8_warc": warc.OP8_SQL}
