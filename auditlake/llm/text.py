@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Any odd base works: it has an inverse modulo 2**64, so a window hash does not depend on where the window lies.
@@ -132,6 +133,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else ""
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="auditlake-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -144,6 +147,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of small rows: broadcast it if it has at most `most` rows, or leave it to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(x.getPath().getName() for x in files.listStatus(at))
+
+
+def _files(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def python_reads(path: str) -> bool:
+    """Whether Python processes can read below a shared path without Spark."""
+    from pyarrow import fs
+
+    try:
+        files, name = _files(path)
+        return files.get_file_info(name).type != fs.FileType.NotFound
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
+def python_table(path: str) -> pa.Table | None:
+    """A Parquet folder of the shared folder; None if there is none."""
+    from pyarrow import fs
+    from pyarrow import parquet
+
+    files, name = _files(path)
+    if files.get_file_info(name).type == fs.FileType.NotFound:
+        return None
+    parts = sorted(x.path for x in files.get_file_info(fs.FileSelector(name)) if x.path.endswith(".parquet"))
+    return pa.concat_tables([parquet.ParquetFile(files.open_input_file(x)).read() for x in parts])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
