@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import posixpath
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from urllib.parse import urlsplit, urlunsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
 
 
+def utc(moment: Column) -> Column:
+    """A timestamp to be formatted as UTC, whatever the session's time zone."""
+    return F.to_utc_timestamp(moment, F.current_timezone())
+
+
 def url_hash(url: Column) -> Column:
     return F.sha2(url, 256)
 
@@ -33,21 +38,52 @@ def truncate(s: Column, n: int) -> Column:
     return F.when(F.char_length(s) > n, F.concat(F.left(s, F.lit(n - 3)), F.lit("..."))).otherwise(s)
 
 
+def _joined(base: str, ref: str) -> str:
+    """Path elements joined and cleaned; a slash at the end of the last one stays."""
+    path = posixpath.normpath(posixpath.join("/", base.lstrip("/"), ref.lstrip("/")))
+    path = "/" + path.lstrip("/")
+    return path + "/" if ref.endswith("/") and not path.endswith("/") else path
+
+
+def _without_dots(path: str) -> str:
+    """Dot segments resolved; empty segments stay."""
+    out: list[str] = []
+    parts = path.split("/")
+    for i, part in enumerate(parts):
+        if part == ".." and len(out) > 1:
+            out.pop()
+        elif part not in (".", ".."):
+            out.append(part)
+        if part in (".", "..") and i == len(parts) - 1:
+            out.append("")
+    return "/" + "/".join(out).lstrip("/") if path.startswith("/") and not "/".join(out).startswith("/") else "/".join(out)
+
+
+def _referred(page: str, ref: str):
+    """RFC 3986: a reference with a scheme is taken as it is."""
+    to, own = urlsplit(ref), urlsplit(page)
+    if to.scheme:
+        return to
+    if to.netloc:
+        return to._replace(scheme=own.scheme, path=_without_dots(to.path))
+    if not to.path:
+        return to._replace(scheme=own.scheme, netloc=own.netloc, path=_without_dots(own.path), query=to.query or own.query)
+    merged = to.path if to.path.startswith("/") else (own.path or "/")[: (own.path or "/").rfind("/") + 1] + to.path
+    return to._replace(scheme=own.scheme, netloc=own.netloc, path=_without_dots(merged))
+
+
 def resolve(ref: str, page: str, base: str | None = None) -> str | None:
     """Absolute http(s) URL without fragment, an empty path being /; None for other schemes or unreadable references.
 
-    A <base> joins paths and drops the query; without one RFC 3986 applies."""
+    Without a <base>, RFC 3986 applies. With one, a reference without a scheme gives its path only, which is joined to the
+    path of the base; the base's query stays, and a host or scheme that it lacks is the page's."""
     try:
-        ref = ref.strip()
-        parts = urlsplit(ref)
-        if base and not parts.scheme and not parts.netloc:
-            root = urlsplit(urljoin(page, base.strip()))
-            joined = posixpath.normpath(posixpath.join("/", root.path, parts.path.lstrip("/")))
-            if parts.path.endswith("/") and not joined.endswith("/"):
-                joined += "/"
-            target = urlsplit(urlunsplit((root.scheme, root.netloc, joined.replace("//", "/", 1) if joined.startswith("//") else joined, "", "")))
+        parts = urlsplit(ref.strip())
+        if base is not None and not parts.scheme:
+            root, own = urlsplit(base.strip()), urlsplit(page)
+            target = urlsplit(urlunsplit((root.scheme or own.scheme, root.netloc or own.netloc, _joined(root.path, parts.path), root.query, "")))
         else:
-            target = urlsplit(urljoin(page, ref))
+            target = _referred(page, ref.strip())
     except ValueError:
         return None
     if target.scheme not in ("http", "https"):

@@ -12,8 +12,8 @@ from auditlake.functions import urls
 
 
 def cdxj_key(url: Column) -> Column:
-    """Host labels reversed and joined by commas, a bracket, then the request URI."""
-    host = F.array_join(F.reverse(F.split(urls.authority(url), "\\.")), ",")
+    """Host labels reversed and joined by commas, a bracket, then the request URI; user and port are left out."""
+    host = F.array_join(F.reverse(F.split(F.regexp_replace(urls.authority(url), "^.*@|:[0-9]*$", ""), "\\.")), ",")
     uri = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
     return F.concat(host, F.lit(")"), F.when(uri == "", "/").otherwise(uri))
 
@@ -21,7 +21,7 @@ def cdxj_key(url: Column) -> Column:
 def cdxj_index(records: DataFrame) -> DataFrame:
     """records(url, ts, mime, status, digest, offset, length) as sorted index lines."""
     entry = F.to_json(F.struct("url", "mime", "status", "digest", "length", "offset", F.lit("data.warc").alias("filename")))
-    return records.select(cdxj_key(F.col("url")).alias("key"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"), entry.alias("entry")).select("key", F.concat_ws(" ", "key", "stamp", "entry").alias("line")).orderBy("line")
+    return records.select(cdxj_key(F.col("url")).alias("key"), F.date_format(urls.utc(F.col("ts")), "yyyyMMddHHmmss").alias("stamp"), entry.alias("entry")).select("key", F.concat_ws(" ", "key", "stamp", "entry").alias("line")).orderBy("line")
 
 
 def lookup(index: DataFrame, url: str) -> DataFrame:
@@ -40,6 +40,18 @@ def parse_http(raw: Column) -> Column:
     return F.struct(headers.alias("headers"), F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("body"))
 
 
+#: Headers of a stored response that a replay must not send on.
+UNSAFE_HEADERS = ("set-cookie", "strict-transport-security", "content-security-policy", "access-control-allow-origin", "x-frame-options")
+#: A replay is never cached.
+NO_CACHE = {"cache-control": "no-store, no-cache, must-revalidate, max-age=0", "pragma": "no-cache", "expires": "0"}
+
+
+def replay_headers(headers: Column) -> Column:
+    """Headers of a replayed response, of a map of lower-case names to values."""
+    safe = F.map_filter(headers, lambda k, v: ~F.lower(k).isin(*UNSAFE_HEADERS, *NO_CACHE))
+    return F.map_concat(safe, F.create_map(*[x for k, v in NO_CACHE.items() for x in (F.lit(k), F.array(F.lit(v)))]))
+
+
 CSS_URL = re.compile(r"""url\(\s*["']?(.*?)["']?\s*\)""")
 ATTRIBUTE = re.compile(r"""(<(?:img|script|link|iframe|source|video|audio|a)\b[^>]*?\s(?:src|href|poster)\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
 SRCSET = re.compile(r"""(<(?:img|source)\b[^>]*?\ssrcset\s*=\s*)(["'])(.*?)\2""", re.I | re.S)

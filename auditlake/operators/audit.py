@@ -5,13 +5,16 @@ twice from a later step; admission, robots rules and the seen-set are joins."""
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls
-from auditlake.operators import crawl, graph_rules, lifecycle, page_rules
+from auditlake.issue_types import issue_types
+from auditlake.operators import crawl, graph_rules, lifecycle, page_rules, reports
 from auditlake.sources import fetch
 from auditlake.sources.html import page_records
 
@@ -25,6 +28,8 @@ class Options:
     crawl_sitemap: bool = False
     check_external: bool = False
     limit: int = 20000
+    hours: float = 2.0
+    project_id: int = 0
 
 
 class Audit:
@@ -33,6 +38,11 @@ class Audit:
     def __init__(self, spark: SparkSession, root: str, seed: str, crawl_id: int = 1, client: fetch.Client = fetch.Client(), options: Options = Options()):
         self.spark, self.root, self.seed, self.crawl_id, self.client, self.options = spark, root.rstrip("/"), seed, crawl_id, client, options
         self.steps = 0
+        self.stopped = False
+
+    def stop(self) -> None:
+        """End the crawl after the level that is being fetched; what has been found is reported. For another thread."""
+        self.stopped = True
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}/crawl_id={self.crawl_id}/step={self.steps}"
@@ -51,6 +61,8 @@ class Audit:
     def run(self) -> DataFrame:
         """Page records with id, blocked URLs among them; everything that the reports need is then under tables/."""
         o, spark = self.options, self.spark
+        began, self.stopped = time.monotonic(), False
+        lifecycle.save_crawl_row(spark, f"{self.root}/tables", id=self.crawl_id, project_id=o.project_id, url=self.seed, start=datetime.now(UTC).replace(tzinfo=None), end=None, issues_end=None)
         scheme, main = self.seed.partition("://")[0], self.seed.partition("://")[2].partition("/")[0]
         start = spark.createDataFrame([(self.seed,)], "url string")
         host_of = lambda df: df.select(urls.authority(F.col("url")).alias("host"), urls.scheme(F.col("url")).alias("scheme")).groupBy("host").agg(F.min("scheme").alias("scheme"))
@@ -64,7 +76,7 @@ class Audit:
             got = self._keep(page_records(self._keep(fetch.fetch(asked, self.client), "responses"), o.follow_nofollow), "records")
             records.append(got)
             total += got.count()
-            if total >= o.limit:
+            if total >= o.limit or self.stopped or time.monotonic() - began > o.hours * 3600:
                 break
             led = crawl.expand_links(got, o.follow_nofollow).groupBy("url").agg(F.bool_or("ignore_domain").alias("ignore_domain"))
             fresh = self._keep(led.join(seen, "url", "left_anti"), "fresh")
@@ -87,15 +99,19 @@ class Audit:
         pages = records[0]
         for more in records[1:]:
             pages = pages.unionByName(more)
-        return self._finish(pages, kept_out)
+        found = {"robotstxt_exists": not robots.where(F.col("host") == main).isEmpty(), **self.sitemaps}
+        return self._finish(pages, kept_out, found)
 
     def _sitemap_urls(self, hosts: DataFrame, robots: DataFrame) -> DataFrame:
-        asked = crawl.sitemaps_of(hosts, robots, crawl.robots_rules(robots, self.client.agent), self.options.ignore_robots)
+        named = crawl.sitemaps_of(hosts, robots, crawl.robots_rules(robots, self.client.agent), True)
+        named = self._keep(named.join(fetch.statuses(named.select(F.col("sitemap").alias("url")), self.client), F.col("sitemap") == F.col("url"), "left"), "named-sitemaps")
+        self.sitemaps = named.agg(F.coalesce(F.bool_or(F.col("status_code").between(200, 299)), F.lit(False)).alias("sitemap_exists"), F.coalesce(F.bool_or("sitemap_blocked"), F.lit(False)).alias("sitemap_blocked")).first().asDict()
+        asked = named if self.options.ignore_robots else named.where("NOT sitemap_blocked")
         named = self._texts(asked.select(F.col("sitemap").alias("url")).distinct(), "sitemaps").withColumnRenamed("url", "sitemap")
         below = self._texts(crawl.sitemap_children(named).select("url").distinct(), "sitemaps").withColumnRenamed("url", "sitemap")
         return self._keep(crawl.sitemap_urls(named.unionByName(below), self.options.limit).select("url").distinct(), "sitemap-urls")
 
-    def _finish(self, pages: DataFrame, kept_out: list[DataFrame]) -> DataFrame:
+    def _finish(self, pages: DataFrame, kept_out: list[DataFrame], found: dict[str, bool]) -> DataFrame:
         o, tables = self.options, f"{self.root}/tables"
         if not o.include_noindex:
             pages = pages.where("NOT noindex")
@@ -107,7 +123,13 @@ class Audit:
         whole = pages
         for rows in kept_out:
             whole = whole.unionByName(with_id(crawl.blocked_rows(rows)), allowMissingColumns=True)
-        lifecycle.save_crawl(whole, tables)
+        lifecycle.save_crawl(whole, tables, [self.crawl_id])
+        now = lambda: datetime.now(UTC).replace(tzinfo=None)
+        links = reports.link_counters(pages).drop("crawl_id").first()
+        counts = whole.agg(F.count("*").alias("total_urls"), F.count_if("noindex").alias("noindex"), F.count_if("robotstxt_blocked").alias("blocked_by_robotstxt")).first()
+        lifecycle.save_crawl_row(self.spark, tables, id=self.crawl_id, end=now(), **found, **counts.asDict(), **(links.asDict() if links else {}))
         saved = {n: lifecycle.load(self.spark, tables, n, self.crawl_id) for n in ("pagereports", "links", "hreflangs")}
-        lifecycle.save_issues(page_rules.page_issues(pages).unionByName(graph_rules.graph_issues(saved)), tables)
+        lifecycle.save_issues(page_rules.page_issues(pages).unionByName(graph_rules.graph_issues(saved)), tables, [self.crawl_id])
+        issues = lifecycle.load(self.spark, tables, "issues", self.crawl_id)
+        lifecycle.save_crawl_row(self.spark, tables, id=self.crawl_id, issues_end=now(), **reports.issues_by_priority(issues, issue_types(self.spark)).first().asDict())
         return whole

@@ -20,7 +20,8 @@ def allowed(url: Column, main: str, subdomains: bool = False) -> Column:
 
 
 def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """(host, allow, prefix) of the group that names the agent, or of * where none does; robots(host, body)."""
+    """(host, allow, prefix) of the group whose name is the longest beginning of the agent's, or of * where none is; groups of one
+    name count together; robots(host, body)."""
     lines = robots.select("host", F.posexplode(F.split("body", "\r?\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
     lines = lines.select("host", "at", F.lower(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1)).alias("k"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("v")).where("k IN ('user-agent', 'allow', 'disallow')")
     from pyspark.sql import Window
@@ -30,14 +31,24 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     opens = (F.col("k") == "user-agent") & (F.coalesce(F.lag("k").over(w), F.lit("")) != "user-agent")
     grouped = lines.withColumn("g", F.sum(opens.cast("int")).over(w))
     named = grouped.where("k = 'user-agent'").select("host", "g", F.lower("v").alias("agent"))
-    mine = named.where(F.lit(agent.lower()).contains(F.col("agent"))).select("host", "g").distinct()
-    star = named.where("agent = '*'").select("host", "g").distinct().join(mine.select("host").distinct(), "host", "left_anti")
-    return grouped.where("k <> 'user-agent' AND v <> ''").join(mine.union(star), ["host", "g"]).select("host", (F.col("k") == "allow").alias("allow"), F.col("v").alias("prefix"))
+    # the weakest match is *
+    match = F.when(F.col("agent") == "*", 0).when(F.lit(agent.lower()).startswith(F.col("agent")) & (F.col("agent") != ""), F.length("agent"))
+    best = named.withColumn("match", match).where("match IS NOT NULL").withColumn("most", F.max("match").over(Window.partitionBy("host"))).where("match = most").select("host", "g").distinct()
+    return grouped.where("k <> 'user-agent' AND v <> ''").join(best, ["host", "g"]).select("host", (F.col("k") == "allow").alias("allow"), F.col("v").alias("prefix"))
+
+
+def sorted_query(query: Column) -> Column:
+    """A query's pairs in order of their keys, escaped anew, as robots rules are asked about it."""
+    escaped = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x, i: F.struct(F.try_url_decode(F.substring_index(x, "=", 1)).alias("k"), i.alias("i"), F.try_url_decode(F.when(x.contains("="), F.regexp_extract(x, "^[^=]*=(.*)$", 1)).otherwise("")).alias("v")))
+    good = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull())
+    return F.array_join(F.transform(F.array_sort(good), lambda p: F.concat(escaped(p["k"]), F.lit("="), escaped(p["v"]))), "&")
 
 
 def blocked(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages(url) with robotstxt_blocked: the longest matching rule wins, allow on a tie; * and $ are patterns."""
-    uri = F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    path, query = F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract("url", r"^[^?#]*\?([^#]*)", 1)
+    uri = F.concat(path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), sorted_query(query))))
     asked = pages.select("url").distinct().withColumn("host", urls.authority(F.col("url"))).withColumn("uri", F.when(uri == "", "/").otherwise(uri))
     escaped = F.regexp_replace(F.regexp_replace("prefix", r"([.+?^(){}\[\]|\\])", r"\\$1"), r"\*", ".*")
     hits = asked.join(rules.withColumn("pattern", F.concat(F.lit("^"), escaped)), "host").where("uri RLIKE pattern")
@@ -62,7 +73,7 @@ def sitemap_children(sitemaps: DataFrame) -> DataFrame:
 
 def sitemap_urls(sitemaps: DataFrame, most: int = 20000) -> DataFrame:
     """(sitemap, url) of the page lists among sitemaps(sitemap, body); an empty path is /; at most `most` URLs, as a feature."""
-    return _locations(sitemaps, False).limit(most)
+    return _locations(sitemaps, False).orderBy("sitemap", "url").limit(most)
 
 
 def sitemaps_of(hosts: DataFrame, robots: DataFrame, rules: DataFrame, ignore_robots: bool = False) -> DataFrame:
@@ -80,13 +91,13 @@ def expand_links(pages: DataFrame, follow_nofollow: bool = False) -> DataFrame:
     """(crawl_id, source, url, kind, ignore_domain) of everything that page records lead to, in one explode.
 
     Links are followed unless the page or the link says nofollow; `indirect` URLs and `resource` URLs always are, and
-    resources on any host."""
+    resources on any host. Resources are also what style sheets name and what a page preloads."""
     follow = lambda x: F.lit(True) if follow_nofollow else ~x["nofollow"] & ~F.col("nofollow")
     as_kind = lambda urls_of, kind: F.transform(urls_of, lambda u: F.struct(u.alias("url"), F.lit(kind).alias("kind")))
     of = lambda column: F.transform(column, lambda x: x["url"])
     links = F.concat(*[F.transform(F.filter(c, follow), lambda x: x["url"]) for c in ("links", "external_links")])
     indirect = F.concat(of("hreflangs"), "iframes", F.array("redirect_url", "canonical"))
-    resources = F.concat("scripts", "styles", "audios", of("images"), of("videos"), F.transform("videos", lambda x: x["poster"]))
+    resources = F.concat("scripts", "styles", "audios", of("images"), of("videos"), F.transform("videos", lambda x: x["poster"]), "dom.css_urls", "dom.preload_hrefs")
     everything = F.concat(as_kind(links, "link"), as_kind(indirect, "indirect"), as_kind(resources, "resource"))
     rows = pages.select("crawl_id", F.col("url").alias("source"), F.explode(everything).alias("x")).select("crawl_id", "source", "x.url", "x.kind")
     return rows.where("url IS NOT NULL AND url <> ''").withColumn("ignore_domain", F.col("kind") == "resource")

@@ -39,15 +39,17 @@ def resource(kind: str, rows: DataFrame, pages: DataFrame) -> DataFrame:
     return child.join(origin, ["pagereport_id", "crawl_id"], "left").select("Origin", *names)
 
 
-def all_issues(issues: DataFrame, types: DataFrame, pages: DataFrame, translations: DataFrame | None = None) -> DataFrame:
-    """URL, type (translated where a (key, text) row exists) and priority in words, most urgent first."""
+def all_issues(issues: DataFrame, types: DataFrame, pages: DataFrame, translations: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """URL, type (translated where a (key, text) row exists) and priority in words. ordered: most urgent first, for a sink."""
     rows = issues.join(F.broadcast(types), "issue_type_id", "left").join(pages.select(F.col("id").alias("pagereport_id"), "crawl_id", F.col("url").alias("URL")), ["pagereport_id", "crawl_id"], "left")
     name = F.col("type")
     if translations is not None:
         rows = rows.join(translations.select(F.col("key").alias("type"), "text"), "type", "left")
         name = F.coalesce("text", "type")
     words = F.when(F.col("priority") == 1, "Critical").when(F.col("priority") == 2, "Alert").otherwise("Warning")
-    return rows.orderBy("priority", "issue_type_id", "URL").select("URL", name.alias("Issue Type"), words.alias("Issue Priority"))
+    if ordered:
+        rows = rows.orderBy("priority", "issue_type_id", "URL")
+    return rows.select("URL", name.alias("Issue Type"), words.alias("Issue Priority"))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

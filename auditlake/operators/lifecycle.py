@@ -51,19 +51,58 @@ def child_table(records: DataFrame, name: str) -> DataFrame:
     return out.withColumn("url_hash", url_hash(F.col("url"))) if name == "links" else out
 
 
-def _write(df: DataFrame, path: str, mode: str) -> None:
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id").parquet(path)
+def _write(df: DataFrame, path: str, crawl_ids: list[int]) -> None:
+    """Replace the rows of these crawls: their folders go first, as an overwrite by partition leaves those without new rows."""
+    _drop(df.sparkSession, path, crawl_ids)
+    df.write.mode("append").partitionBy("crawl_id").parquet(path)
 
 
-def save_crawl(records: DataFrame, root: str) -> None:
-    """Write the page and child rows of the crawls that records hold; a repetition replaces them."""
-    _write(page_table(records), f"{root}/pagereports", "overwrite")
+def _drop(spark: SparkSession, path: str, crawl_ids: list[int]) -> int:
+    gone = 0
+    for c in crawl_ids:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/crawl_id={int(c)}")
+        gone += bool(at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True))
+    return gone
+
+
+def save_crawl(records: DataFrame, root: str, crawl_ids: list[int] | None = None) -> None:
+    """Write the page and child rows of the given crawls, or of those that records hold; a repetition replaces them. The records
+    are read once for each table, so they should be stored, and not below `root`."""
+    ids = crawl_ids if crawl_ids is not None else [r[0] for r in records.select("crawl_id").distinct().collect()]
+    _write(page_table(records), f"{root}/pagereports", ids)
     for name in CHILDREN:
-        _write(child_table(records, name), f"{root}/{name}", "overwrite")
+        _write(child_table(records, name), f"{root}/{name}", ids)
+
+
+def save_issues(issues: DataFrame, root: str, crawl_ids: list[int]) -> None:
+    """Replace the issues of these crawls, which may have none left."""
+    _write(issues.where(F.col("crawl_id").isin(crawl_ids)), f"{root}/issues", crawl_ids)
 
 
-def save_issues(issues: DataFrame, root: str) -> None:
-    _write(issues, f"{root}/issues", "overwrite")
+#: A crawl's row: what is known at its start, and what is filled in at its end.
+CRAWL = (
+    "id long, project_id long, url string, start timestamp, end timestamp, total_urls long, blocked_by_robotstxt long, noindex long, robotstxt_exists boolean, sitemap_exists boolean, sitemap_blocked boolean, "
+    "internal_follow long, internal_nofollow long, external_follow long, external_nofollow long, sponsored long, ugc long, issues_end timestamp, critical long, alert long, warning long, total long"
+)
+
+
+def save_crawl_row(spark: SparkSession, root: str, **values) -> None:
+    """Write a crawl's row, or write it anew over what it said before: columns that are not given keep their value."""
+    fields = StructType.fromDDL(CRAWL)
+    if unknown := set(values) - set(fields.names):
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    before = crawl_rows(spark, root).where(F.col("id") == values["id"]).collect()
+    row = (before[0].asDict() if before else {x: None for x in fields.names}) | values
+    new = spark.createDataFrame([tuple(row[x] for x in fields.names)], fields).coalesce(1)
+    # one folder a crawl, so other crawls' rows are never touched
+    new.write.mode("overwrite").parquet(f"{root}/crawls/id-{int(values['id'])}")
+
+
+def crawl_rows(spark: SparkSession, root: str) -> DataFrame:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/crawls")
+    if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        return spark.createDataFrame([], CRAWL)
+    return spark.read.schema(CRAWL).option("recursiveFileLookup", "true").parquet(f"{root}/crawls")
 
 
 def schema(spark: SparkSession, name: str) -> StructType:
@@ -81,12 +120,7 @@ def load(spark: SparkSession, root: str, name: str, crawl_id: int | None = None)
 
 def delete_crawls(spark: SparkSession, root: str, crawl_ids: list[int]) -> int:
     """Drop the rows of the crawls from every table; the number of folders that went."""
-    jvm, gone = spark._jvm, 0
-    for name in ["pagereports", "issues", *CHILDREN]:
-        for c in crawl_ids:
-            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/crawl_id={int(c)}")
-            gone += bool(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True))
-    return gone
+    return sum(_drop(spark, f"{root}/{name}", crawl_ids) for name in ["pagereports", "issues", *CHILDREN])
 
 
 def unfinished(crawls: DataFrame) -> DataFrame:

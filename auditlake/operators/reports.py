@@ -101,8 +101,19 @@ def link_totals(counters: DataFrame) -> DataFrame:
     return counters.select("crawl_id", (F.col("internal_follow") + F.col("internal_nofollow")).alias("internal"), (F.col("external_follow") + F.col("external_nofollow")).alias("external"), "sponsored", "ugc")
 
 
+def issues_count(issues: DataFrame, types: DataFrame) -> DataFrame:
+    """Every issue type with its priority and the number of its pages, zero for those that passed: one frame for the dashboard."""
+    found = issues.groupBy("issue_type_id").agg(F.count_distinct("pagereport_id").alias("n"))
+    return F.broadcast(types).join(found, "issue_type_id", "left").select("type", "priority", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: Tabs of a page's report that go by another name than their table.
+TABS = {"internal": "links", "external": "external_links"}
+
+
 def tab_page_count(tables: dict[str, DataFrame], page_id: int, tab: str) -> DataFrame:
     """Pages of a tab; links are all counted, though the tab lists those with a target only."""
+    tab = TABS.get(tab, tab)
     if tab in ("links", "external_links"):
         return page_count(tables[tab].where(F.col("pagereport_id") == page_id))
     one = tables["pagereports"].where(F.col("id") == page_id).select("url_hash")
@@ -200,6 +211,18 @@ def page_report(tables: dict[str, DataFrame], page_id: int, tab: str, number: in
         return page(rows.select("pagereport_id", "source", "nofollow", "text"), number, "pagereport_id", "text")
     if tab == "redirections":
         return page(pages.join(one.select(F.col("url_hash").alias("redirect_hash")), "redirect_hash", "left_semi").select("id", "url", "title"), number, "id")
-    if tab in ("external_links", "images", "scripts", "styles", "iframes", "audios", "videos", "hreflangs"):
+    if tab in ("external", "external_links"):
+        return page(own("external_links"), number, "line", "url")
+    if tab in ("images", "scripts", "styles", "iframes", "audios", "videos", "hreflangs"):
         return own(tab)
     raise ValueError(f"no such tab: {tab}")
+
+
+def page_report_view(tables: dict[str, DataFrame], issues: DataFrame, types: DataFrame, page_id: int, tab: str, number: int = 1) -> dict[str, DataFrame | dict[str, int]]:
+    """A page's report: the page, its hreflangs, the types of its issues, the rows of one tab, and its paginator."""
+    paged = tab in ("internal", "external", "inlinks", "redirections")
+    total = tab_page_count(tables, page_id, tab).first()[0] if paged else 1
+    return {
+        "page": page_by_id(tables["pagereports"], page_id), "hreflangs": tables["hreflangs"].where(F.col("pagereport_id") == page_id), "error_types": error_types_of_page(issues, types, page_id),
+        "rows": page_report(tables, page_id, tab, number), "paginator": {"current": number, "previous": number - 1 if number > 1 else 0, "next": number + 1 if number < total else 0, "total": total},
+    }

@@ -11,7 +11,7 @@ from auditlake.functions import urls
 from auditlake.issue_types import ROWS, issue_types
 from auditlake.operators import archive, crawl, exports, graph_rules, lifecycle, page_rules, reports
 from auditlake.plans import fixtures as fx
-from auditlake.plans import rule_sql
+from auditlake.plans import rule_sql, site
 from auditlake.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,7 @@ register("agg_status_by_depth", lambda s, d: reports.status_by_depth(pages(s, d)
 for _p in (1, 2, 3):
     register(f"agg_issues_priority_{_p}", lambda s, d, p=_p: reports.issues_by_type(issues(s, d), issue_types(s), p), ISSUES_SQL + f" SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT pagereport_id) AS n FROM issues JOIN types USING (issue_type_id) WHERE priority = {_p} GROUP BY 1, 2")
 register("agg_passed_issues", lambda s, d: reports.passed_issues(issues(s, d), issue_types(s)), ISSUES_SQL + " SELECT type, CAST(priority AS INT) AS priority, CAST(0 AS BIGINT) AS n FROM types WHERE issue_type_id NOT IN (SELECT issue_type_id FROM issues)")
+register("agg_issues_count", lambda s, d: reports.issues_count(issues(s, d), issue_types(s)), ISSUES_SQL + " SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT pagereport_id) AS n FROM types LEFT JOIN issues USING (issue_type_id) GROUP BY 1, 2")
 register("agg_crawl_totals", lambda s, d: reports.issues_by_priority(issues(s, d), issue_types(s)), ISSUES_SQL + " SELECT count(*) FILTER (priority = 1) AS critical, count(*) FILTER (priority = 2) AS alert, count(*) FILTER (priority = 3) AS warning, count(*) AS total FROM issues JOIN types USING (issue_type_id)")
 register("agg_issue_page_count", lambda s, d: reports.issue_page_count(issues(s, d), 59), ISSUES_SQL + " SELECT CAST(ceil(count(DISTINCT pagereport_id) / 25) AS BIGINT) AS pages FROM issues WHERE issue_type_id = 59")
 register("agg_explorer_page_count", lambda s, d: reports.page_count(pages(s, d).where("crawled")), f"{P} SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM pagereports WHERE crawled")
@@ -72,7 +73,7 @@ SELECT crawl_id, count(*) AS total_urls, count(*) FILTER (noindex) AS noindex, c
 register("agg_crawl_counters", lambda s, d: reports.crawl_counters(pages(s, d), fx.links(s, d)), COUNTERS)
 register("agg_index_timeline", lambda s, d: reports.index_timeline(reports.crawl_counters(pages(s, d), fx.links(s, d))), f"{P} SELECT crawl_id, count(*) FILTER (NOT noindex) AS \"index\", count(*) FILTER (noindex) AS noindex FROM pagereports GROUP BY crawl_id")
 
-_blank = lambda df: df.selectExpr("*", *[f"CAST(array() AS array<{t}>) AS {c}" for c, t in (("scripts", "string"), ("styles", "string"), ("audios", "string"), ("iframes", "string"), ("videos", "struct<url:string,poster:string>"))])
+_blank = lambda df: df.withColumn("dom", F.col("dom").withField("css_urls", F.array().cast("array<string>")).withField("preload_hrefs", F.array().cast("array<string>"))).selectExpr("*", *[f"CAST(array() AS array<{t}>) AS {c}" for c, t in (("scripts", "string"), ("styles", "string"), ("audios", "string"), ("iframes", "string"), ("videos", "struct<url:string,poster:string>"))])
 COUNT_LINKS = f"""{P}, l AS (SELECT p.crawl_id, CAST(i = 3 OR nofollow AS INT) AS no, 0 AS ext FROM pagereports p, range(1, 121) r(i) WHERE i <= n_links UNION ALL SELECT crawl_id, CAST(external_nofollow OR nofollow AS INT), 1 FROM pagereports p, range(1, 3) r(i) WHERE i <= n_external)
 SELECT crawl_id, count(*) FILTER (ext = 0 AND no = 0) AS internal_follow, count(*) FILTER (ext = 0 AND no = 1) AS internal_nofollow, count(*) FILTER (ext = 1 AND no = 0) AS external_follow, count(*) FILTER (ext = 1 AND no = 1) AS external_nofollow FROM l GROUP BY crawl_id"""
 _marked = lambda s, d: fx.page_records(s, d).withColumn("external_links", F.transform("external_links", lambda x: x.withField("sponsored", F.lit(False)).withField("ugc", F.lit(False))))
@@ -82,7 +83,6 @@ EXPAND = f"""{P}, one AS (SELECT 'link' AS kind, i FROM pagereports, range(1, 12
 UNION ALL SELECT 'resource', i FROM pagereports, range(1, 3) r(i) WHERE i <= n_images UNION ALL SELECT 'indirect', i FROM pagereports, range(0, 4) r(i) WHERE (i = 0 AND redirect_url <> '') OR (i = 1 AND canonical <> '') OR (i = 2 AND hreflang_kind < 3) OR (i = 3 AND hreflang_kind = 0))
 SELECT kind, kind = 'resource' AS ignore_domain, count(*) AS n FROM one GROUP BY 1"""
 register("crawl_expand_links", lambda s, d: crawl.expand_links(_blank(fx.page_records(s, d))).groupBy("kind", "ignore_domain").agg(F.count("*").alias("n")), EXPAND)
-register("extract_expand_links", lambda s, d: crawl.expand_links(records(s, d)))
 for _tab, _from in (("links", "links WHERE pagereport_id = 45"), ("inlinks", "links WHERE url_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)"), ("redirections", "pagereports WHERE redirect_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)")):
     register(f"agg_tab_page_count_{_tab}", lambda s, d, t=_tab: reports.tab_page_count(fx.tables(s, d), 45, t), f"{PL} SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM {_from}")
 
@@ -112,7 +112,7 @@ register("export_links", lambda s, d: exports.resource("internal", fx.links(s, d
 register("export_images", lambda s, d: exports.resource("images", images(s, d), pages(s, d)), f"""{P} SELECT url AS "Origin", 'i.png' AS "Image URL", repeat('a', alt_length) AS "Alt" FROM pagereports, range(1, 3) r(i) WHERE i <= n_images""")
 register("export_hreflangs", lambda s, d: exports.resource("hreflangs", fx.hreflangs(s, d), pages(s, d)), f"""{fx.duck('pagereports', 'hreflangs')} SELECT p.url AS "Origin", from_lang AS "Origin Language", to_url AS "Hreflang", to_lang AS "Hreflang Language" FROM hreflangs h LEFT JOIN pagereports p ON p.id = h.pagereport_id AND p.crawl_id = h.crawl_id""")
 register("export_all_issues", lambda s, d: exports.all_issues(issues(s, d), issue_types(s), pages(s, d)), ISSUES_SQL + """ SELECT p.url AS "URL", type AS "Issue Type", CASE priority WHEN 1 THEN 'Critical' WHEN 2 THEN 'Alert' ELSE 'Warning' END AS "Issue Priority" FROM issues i JOIN types USING (issue_type_id) JOIN pagereports p ON p.id = i.pagereport_id""")
-register("archive_cdxj_key", lambda s, d: pages_table(s, d).select("page_id", archive.cdxj_key(F.col("url")).alias("key")), r"SELECT page_id, array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '.')), ',') || ')' || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) END AS key FROM pages")
+register("archive_cdxj_key", lambda s, d: pages_table(s, d).select("page_id", archive.cdxj_key(F.col("url")).alias("key")), r"SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', ''), '.')), ',') || ')' || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) END AS key FROM pages")
 
 # extraction from the real pages
 
@@ -123,13 +123,27 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 records = lambda s, d: html.page_records(responses(s, d)).withColumn("id", F.xxhash64("crawl_id", "url"))
-for _t in ("pagereports", *lifecycle.CHILDREN):
-    register(f"table_{_t}", lambda s, d, t=_t: lifecycle.page_table(records(s, d)) if t == "pagereports" else lifecycle.child_table(records(s, d), t))
+for _t, _columns in {
+    "links": "x.url, x.rel, x.text, x.nofollow, x.sponsored, x.ugc, sha256(x.url) AS url_hash",
+    "external_links": "x.url, x.rel, x.text, x.nofollow, x.sponsored, x.ugc, CAST(NULL AS INT) AS status_code",
+    "hreflangs": "lang AS from_lang, x.lang AS to_lang, x.url AS to_url, sha256(url) AS from_hash, sha256(x.url) AS to_hash",
+    "images": "x.url, x.alt",
+    "videos": "x.url, x.poster",
+    **{c: "x AS url" for c in ("scripts", "styles", "iframes", "audios")},
+}.items():
+    register(f"table_{_t}", lambda s, d, t=_t: lifecycle.child_table(site.records(s, d), t), site.child(_t, _columns))
+register(
+    "table_pagereports", lambda s, d: lifecycle.page_table(site.records(s, d)),
+    f"{site.duck()} SELECT {', '.join(site.FACTS)}, sha256(url) AS url_hash, CASE WHEN redirect_url = '' THEN '' ELSE sha256(redirect_url) END AS redirect_hash FROM site",
+)
+register("extract_record", lambda s, d: site.records(s, d).select("id", "h1", "h2", "words", "canonical", "refresh", "robots", F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.size("dom.css_urls").alias("n_css_urls"), "dom.n_head_title", "dom.n_head_canonical"), f"{site.duck()} SELECT id, h1, h2, words, canonical, refresh, robots, CAST(len(links) AS INT) AS n_links, CAST(len(images) AS INT) AS n_images, CAST(len(css_urls) AS INT) AS n_css_urls, CAST(n_title AS INT) AS n_head_title, CAST(n_canonical AS INT) AS n_head_canonical FROM site")
+register("extract_page_issues", lambda s, d: page_rules.page_issues(site.records(s, d)), site.issues_sql(site.RULES))
+register("rules_strict", lambda s, d: page_rules.page_issues(site.records(s, d), [r for r in page_rules.page_rules(strict=True) if r.code in site.STRICT]), site.issues_sql(site.STRICT))
+register("extract_expand_links", lambda s, d: crawl.expand_links(site.records(s, d)), site.EXPANDED)
+register("extract_link_counters", lambda s, d: reports.link_counters(site.records(s, d)), site.COUNTERS)
 TITLE = r"trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
 register("extract_title", lambda s, d: records(s, d).select("url", "title", "lang", "body_hash", "size", "scheme"), rf"SELECT url, replace(replace(replace({TITLE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, '<html lang=.([^>]*).>', 1) AS lang, sha256(html) AS body_hash, CAST(strlen(html) AS BIGINT) AS size, regexp_extract(url, '^([a-z]+):', 1) AS scheme FROM pages")
 register("extract_links", lambda s, d: records(s, d).select("url", F.explode("links").alias("l")).groupBy("url").agg(F.count("*").alias("n")), "SELECT url, n FROM (SELECT url, len(regexp_extract_all(html, '<a href=')) AS n FROM pages) WHERE n > 0")
-register("extract_record", lambda s, d: records(s, d).select("url", "h1", "words", "canonical", F.size("links").alias("n_links"), F.size("images").alias("n_images"), "dom.n_elements"))
-register("extract_page_issues", lambda s, d: page_rules.page_issues(records(s, d)))
 register("flagship_titles_by_priority", lambda s, d: flagship(s, d), "SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT url) AS n FROM (" + " UNION ALL ".join(f"SELECT url, '{t}' AS type, {p} AS priority FROM (SELECT url, {TITLE} AS title FROM pages) WHERE {w}" for t, p, w in (("ERROR_EMPTY_TITLE", 2, "title = ''"), ("ERROR_SHORT_TITLE", 2, "strlen(title) BETWEEN 1 AND 19"), ("ERROR_LONG_TITLE", 2, "strlen(title) > 60"), ("HTTP_SCHEME", 1, "url LIKE 'http://%'"))) + ") GROUP BY 1, 2")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.sources.html import MOST_BODY, RESPONSE
+from auditlake.sources.html import MOST_BODY, RESPONSE, decode
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,8 @@ def fetch(asked: DataFrame, client: Client = Client()) -> DataFrame:
             for row in batch.to_pylist():  # a body can be large, so each goes on alone
                 time.sleep(random.uniform(0, client.delay))
                 got = client.ask("GET", row["url"])
-                got["body"] = got["body"].decode("utf-8", "replace") if got["body"] is not None else None
+                kind = next((v[0] for k, v in got["headers"].items() if k.lower() == "content-type" and v), "")
+                got["body"] = decode(got["body"], kind) if got["body"] is not None else None
                 got["headers"] = list(got["headers"].items())
                 yield pa.RecordBatch.from_pylist([row | got | {"robotstxt_blocked": False}], schema)
 

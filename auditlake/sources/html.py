@@ -65,9 +65,6 @@ class _Page(HTMLParser):
         self.media: list[list] = []
         self.pictures: list[dict] = []
 
-    def _in_body(self) -> bool:
-        return self.head_done
-
     def handle_starttag(self, tag, attrs):
         a: dict[str, str] = {}
         for k, v in attrs:
@@ -80,9 +77,9 @@ class _Page(HTMLParser):
             self.ids.append(a["id"])
         if tag == "html" and not self.lang:
             self.lang = a.get("lang", "")
-        if tag == "base" and "href" in a:
-            f["base"].append(a["href"])
         head = not self.head_done
+        if tag == "base" and "href" in a and head:
+            f["base"].append(a["href"])
         if tag == "meta":
             name = a.get("name", "")
             if head:
@@ -148,8 +145,6 @@ class _Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def _close(self, tag):
-        if tag == "head":
-            self.head_done = self.head_done or False
         if self.open and self.open[-1][0] == tag:
             _, where, (a, *text) = self.open.pop()
             text = "".join(text)
@@ -188,7 +183,7 @@ class _Page(HTMLParser):
             self.head_done = True
         for _, _, held in self.open:
             held.append(data)
-        if self.head_done and "a" not in self.stack and not (self.stack and self.stack[-1] in ("script", "title")):
+        if self.head_done and "a" not in self.stack and not (self.stack and self.stack[-1] == "script"):
             self.words.append(data)
 
     def finish(self):
@@ -215,6 +210,34 @@ def link_header(values: list[str]) -> list[tuple[str, list[str]]]:
     return out
 
 
+#: Names that browsers give to other character sets than their own.
+CHARSETS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-9": "cp1254", "shift_jis": "cp932", "sjis": "cp932", "gb2312": "gb18030", "gbk": "gb18030", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "tis-620": "cp874"}
+META_CHARSET = re.compile(rb"""<meta\s[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9_:.-]+)""", re.I)
+
+
+def decode(body: bytes, content_type: str) -> str:
+    """The text of a body: by its byte order mark, the Content-Type's charset, a <meta> among the first 1024 bytes, or else as
+    UTF-8 if it is valid, as windows-1252 if not."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    named = re.search(r"charset\s*=\s*[\"']?\s*([^\s\"';,]+)", content_type, re.I)
+    meta = META_CHARSET.search(body[:1024])
+    for label in (named and named[1], meta and meta[1].decode()):
+        if label:
+            name = CHARSETS.get(label.lower(), label.lower())
+            try:
+                # a <meta> that could be read as ASCII cannot be in UTF-16
+                return body.decode("utf-8" if label is not (named and named[1]) and name.startswith("utf-16") else name, "replace")
+            except LookupError:
+                continue
+    try:
+        return body.decode("utf-8")
+    except UnicodeDecodeError as e:
+        # a character that is cut off at the end is no sign of another character set
+        return body.decode("utf-8", "replace") if e.start >= len(body) - 3 and e.reason == "unexpected end of data" else body.decode("cp1252", "replace")
+
+
 def parse(r: dict) -> dict:
     """A page record of one response, as a dict of RECORD's columns (without the keys that are copied)."""
     headers = {k.lower(): list(v or []) for k, v in (r.get("headers") or {}).items()}
@@ -250,9 +273,11 @@ def parse(r: dict) -> dict:
     refresh = one("refresh")
     part = refresh.split(";")[1] if ";" in refresh else ""
     header_links = link_header(headers.get("link", []))
-    canonical = f["canonical"][0] if len(f["canonical"]) == 1 else ""
-    if not canonical and not f["canonical"]:
-        canonical = next((u for u, ps in header_links if len(ps) == 1 and 'rel="canonical"' in ps[0]), "")
+    # one tag that can be resolved, or else the header
+    canonical = (resolve(f["canonical"][0], url, base) or "") if len(f["canonical"]) == 1 else ""
+    if not canonical:
+        named = next((u for u, ps in header_links if len(ps) == 1 and 'rel="canonical"' in ps[0]), "")
+        canonical = (resolve(named, url, base) or "") if named else ""
     host = re.sub(r"^[a-z]+://([^/?#]*).*", r"\1", url, flags=re.S)
     links = []
     for ref, rel, label in f["links"]:
@@ -269,7 +294,7 @@ def parse(r: dict) -> dict:
         "lang": p.lang or first("content-language"), "title": one("title"), "description": one("description"), "refresh": refresh,
         "redirect_url": (resolve(part[4:].replace("'", ""), url, base) or "") if part[:4].lower() == "url=" else "",
         "robots": robots, "noindex": "noindex" in robots or "none" in robots, "nofollow": "nofollow" in robots or "none" in robots,
-        "h1": clean(f["h1"][0]) if f["h1"] else "", "h2": clean(f["h2"][0]) if f["h2"] else "", "canonical": (resolve(canonical, url, base) or "") if canonical else "",
+        "h1": clean(f["h1"][0]) if f["h1"] else "", "h2": clean(f["h2"][0]) if f["h2"] else "", "canonical": canonical,
         "hreflangs": alternates, "links": [x for x in links if not x["external"]], "external_links": [x for x in links if x["external"]],
         "images": [{"url": u, "alt": alt} for x, alt in f["images"] + f["sources"] if (u := resolve(x, url, base))],
         "scripts": absolute(f["scripts"]), "styles": absolute(f["styles"]), "iframes": absolute(f["iframes"]), "audios": absolute(f["audios"]),
@@ -279,7 +304,7 @@ def parse(r: dict) -> dict:
     out["dom"] = dom | {
         "n_head_canonical": len(f["canonical"]), "first_canonical_href": f["canonical"][0] if f["canonical"] else "", "n_head_title": len(f["title"]), "n_head_meta_description": len(f["description"]), "n_body_child_meta": len(f["body_meta"]),
         "n_elements": p.n_elements, "has_duplicate_id": len(set(p.ids)) < len(p.ids), "heading_levels": f["headings"], "form_actions": f["forms"], "picture_without_img": p.bare_picture, "img_missing_size": p.missing_size,
-        "alternate_hrefs": f["alternate"], "pagination_hrefs": absolute(f["pagination"]), "viewport_content": f["viewport"][0] if f["viewport"] else None, "has_csp_meta": bool(f["csp"]), "base_href": base, "preload_hrefs": absolute(f["preload"]), "css_urls": absolute(f["css"]),
+        "alternate_hrefs": f["alternate"], "pagination_hrefs": absolute(f["pagination"]), "viewport_content": f["viewport"][0] if f["viewport"] else None, "has_csp_meta": bool(f["csp"]), "base_href": base, "preload_hrefs": absolute(f["preload"]), "css_urls": [u for x in f["css"] if (u := resolve(x, url))],
     }
     return out
 

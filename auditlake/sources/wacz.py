@@ -9,6 +9,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import uuid
 import zipfile
 from bisect import bisect_left
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions import urls
+
 DATA, INDEX, PAGES, PACKAGE = "data/data.warc", "indexes/index.cdx", "pages/pages.jsonl", "datapackage.json"
 RECORD = "url string, stamp string, mime string, status int, digest string, record_digest string, record binary"
 
@@ -28,9 +31,10 @@ def archive_path(root: str, project_id: int, host: str) -> str:
 
 
 def key(url: str) -> str:
-    """As cdxj_key() has it: host labels reversed, a bracket, then the request URI; the port is left out."""
+    """As cdxj_key() has it: host labels reversed, a bracket, then the request URI; user and port are left out."""
     parts = urlsplit(url)
-    return ",".join(reversed((parts.hostname or "").split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    host = re.sub("^.*@|:[0-9]*$", "", parts.netloc)
+    return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
 def warc_record(url: str, stamp: str, mime: str, content: bytes) -> bytes:
@@ -54,7 +58,7 @@ def _record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def records(responses: DataFrame, moment: str | None = None) -> DataFrame:
     """RECORD rows of responses(url, status_code, headers, body); moment: their common time, now where not given."""
     time = F.current_timestamp() if moment is None else F.lit(moment).cast("timestamp")
-    return responses.where("url IS NOT NULL").select("url", "status_code", "headers", "body", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp")).mapInArrow(_record_batches, RECORD)
+    return responses.where("url IS NOT NULL").select("url", "status_code", "headers", "body", F.date_format(urls.utc(time), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp")).mapInArrow(_record_batches, RECORD)
 
 
 def write(responses: DataFrame, path: str, moment: str | None = None) -> int:

@@ -10,9 +10,11 @@ from auditlake.operators.page_rules import page_issues
 from auditlake.sources.html import RESPONSE, page_records
 
 
-def response_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Each URL of a crawl once: the seen-set is streaming state."""
-    return spark.readStream.schema(RESPONSE).parquet(path).dropDuplicates(["crawl_id", "url"])
+def response_stream(spark: SparkSession, path: str, keep: str = "1 day") -> DataFrame:
+    """Each URL of a crawl once: the seen-set is streaming state, bounded by time. A file's rows are as old as the file; a URL that
+    comes again within `keep` of its first is passed over. A crawl lasts two hours at most, so a day is ample."""
+    rows = spark.readStream.schema(RESPONSE).parquet(path).select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+    return rows.withWatermark("arrived", keep).dropDuplicatesWithinWatermark(["crawl_id", "url"]).drop("arrived")
 
 
 def issue_stream(responses: DataFrame) -> DataFrame:

@@ -125,6 +125,70 @@ def test_tables_replace_their_own_crawl(spark, tmp_path):
     assert [r.crawl_id for r in lifecycle.load(spark, str(tmp_path), "pagereports").collect()] == [2]
 
 
+def test_a_table_that_became_empty_stays_empty(spark, tmp_path):
+    rows = lambda body: html.page_records(spark.createDataFrame([(1, "http://h.example/", 200, {"Content-Type": ["text/html"]}, body, 0, 1, 0, False, False, False)], html.RESPONSE)).withColumn("id", F.xxhash64("crawl_id", "url"))
+    root = str(tmp_path)
+    lifecycle.save_crawl(rows(SITE["/"]), root)
+    assert lifecycle.load(spark, root, "images").count() == 1
+    lifecycle.save_crawl(rows(SITE["/c"]), root)
+    assert lifecycle.load(spark, root, "images").count() == lifecycle.load(spark, root, "links").count() == 0
+    issues = spark.createDataFrame([(1, 1, 2), (2, 2, 3)], "pagereport_id long, crawl_id long, issue_type_id int")
+    lifecycle.save_issues(issues, root, [1, 2])
+    lifecycle.save_issues(issues.where("false"), root, [1])
+    assert [r.crawl_id for r in lifecycle.load(spark, root, "issues").collect()] == [2]
+
+
+def test_crawl_rows(spark, tmp_path):
+    from datetime import datetime
+
+    root = str(tmp_path)
+    assert lifecycle.crawl_rows(spark, root).count() == 0
+    lifecycle.save_crawl_row(spark, root, id=1, project_id=5, url="u", start=datetime(2026, 1, 1))
+    lifecycle.save_crawl_row(spark, root, id=2, project_id=5, url="u", start=datetime(2026, 1, 2), issues_end=datetime(2026, 1, 3))
+    lifecycle.save_crawl_row(spark, root, id=1, total_urls=9)
+    got = {r.id: r for r in lifecycle.crawl_rows(spark, root).collect()}
+    assert (got[1].project_id, got[1].total_urls, got[2].total_urls) == (5, 9, None)
+    assert [r.id for r in lifecycle.unfinished(lifecycle.crawl_rows(spark, root)).collect()] == [1]
+    with pytest.raises(ValueError):
+        lifecycle.save_crawl_row(spark, root, id=1, no_such=1)
+
+
+def test_robots_groups(spark):
+    body = "User-agent: bot\nDisallow: /a\n\nUser-agent: bot-news\nDisallow: /n\n\nUser-agent: *\nDisallow: /s\n\nUser-agent: bot-news\nDisallow: /m"
+    robots = spark.createDataFrame([("h.example", body)], "host string, body string")
+    prefixes = lambda agent: sorted(r.prefix for r in crawl.robots_rules(robots, agent).collect())
+    assert prefixes("bot-news") == ["/m", "/n"] and prefixes("Bot/1.0") == ["/a"] and prefixes("other-bot") == ["/s"]
+    rules = crawl.robots_rules(spark.createDataFrame([("h.example", "User-agent: *\nDisallow: /q?a=1&b=x+y")], "host string, body string"), "any")
+    asked = spark.createDataFrame([(f"http://h.example/q?{q}",) for q in ("b=x%20y&a=1", "a=2&b=x", "")], "url string")
+    assert [r.url for r in crawl.blocked(asked, rules).where("robotstxt_blocked").collect()] == ["http://h.example/q?b=x%20y&a=1"]
+
+
+def test_charsets():
+    assert html.decode("é ü".encode("latin1"), "text/html; charset=ISO-8859-1") == "é ü"
+    assert html.decode("<meta charset=windows-1251>Привет".encode("cp1251"), "text/html").endswith("Привет")
+    assert html.decode('<meta http-equiv="Content-Type" content="text/html; charset=Shift_JIS">日本'.encode("cp932"), "").endswith("日本")
+    assert html.decode(b"\xef\xbb\xbfx", "text/html; charset=latin1") == "x" and html.decode("é".encode("utf-16"), "") == "é"
+    assert html.decode("naïve".encode(), "") == "naïve" and html.decode("naïve".encode("cp1252"), "text/html; charset=no-such-set") == "naïve"
+
+
+def test_stop_and_time_limit(spark, site, tmp_path):
+    root, _ = site
+    short = Audit(spark, str(tmp_path / "a"), f"{root}/", 1, fetch.Client(delay=0), Options(hours=0))
+    assert {r.depth for r in short.run().where("crawled").collect()} == {0}
+    row = lifecycle.crawl_rows(spark, str(tmp_path / "a" / "tables")).first()
+    assert row.end and row.issues_end and row.total_urls == 1 and row.robotstxt_exists and row.sitemap_exists and not row.sitemap_blocked and row.internal_follow == 2 and row.internal_nofollow == 1 and row.external_follow == 1
+
+
+def test_jdbc(spark):
+    from auditlake.sources import jdbc
+
+    url = "jdbc:derby:memory:audit;create=true"
+    rows = spark.range(100).selectExpr("id", "id % 7 AS kind")
+    jdbc.write(rows, url, "pages", connections=2, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    got = jdbc.read(spark, url, "pages", parts=3, key="id", low=10, high=90, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert got.rdd.getNumPartitions() == 3 and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_sitemaps(spark):
     hosts = spark.createDataFrame([("h.example", "https"), ("g.example", "http")], "host string, scheme string")
     robots = spark.createDataFrame([("h.example", "User-agent: *\nDisallow: /hidden\nSitemap: https://h.example/hidden/s.xml\nSitemap: https://h.example/s.xml")], "host string, body string")

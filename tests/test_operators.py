@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.urls import resolve
 from auditlake.issue_types import ROWS
 from auditlake.operators import archive, crawl, exports, graph_rules, page_rules, reports
-from auditlake.sources import html
+from auditlake.sources import html, wacz
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title> A &amp; B </title><meta name="description" content="d"><link rel="canonical" href="/c"><link rel="alternate" hreflang="fr" href="/fr">
 <base href="http://site.example/dir/"><style>p{background:url('x.png')}</style></head><body><h1>H <b>one</b></h1><p>one, two three</p><a href="p?q=1#f" rel="nofollow">go</a><a href="https://other.example/">out</a>
@@ -134,3 +134,35 @@ def test_reach_has_no_depth_limit(spark, tmp_path):
     links = spark.createDataFrame([(page(i), page(i + 1)) for i in range(103)], "source string, target string").coalesce(1).cache()
     got = crawl.reach(spark.createDataFrame([(page(0),)], "url string"), links, "site.example")
     assert got.agg({"depth": "max"}).first()[0] == 103
+
+
+def test_references_of_a_base():
+    page = "https://h.example/a/b?q=1"
+    for ref, base, want in (
+        ("x", "dir/", "https://h.example/dir/x"), ("/page.html", "/test", "https://h.example/test/page.html"), ("//o.example/x", "/d", "https://h.example/d/x"), ("x/", "https://o.example", "https://o.example/x/"), ("../y?z=1#f", "/d/e", "https://h.example/d/y"),
+        ("https://o.example/../c", "/d", "https://o.example/../c"), ("x", None, "https://h.example/a/x"), ("//o.example/x", None, "https://o.example/x"), ("?r", None, "https://h.example/a/b?r"), ("#f", None, "https://h.example/a/b?q=1"),
+        ("../../c/./d/", None, "https://h.example/c/d/"), ("mailto:x", None, None), ("", "/d", "https://h.example/d"), ("/", "/d/", "https://h.example/d/"),
+    ):
+        assert resolve(ref, page, base) == want, (ref, base)
+    assert resolve("y", "https://h.example/a//b/x") == "https://h.example/a//b/y"
+
+
+def test_canonical_falls_back_to_the_header():
+    head = {"Content-Type": ["text/html"], "Link": ['<https://h.example/k>; rel="canonical"']}
+    of = lambda body: html.parse({"url": "https://h.example/a", "status_code": 200, "headers": head, "body": body})["canonical"]
+    two = '<html><head><link rel="canonical" href="/1"><link rel="canonical" href="/2"></head></html>'
+    assert of(two) == of('<html><head><link rel="canonical" href="mailto:x"></head></html>') == of("<html>") == "https://h.example/k"
+    assert of('<html><head><link rel="canonical" href="/1"></head></html>') == "https://h.example/1"
+
+
+def test_replay_headers_and_keys(spark):
+    df = spark.createDataFrame([({"content-type": ["text/html"], "set-cookie": ["a"], "X-Frame-Options": ["DENY"], "expires": ["9"]}, "https://u:p@sub.h.example:8080/x?y=1")], "h map<string,array<string>>, url string")
+    got = df.select(archive.replay_headers(F.col("h")).alias("h"), archive.cdxj_key(F.col("url")).alias("key")).first()
+    assert got.h == {"content-type": ["text/html"], "cache-control": ["no-store, no-cache, must-revalidate, max-age=0"], "pragma": ["no-cache"], "expires": ["0"]}
+    assert got.key == wacz.key("https://u:p@sub.h.example:8080/x?y=1") == "example,h,sub)/x?y=1"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.createDataFrame([("https://h.example/", 200, {}, "x")], "url string, status_code int, headers map<string,array<string>>, body string")
+        assert wacz.records(rows, "2026-01-02T03:04:05Z").first().stamp == "2026-01-02T03:04:05Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
