@@ -147,10 +147,62 @@ GRAPH_RULES = [
 ]
 
 
+#: Rules that ask what leads to a page, and of which a page breaks each once: they share one pass over links and one over hreflangs.
+BY_TARGET = (30, 34, 58)
+#: Rules that compare a page with another by its canonical or its hreflangs, once for each such pair: they share their join.
+BY_CANONICAL, BY_HREFLANG = (22, 40, 42), (25, 39, 41)
+
+
+def _exploded(rows: DataFrame, when: dict[int, str], codes: set[int]) -> DataFrame:
+    fired = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(w), F.lit(False)), F.struct(F.lit(c).alias("code"), F.expr(of).alias("id"))) for c, (w, of) in when.items() if c in codes]))
+    return rows.select("crawl_id", F.explode(fired).alias("x")).select(F.col("x.id").alias("pagereport_id"), "crawl_id", F.col("x.code").alias("issue_type_id"))
+
+
+def by_target(t: Tables, codes: set[int]) -> DataFrame:
+    links = t["links"].groupBy("crawl_id", "url_hash").agg(F.min("nofollow").alias("least"), F.max("nofollow").alias("most"), F.lit(True).alias("linked"))
+    langs = t["hreflangs"].where("to_lang <> 'x-default'").groupBy("crawl_id", F.col("to_hash").alias("url_hash")).agg(F.count_distinct("to_lang").alias("langs"))
+    rows = t["pagereports"].select(*IDS, "url_hash", "media_type")
+    if codes & {30, 34}:
+        rows = rows.join(links, ["crawl_id", "url_hash"], "left")
+    if 58 in codes:
+        rows = rows.join(langs, ["crawl_id", "url_hash"], "left")
+    return _exploded(rows, {30: ("media_type = 'text/html' AND linked IS NULL", "id"), 34: ("least <> most", "id"), 58: ("langs > 1", "id")}, codes)
+
+
+def by_canonical(t: Tables, codes: set[int]) -> DataFrame:
+    """Pairs of a page with a canonical (a) and the page that it names (b)."""
+    p = t["pagereports"]
+    a = p.where("canonical <> ''").select("crawl_id", F.col("id").alias("a"), F.col("crawled").alias("a_crawled"), F.col("canonical").alias("url"))
+    b = p.select("crawl_id", "url", F.col("id").alias("b"), F.col("crawled").alias("b_crawled"), F.expr(NON_CANONICAL).alias("other"), F.col("status_code").alias("status"))
+    return _exploded(a.join(b, ["crawl_id", "url"]), {22: ("a_crawled AND b_crawled AND other", "b"), 40: ("status BETWEEN 300 AND 399", "a"), 42: ("status >= 400", "a")}, codes)
+
+
+def by_hreflang(t: Tables, codes: set[int]) -> DataFrame:
+    """Pairs of a page with an alternate (a) and the page that this is (b); only pages that can break a rule are met."""
+    wanted = " OR ".join(w for c, w in {25: f"{HTML_OK} AND crawled AND {NON_CANONICAL}", 39: "status_code BETWEEN 300 AND 399", 41: "status_code >= 400"}.items() if c in codes)
+    b = t["pagereports"].where(wanted).select("crawl_id", F.col("url_hash").alias("to_hash"), F.col("id").alias("b"), F.col("status_code").alias("status"), F.expr(f"{HTML_OK} AND crawled AND {NON_CANONICAL}").alias("other"))
+    a = t["hreflangs"].select("crawl_id", "to_hash", F.col("pagereport_id").alias("a"))
+    if codes & {39, 41}:
+        known = t["pagereports"].select("crawl_id", F.col("id").alias("a"), F.lit(True).alias("known"))
+        a = a.join(known, ["crawl_id", "a"], "left")
+    return _exploded(a.join(b, ["crawl_id", "to_hash"]), {25: ("other", "b"), 39: ("known AND status BETWEEN 300 AND 399", "a"), 41: ("known AND status >= 400", "a")}, codes)
+
+
+SHARED = {BY_TARGET: by_target, BY_CANONICAL: by_canonical, BY_HREFLANG: by_hreflang}
+
+
 def graph_issues(tables: Tables, rules: list[GraphRule] | None = None) -> DataFrame:
-    """issues(pagereport_id, crawl_id, issue_type_id) of all given rules, the registered ones by default."""
+    """issues(pagereport_id, crawl_id, issue_type_id) of all given rules, the registered ones by default. Rules that need the
+    same join are found by one; the tables are read several times, so they should be stored."""
+    rules = [r for r in GRAPH_RULES if r.default] if rules is None else rules
     out = None
-    for rule in [r for r in GRAPH_RULES if r.default] if rules is None else rules:
+    for group, find in SHARED.items():
+        codes = {r.code for r in rules if r.code in group}
+        if len(codes) > 1:
+            rules = [r for r in rules if r.code not in codes]
+            rows = find(tables, codes).select("pagereport_id", "crawl_id", "issue_type_id")
+            out = rows if out is None else out.unionByName(rows)
+    for rule in rules:
         rows = rule.find(tables).select(F.col("id").alias("pagereport_id"), "crawl_id", F.lit(rule.code).alias("issue_type_id"))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.shared import written
+
 
 def url(k: str) -> str:
     return (
@@ -102,6 +104,17 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"pagereports": flat_pages(spark, sf_dir, flat=False), "links": links(spark, sf_dir), "hreflangs": hreflangs(spark, sf_dir)}
 
 
+_stored: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """tables(), written once a session as an audit has them, with their hashes: the cross-page rules read each several times."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _stored:
+        _stored[name] = {k: written(df, k) for k, df in tables(spark, sf_dir).items()}
+    return _stored[name]
+
+
 def duck(*names: str) -> str:
     """WITH clause of the named synthetic tables for DuckDB."""
     fix = lambda sql: sql.replace(" / 7500)", " // 7500)").replace("AS STRING", "AS VARCHAR")

@@ -30,7 +30,7 @@ def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_rules.page_issues(fx.page_records(spark, sf_dir)).unionByName(graph_rules.graph_issues(fx.tables(spark, sf_dir)))
+    return page_rules.page_issues(fx.page_records(spark, sf_dir)).unionByName(graph_rules.graph_issues(fx.stored_tables(spark, sf_dir)))
 
 
 # rules
@@ -38,7 +38,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _rule in page_rules.page_rules():
     register(f"rule_{_rule.code}_{_rule.name}", lambda s, d, r=_rule: page_rules.page_issues(fx.page_records(s, d), [r]), rule_sql.page_rule(_rule.code))
 for _g in graph_rules.GRAPH_RULES:
-    register(f"rule_{_g.code}_{_g.name}", lambda s, d, g=_g: graph_rules.graph_issues(fx.tables(s, d), [g]), rule_sql.graph_rule(_g.code))
+    register(f"rule_{_g.code}_{_g.name}", lambda s, d, g=_g: graph_rules.graph_issues(fx.stored_tables(s, d), [g]), rule_sql.graph_rule(_g.code))
 
 TYPES_SQL = ", types AS (SELECT * FROM (VALUES " + ", ".join(map(str, ROWS)) + ") t(issue_type_id, type, priority))"
 ISSUES_SQL = rule_sql.all_issues() + TYPES_SQL

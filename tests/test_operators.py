@@ -166,3 +166,12 @@ def test_replay_headers_and_keys(spark):
         assert wacz.records(rows, "2026-01-02T03:04:05Z").first().stamp == "2026-01-02T03:04:05Z"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_shared_joins_find_the_same_issues(spark):
+    from auditlake.plans import fixtures as fx
+
+    t = fx.stored_tables(spark, "/root/testdata/sf0.001")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    alone = [x for r in graph_rules.GRAPH_RULES for x in rows(graph_rules.graph_issues(t, [r]))]
+    assert rows(graph_rules.graph_issues(t, graph_rules.GRAPH_RULES)) == sorted(alone) and {r.code for r in graph_rules.GRAPH_RULES} - {c for *_, c in alone} <= {59}
