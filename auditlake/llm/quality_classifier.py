@@ -137,8 +137,11 @@ def train(docs: DataFrame, rated: DataFrame, most_rated: int = 12_000) -> Ordina
     rows = tx.only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade").mapInArrow(_feature_batches, "doc_id long, grade int, buckets array<int>").toArrow()
     if not rows.num_rows:
         return None
-    order = np.lexsort((np.array([len(x) for x in rows["buckets"].to_pylist()]), np.asarray(rows["doc_id"])))
-    texts = [np.asarray(x, np.int32) for x in rows["buckets"].to_pylist()]
+    lists = rows["buckets"].combine_chunks()
+    first = np.asarray(lists.offsets)
+    buckets = np.asarray(lists.values, np.int32)
+    order = np.lexsort((np.diff(first), np.asarray(rows["doc_id"])))
+    texts = [buckets[a:b] for a, b in zip(first, first[1:])]
     grade = np.asarray(rows["grade"])
     return Ordinal(int(grade.max()) + 1).fit([texts[i] for i in order], grade[order])
 

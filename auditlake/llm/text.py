@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.shared import shared_dir, written  # noqa: F401
+
 U = np.uint64
 #: Any odd base works: it has an inverse modulo 2**64, so a window hash does not depend on where the window lies.
 BASE = U(0x9E3779B97F4A7C15)
@@ -123,30 +125,6 @@ def only(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[x] for x in names])
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which all nodes see; a default of its own is set only where that is unset."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else ""
-        if not base:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="auditlake-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a table in the shared folder: it survives the loss of any executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def few(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A table of small rows: broadcast it if it has at most `most` rows, or leave it to a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
