@@ -28,7 +28,11 @@ def translations(yaml: str) -> dict[str, str]:
     out = {}
     for line in yaml.splitlines():
         if m := re.match(r"""([A-Za-z0-9_.-]+)\s*:\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^#"'\s].*?))\s*(?:\s#.*)?$""", line):
-            out[m[1]] = re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t"}.get(e[1], e[1]), m[2]) if m[2] is not None else m[3].replace("''", "'") if m[3] is not None else m[4]
+            out[m[1]] = re.sub(
+                r"\\(.)",
+                lambda e: {"n": "\n", "t": "\t"}.get(e[1], e[1]),
+                m[2],
+            ) if m[2] is not None else m[3].replace("''", "'") if m[3] is not None else m[4]
     return out
 
 

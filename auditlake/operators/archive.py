@@ -21,7 +21,11 @@ def cdxj_key(url: Column) -> Column:
 def cdxj_index(records: DataFrame) -> DataFrame:
     """records(url, ts, mime, status, digest, offset, length) as sorted index lines."""
     entry = F.to_json(F.struct("url", "mime", "status", "digest", "length", "offset", F.lit("data.warc").alias("filename")))
-    return records.select(cdxj_key(F.col("url")).alias("key"), F.date_format(urls.utc(F.col("ts")), "yyyyMMddHHmmss").alias("stamp"), entry.alias("entry")).select("key", F.concat_ws(" ", "key", "stamp", "entry").alias("line")).orderBy("line")
+    return records.select(
+        cdxj_key(F.col("url")).alias("key"),
+        F.date_format(urls.utc(F.col("ts")), "yyyyMMddHHmmss").alias("stamp"),
+        entry.alias("entry"),
+    ).select("key", F.concat_ws(" ", "key", "stamp", "entry").alias("line")).orderBy("line")
 
 
 def lookup(index: DataFrame, url: str) -> DataFrame:

@@ -52,7 +52,15 @@ class Audit:
 
     def _texts(self, asked: DataFrame, name: str) -> DataFrame:
         """asked with the body of the 200 responses to its url."""
-        got = fetch.fetch(asked.select(F.lit(self.crawl_id).cast("long").alias("crawl_id"), "url", F.lit(0).alias("depth"), F.lit(False).alias("in_sitemap")).distinct(), self.client)
+        got = fetch.fetch(
+            asked.select(
+                F.lit(self.crawl_id).cast("long").alias("crawl_id"),
+                "url",
+                F.lit(0).alias("depth"),
+                F.lit(False).alias("in_sitemap"),
+            ).distinct(),
+            self.client,
+        )
         return asked.join(self._keep(got.where("status_code = 200").select("url", "body"), name), "url")
 
     def _robots(self, hosts: DataFrame) -> DataFrame:
@@ -62,17 +70,34 @@ class Audit:
         """Page records with id, blocked URLs among them; everything that the reports need is then under tables/."""
         o, spark = self.options, self.spark
         began, self.stopped = time.monotonic(), False
-        lifecycle.save_crawl_row(spark, f"{self.root}/tables", id=self.crawl_id, project_id=o.project_id, url=self.seed, start=datetime.now(UTC).replace(tzinfo=None), end=None, issues_end=None)
+        lifecycle.save_crawl_row(
+            spark,
+            f"{self.root}/tables",
+            id=self.crawl_id,
+            project_id=o.project_id,
+            url=self.seed,
+            start=datetime.now(UTC).replace(tzinfo=None),
+            end=None,
+            issues_end=None,
+        )
         scheme, main = self.seed.partition("://")[0], self.seed.partition("://")[2].partition("/")[0]
         start = spark.createDataFrame([(self.seed,)], "url string")
-        host_of = lambda df: df.select(urls.authority(F.col("url")).alias("host"), urls.scheme(F.col("url")).alias("scheme")).groupBy("host").agg(F.min("scheme").alias("scheme"))
+        host_of = lambda df: df.select(
+            urls.authority(F.col("url")).alias("host"),
+            urls.scheme(F.col("url")).alias("scheme"),
+        ).groupBy("host").agg(F.min("scheme").alias("scheme"))
         known = self._keep(host_of(start), "hosts")
         robots = self._robots(known)
         mapped = self._sitemap_urls(spark.createDataFrame([(main, scheme)], "host string, scheme string"), robots)
         seen, frontier, records, kept_out = self._keep(start, "seen"), start.withColumn("depth", F.lit(0)), [], []
         total, from_sitemap = 0, False
         while True:
-            asked = frontier.join(mapped.withColumn("in_sitemap", F.lit(True)), "url", "left").select(F.lit(self.crawl_id).cast("long").alias("crawl_id"), "url", "depth", F.coalesce("in_sitemap", F.lit(False)).alias("in_sitemap"))
+            asked = frontier.join(mapped.withColumn("in_sitemap", F.lit(True)), "url", "left").select(
+                F.lit(self.crawl_id).cast("long").alias("crawl_id"),
+                "url",
+                "depth",
+                F.coalesce("in_sitemap", F.lit(False)).alias("in_sitemap"),
+            )
             got = self._keep(page_records(self._keep(fetch.fetch(asked, self.client), "responses"), o.follow_nofollow), "records")
             records.append(got)
             total += got.count()
@@ -104,8 +129,14 @@ class Audit:
 
     def _sitemap_urls(self, hosts: DataFrame, robots: DataFrame) -> DataFrame:
         named = crawl.sitemaps_of(hosts, robots, crawl.robots_rules(robots, self.client.agent), True)
-        named = self._keep(named.join(fetch.statuses(named.select(F.col("sitemap").alias("url")), self.client), F.col("sitemap") == F.col("url"), "left"), "named-sitemaps")
-        self.sitemaps = named.agg(F.coalesce(F.bool_or(F.col("status_code").between(200, 299)), F.lit(False)).alias("sitemap_exists"), F.coalesce(F.bool_or("sitemap_blocked"), F.lit(False)).alias("sitemap_blocked")).first().asDict()
+        named = self._keep(
+            named.join(fetch.statuses(named.select(F.col("sitemap").alias("url")), self.client), F.col("sitemap") == F.col("url"), "left"),
+            "named-sitemaps",
+        )
+        self.sitemaps = named.agg(
+            F.coalesce(F.bool_or(F.col("status_code").between(200, 299)), F.lit(False)).alias("sitemap_exists"),
+            F.coalesce(F.bool_or("sitemap_blocked"), F.lit(False)).alias("sitemap_blocked"),
+        ).first().asDict()
         asked = named if self.options.ignore_robots else named.where("NOT sitemap_blocked")
         named = self._texts(asked.select(F.col("sitemap").alias("url")).distinct(), "sitemaps").withColumnRenamed("url", "sitemap")
         below = self._texts(crawl.sitemap_children(named).select("url").distinct(), "sitemaps").withColumnRenamed("url", "sitemap")
@@ -126,7 +157,11 @@ class Audit:
         lifecycle.save_crawl(whole, tables, [self.crawl_id])
         now = lambda: datetime.now(UTC).replace(tzinfo=None)
         links = reports.link_counters(pages).drop("crawl_id").first()
-        counts = whole.agg(F.count("*").alias("total_urls"), F.count_if("noindex").alias("noindex"), F.count_if("robotstxt_blocked").alias("blocked_by_robotstxt")).first()
+        counts = whole.agg(
+            F.count("*").alias("total_urls"),
+            F.count_if("noindex").alias("noindex"),
+            F.count_if("robotstxt_blocked").alias("blocked_by_robotstxt"),
+        ).first()
         lifecycle.save_crawl_row(self.spark, tables, id=self.crawl_id, end=now(), **found, **counts.asDict(), **(links.asDict() if links else {}))
         saved = {n: lifecycle.load(self.spark, tables, n, self.crawl_id) for n in ("pagereports", "links", "hreflangs")}
         lifecycle.save_issues(page_rules.page_issues(pages).unionByName(graph_rules.graph_issues(saved)), tables, [self.crawl_id])

@@ -23,7 +23,12 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     """(host, allow, prefix) of the group whose name is the longest beginning of the agent's, or of * where none is; groups of one
     name count together; robots(host, body)."""
     lines = robots.select("host", F.posexplode(F.split("body", "\r?\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
-    lines = lines.select("host", "at", F.lower(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1)).alias("k"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("v")).where("k IN ('user-agent', 'allow', 'disallow')")
+    lines = lines.select(
+        "host",
+        "at",
+        F.lower(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1)).alias("k"),
+        F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("v"),
+    ).where("k IN ('user-agent', 'allow', 'disallow')")
     from pyspark.sql import Window
 
     w = Window.partitionBy("host").orderBy("at")
@@ -33,14 +38,24 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     named = grouped.where("k = 'user-agent'").select("host", "g", F.lower("v").alias("agent"))
     # the weakest match is *
     match = F.when(F.col("agent") == "*", 0).when(F.lit(agent.lower()).startswith(F.col("agent")) & (F.col("agent") != ""), F.length("agent"))
-    best = named.withColumn("match", match).where("match IS NOT NULL").withColumn("most", F.max("match").over(Window.partitionBy("host"))).where("match = most").select("host", "g").distinct()
+    best = named.withColumn("match", match).where("match IS NOT NULL").withColumn(
+        "most",
+        F.max("match").over(Window.partitionBy("host")),
+    ).where("match = most").select("host", "g").distinct()
     return grouped.where("k <> 'user-agent' AND v <> ''").join(best, ["host", "g"]).select("host", (F.col("k") == "allow").alias("allow"), F.col("v").alias("prefix"))
 
 
 def sorted_query(query: Column) -> Column:
     """A query's pairs in order of their keys, escaped anew, as robots rules are asked about it."""
     escaped = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x, i: F.struct(F.try_url_decode(F.substring_index(x, "=", 1)).alias("k"), i.alias("i"), F.try_url_decode(F.when(x.contains("="), F.regexp_extract(x, "^[^=]*=(.*)$", 1)).otherwise("")).alias("v")))
+    pairs = F.transform(
+        F.filter(F.split(query, "&"), lambda x: x != ""),
+        lambda x, i: F.struct(
+            F.try_url_decode(F.substring_index(x, "=", 1)).alias("k"),
+            i.alias("i"),
+            F.try_url_decode(F.when(x.contains("="), F.regexp_extract(x, "^[^=]*=(.*)$", 1)).otherwise("")).alias("v"),
+        ),
+    )
     good = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull())
     return F.array_join(F.transform(F.array_sort(good), lambda p: F.concat(escaped(p["k"]), F.lit("="), escaped(p["v"]))), "&")
 
@@ -62,7 +77,10 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 
 def _locations(sitemaps: DataFrame, of_index: bool) -> DataFrame:
     kind = F.coalesce(F.col("body").rlike("(?is)<sitemapindex[\\s>]"), F.lit(False))
-    found = sitemaps.where(kind if of_index else ~kind).select("sitemap", F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url"))
+    found = sitemaps.where(kind if of_index else ~kind).select(
+        "sitemap",
+        F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url"),
+    )
     return found.withColumn("url", F.regexp_replace(F.regexp_replace("url", "&amp;", "&"), "^([a-zA-Z]+://[^/?#]+)$", "$1/"))
 
 
@@ -81,7 +99,10 @@ def sitemaps_of(hosts: DataFrame, robots: DataFrame, rules: DataFrame, ignore_ro
 
     Blocked ones are left out unless robots are ignored."""
     named = robots_sitemaps(robots)
-    usual = hosts.join(named.select("host").distinct(), "host", "left_anti").select("host", F.concat("scheme", F.lit("://"), "host", F.lit("/sitemap.xml")).alias("sitemap"))
+    usual = hosts.join(named.select("host").distinct(), "host", "left_anti").select(
+        "host",
+        F.concat("scheme", F.lit("://"), "host", F.lit("/sitemap.xml")).alias("sitemap"),
+    )
     asked = blocked(named.unionByName(usual).withColumnRenamed("sitemap", "url"), rules)
     asked = asked.select("host", F.col("url").alias("sitemap"), F.col("robotstxt_blocked").alias("sitemap_blocked"))
     return asked if ignore_robots else asked.where("NOT sitemap_blocked")
@@ -105,7 +126,14 @@ def expand_links(pages: DataFrame, follow_nofollow: bool = False) -> DataFrame:
 
 def blocked_rows(urls_of: DataFrame) -> DataFrame:
     """Page rows of URLs(crawl_id, url) that robots.txt keeps out: nothing but the URL is known, and no page rule runs on them."""
-    return urls_of.select("crawl_id", "url", urls.scheme(F.col("url")).alias("scheme"), F.lit(0).alias("status_code"), F.lit(True).alias("robotstxt_blocked"), F.lit(False).alias("crawled"))
+    return urls_of.select(
+        "crawl_id",
+        "url",
+        urls.scheme(F.col("url")).alias("scheme"),
+        F.lit(0).alias("status_code"),
+        F.lit(True).alias("robotstxt_blocked"),
+        F.lit(False).alias("crawled"),
+    )
 
 
 def reach(seeds: DataFrame, links: DataFrame, main: str, subdomains: bool = False, limit: int = 20000) -> DataFrame:
@@ -119,7 +147,10 @@ def reach(seeds: DataFrame, links: DataFrame, main: str, subdomains: bool = Fals
         if total >= limit:
             break
         found = links.join(frontier.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
-        fresh = found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).withColumn("admitted", allowed(F.col("url"), main, subdomains)).checkpoint()
+        fresh = found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)).withColumn(
+            "admitted",
+            allowed(F.col("url"), main, subdomains),
+        ).checkpoint()
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh).checkpoint()

@@ -5,7 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGE_COLUMNS = ["Status Code", "URL", "Title", "Title Length", "Description", "Description Length", "Language", "H1", "H2", "Nº of words", "Content Type", "Media Type", "Robots", "Canonical", "Size", "TTFB", "Depth"]
+PAGE_COLUMNS = [
+    "Status Code",
+    "URL",
+    "Title",
+    "Title Length",
+    "Description",
+    "Description Length",
+    "Language",
+    "H1",
+    "H2",
+    "Nº of words",
+    "Content Type",
+    "Media Type",
+    "Robots",
+    "Canonical",
+    "Size",
+    "TTFB",
+    "Depth",
+]
 
 
 def page_reports(pages: DataFrame) -> DataFrame:
@@ -41,7 +59,11 @@ def resource(kind: str, rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 def all_issues(issues: DataFrame, types: DataFrame, pages: DataFrame, translations: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """URL, type (translated where a (key, text) row exists) and priority in words. ordered: most urgent first, for a sink."""
-    rows = issues.join(F.broadcast(types), "issue_type_id", "left").join(pages.select(F.col("id").alias("pagereport_id"), "crawl_id", F.col("url").alias("URL")), ["pagereport_id", "crawl_id"], "left")
+    rows = issues.join(F.broadcast(types), "issue_type_id", "left").join(
+        pages.select(F.col("id").alias("pagereport_id"), "crawl_id", F.col("url").alias("URL")),
+        ["pagereport_id", "crawl_id"],
+        "left",
+    )
     name = F.col("type")
     if translations is not None:
         rows = rows.join(translations.select(F.col("key").alias("type"), "text"), "type", "left")

@@ -56,7 +56,10 @@ def redirect_chains(t: Tables) -> DataFrame:
 
 def redirect_loops(t: Tables) -> DataFrame:
     a = _redirects(t)
-    return a.join(a.select("crawl_id", F.col("url_hash").alias("redirect_hash"), F.col("redirect_hash").alias("url_hash")), ["crawl_id", "redirect_hash", "url_hash"]).select(*IDS)
+    return a.join(
+        a.select("crawl_id", F.col("url_hash").alias("redirect_hash"), F.col("redirect_hash").alias("url_hash")),
+        ["crawl_id", "redirect_hash", "url_hash"],
+    ).select(*IDS)
 
 
 def orphans(t: Tables) -> DataFrame:
@@ -91,7 +94,10 @@ def hreflang_no_indexable(t: Tables) -> DataFrame:
 
 
 def multiple_lang_reference(t: Tables) -> DataFrame:
-    many = t["hreflangs"].where("to_lang <> 'x-default'").groupBy("crawl_id", F.col("to_hash").alias("url_hash")).agg(F.count_distinct("to_lang").alias("n")).where("n > 1")
+    many = t["hreflangs"].where("to_lang <> 'x-default'").groupBy(
+        "crawl_id",
+        F.col("to_hash").alias("url_hash"),
+    ).agg(F.count_distinct("to_lang").alias("n")).where("n > 1")
     return t["pagereports"].join(many, ["crawl_id", "url_hash"], "left_semi").select(*IDS)
 
 
@@ -154,7 +160,16 @@ BY_CANONICAL, BY_HREFLANG = (22, 40, 42), (25, 39, 41)
 
 
 def _exploded(rows: DataFrame, when: dict[int, str], codes: set[int]) -> DataFrame:
-    fired = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(w), F.lit(False)), F.struct(F.lit(c).alias("code"), F.expr(of).alias("id"))) for c, (w, of) in when.items() if c in codes]))
+    fired = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.coalesce(F.expr(w), F.lit(False)),
+                    F.struct(F.lit(c).alias("code"), F.expr(of).alias("id")),
+                ) for c, (w, of) in when.items() if c in codes
+            ]
+        )
+    )
     return rows.select("crawl_id", F.explode(fired).alias("x")).select(F.col("x.id").alias("pagereport_id"), "crawl_id", F.col("x.code").alias("issue_type_id"))
 
 
@@ -173,19 +188,46 @@ def by_canonical(t: Tables, codes: set[int]) -> DataFrame:
     """Pairs of a page with a canonical (a) and the page that it names (b)."""
     p = t["pagereports"]
     a = p.where("canonical <> ''").select("crawl_id", F.col("id").alias("a"), F.col("crawled").alias("a_crawled"), F.col("canonical").alias("url"))
-    b = p.select("crawl_id", "url", F.col("id").alias("b"), F.col("crawled").alias("b_crawled"), F.expr(NON_CANONICAL).alias("other"), F.col("status_code").alias("status"))
-    return _exploded(a.join(b, ["crawl_id", "url"]), {22: ("a_crawled AND b_crawled AND other", "b"), 40: ("status BETWEEN 300 AND 399", "a"), 42: ("status >= 400", "a")}, codes)
+    b = p.select(
+        "crawl_id",
+        "url",
+        F.col("id").alias("b"),
+        F.col("crawled").alias("b_crawled"),
+        F.expr(NON_CANONICAL).alias("other"),
+        F.col("status_code").alias("status"),
+    )
+    return _exploded(
+        a.join(b, ["crawl_id", "url"]),
+        {22: ("a_crawled AND b_crawled AND other", "b"), 40: ("status BETWEEN 300 AND 399", "a"), 42: ("status >= 400", "a")},
+        codes,
+    )
 
 
 def by_hreflang(t: Tables, codes: set[int]) -> DataFrame:
     """Pairs of a page with an alternate (a) and the page that this is (b); only pages that can break a rule are met."""
-    wanted = " OR ".join(w for c, w in {25: f"{HTML_OK} AND crawled AND {NON_CANONICAL}", 39: "status_code BETWEEN 300 AND 399", 41: "status_code >= 400"}.items() if c in codes)
-    b = t["pagereports"].where(wanted).select("crawl_id", F.col("url_hash").alias("to_hash"), F.col("id").alias("b"), F.col("status_code").alias("status"), F.expr(f"{HTML_OK} AND crawled AND {NON_CANONICAL}").alias("other"))
+    wanted = " OR ".join(
+        w for c, w in {
+            25: f"{HTML_OK} AND crawled AND {NON_CANONICAL}",
+            39: "status_code BETWEEN 300 AND 399",
+            41: "status_code >= 400",
+        }.items() if c in codes
+    )
+    b = t["pagereports"].where(wanted).select(
+        "crawl_id",
+        F.col("url_hash").alias("to_hash"),
+        F.col("id").alias("b"),
+        F.col("status_code").alias("status"),
+        F.expr(f"{HTML_OK} AND crawled AND {NON_CANONICAL}").alias("other"),
+    )
     a = t["hreflangs"].select("crawl_id", "to_hash", F.col("pagereport_id").alias("a"))
     if codes & {39, 41}:
         known = t["pagereports"].select("crawl_id", F.col("id").alias("a"), F.lit(True).alias("known"))
         a = a.join(known, ["crawl_id", "a"], "left")
-    return _exploded(a.join(b, ["crawl_id", "to_hash"]), {25: ("other", "b"), 39: ("known AND status BETWEEN 300 AND 399", "a"), 41: ("known AND status >= 400", "a")}, codes)
+    return _exploded(
+        a.join(b, ["crawl_id", "to_hash"]),
+        {25: ("other", "b"), 39: ("known AND status BETWEEN 300 AND 399", "a"), 41: ("known AND status >= 400", "a")},
+        codes,
+    )
 
 
 SHARED = {BY_TARGET: by_target, BY_CANONICAL: by_canonical, BY_HREFLANG: by_hreflang}

@@ -43,9 +43,24 @@ def page_table(records: DataFrame) -> DataFrame:
 def child_table(records: DataFrame, name: str) -> DataFrame:
     """Rows of one child table: pagereport_id, crawl_id, line (its place on the page), and its own columns."""
     column, names = CHILDREN[name]
-    rows = records.select(F.col("id").alias("pagereport_id"), "crawl_id", F.col("url").alias("page_url"), F.col("lang").alias("page_lang"), F.posexplode(column).alias("line", "x"))
+    rows = records.select(
+        F.col("id").alias("pagereport_id"),
+        "crawl_id",
+        F.col("url").alias("page_url"),
+        F.col("lang").alias("page_lang"),
+        F.posexplode(column).alias("line", "x"),
+    )
     if name == "hreflangs":
-        return rows.select("pagereport_id", "crawl_id", "line", F.col("page_lang").alias("from_lang"), F.col("x.lang").alias("to_lang"), F.col("x.url").alias("to_url"), url_hash(F.col("page_url")).alias("from_hash"), url_hash(F.col("x.url")).alias("to_hash"))
+        return rows.select(
+            "pagereport_id",
+            "crawl_id",
+            "line",
+            F.col("page_lang").alias("from_lang"),
+            F.col("x.lang").alias("to_lang"),
+            F.col("x.url").alias("to_url"),
+            url_hash(F.col("page_url")).alias("from_hash"),
+            url_hash(F.col("x.url")).alias("to_hash"),
+        )
     own = [F.col("x").alias("url")] if names is None else [F.col(f"x.{c}").alias(c) for c in names]
     out = _cut(rows.select("pagereport_id", "crawl_id", "line", *own))
     return out.withColumn("url_hash", url_hash(F.col("url"))) if name == "links" else out

@@ -70,13 +70,25 @@ def page_rules(strict: bool = False, most_elements: int = 1500) -> list[Rule]:
         r(72, "nosnippet", f"{HTML} AND (contains(robots, 'nosnippet') OR contains(robots, 'max-snippet:0'))"),
         r(71, "metas_in_body", f"{HTML} AND dom.n_body_child_meta > 0"),
         r(19, "too_many_links", f"{OK} AND size(links) > 100"),
-        r(20, "internal_nofollow", f"{OK} AND ((nofollow AND size({'links' if strict else 'internal_links'}) > 0) OR exists({'links' if strict else 'internal_links'}, x -> x.nofollow))"),
+        r(
+            20,
+            "internal_nofollow",
+            f"{OK} AND ((nofollow AND size({'links' if strict else 'internal_links'}) > 0) "
+            f"OR exists({'links' if strict else 'internal_links'}, x -> x.nofollow))",
+        ),
         r(21, "external_without_nofollow", f"{OK} AND NOT nofollow AND exists(external_links, x -> NOT x.nofollow)"),
         r(17, "http_links", f"{OK} AND {http('links', 'url')}"),
         r(37, "dead_end", f"{OK} AND size(links) + size(external_links) = 0"),
         r(60, "external_link_redirect", f"{HTML} AND exists(external_links, x -> x.status_code BETWEEN 300 AND 399)"),
         r(61, "external_link_broken", f"{HTML} AND exists(external_links, x -> x.status_code < 0 OR x.status_code > 399)"),
-        r(79, "localhost_links", lambda: F.expr(HTML) & ~urls.authority(F.col("url")).isin("localhost", "127.0.0.1") & F.exists("external_links", lambda x: urls.authority(x["url"]).isin("localhost", "127.0.0.1"))),
+        r(
+            79,
+            "localhost_links",
+            lambda: F.expr(HTML) & ~urls.authority(F.col("url")).isin("localhost", "127.0.0.1") & F.exists(
+                "external_links",
+                lambda x: urls.authority(x["url"]).isin("localhost", "127.0.0.1"),
+            ),
+        ),
         r(13, "images_no_alt", f"{HTML} AND exists(images, x -> x.alt = '')"),
         r(54, "long_alt_text", f"{HTML} AND exists(images, x -> char_length(x.alt) > 100)"),
         r(53, "large_image", "media_type LIKE 'image%' AND size > 500000"),
@@ -97,7 +109,12 @@ def page_rules(strict: bool = False, most_elements: int = 1500) -> list[Rule]:
         dom_size(most_elements),
         r(78, "pagination_links", f"{NOT_3XX} AND exists(dom.pagination_hrefs, p -> NOT exists(links, x -> x.url = p))"),
         r(36, "http_scheme", "crawled AND status_code BETWEEN 200 AND 299 AND url LIKE 'http://%'"),
-        r(50, "missing_hsts", f"{HEADER.format('strict-transport-security')} = '' OR exists(split({HEADER.format('strict-transport-security')}, ';'), x -> startswith(x, 'max-age=') AND try_cast(substr(x, 9) AS BIGINT) IS NULL)"),
+        r(
+            50,
+            "missing_hsts",
+            f"{HEADER.format('strict-transport-security')} = '' OR exists(split({HEADER.format('strict-transport-security')}, ';'), "
+            f"x -> startswith(x, 'max-age=') AND try_cast(substr(x, 9) AS BIGINT) IS NULL)",
+        ),
         r(51, "missing_csp", f"media_type = 'text/html' AND NOT dom.has_csp_meta AND {HEADER.format('content-security-policy')} = ''"),
         r(52, "content_type_options", f"media_type = 'text/html' AND {HEADER.format('x-content-type-options')} <> 'nosniff'"),
         r(62, "timeout", "timeout"),

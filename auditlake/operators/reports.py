@@ -53,16 +53,24 @@ def top_with_other(items: DataFrame, top: int = 4) -> DataFrame:
 
 
 def issues_by_type(issues: DataFrame, types: DataFrame, priority: int) -> DataFrame:
-    return issues.join(F.broadcast(types), "issue_type_id").where(F.col("priority") == priority).groupBy("type", "priority").agg(F.count_distinct("pagereport_id").alias("n")).orderBy(F.desc("n"), "type")
+    return issues.join(F.broadcast(types), "issue_type_id").where(F.col("priority") == priority).groupBy("type", "priority").agg(
+        F.count_distinct("pagereport_id").alias("n")
+    ).orderBy(F.desc("n"), "type")
 
 
 def passed_issues(issues: DataFrame, types: DataFrame) -> DataFrame:
-    return types.join(issues.select("issue_type_id").distinct(), "issue_type_id", "left_anti").select("type", "priority", F.lit(0).cast("long").alias("n")).orderBy("type")
+    return types.join(
+        issues.select("issue_type_id").distinct(),
+        "issue_type_id",
+        "left_anti",
+    ).select("type", "priority", F.lit(0).cast("long").alias("n")).orderBy("type")
 
 
 def issues_by_priority(issues: DataFrame, types: DataFrame) -> DataFrame:
     """Issue rows, not distinct pages, of each priority, and a total; priorities without any are zeros."""
-    counted = issues.join(F.broadcast(types), "issue_type_id").agg(*[F.count_if(F.col("priority") == p).alias(n) for p, n in ((1, "critical"), (2, "alert"), (3, "warning"))])
+    counted = issues.join(F.broadcast(types), "issue_type_id").agg(
+        *[F.count_if(F.col("priority") == p).alias(n) for p, n in ((1, "critical"), (2, "alert"), (3, "warning"))]
+    )
     return counted.withColumn("total", F.col("critical") + F.col("alert") + F.col("warning"))
 
 
@@ -80,7 +88,11 @@ def error_types_of_page(issues: DataFrame, types: DataFrame, pagereport_id: int)
 
 def crawl_counters(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Per crawl: pages, noindex and blocked pages, and links by follow; a nofollow page makes its links nofollow."""
-    p = pages.groupBy("crawl_id").agg(F.count("*").alias("total_urls"), F.count_if("noindex").alias("noindex"), F.count_if("robotstxt_blocked").alias("blocked_by_robotstxt"))
+    p = pages.groupBy("crawl_id").agg(
+        F.count("*").alias("total_urls"),
+        F.count_if("noindex").alias("noindex"),
+        F.count_if("robotstxt_blocked").alias("blocked_by_robotstxt"),
+    )
     own = links.join(pages.select(F.col("id").alias("pagereport_id"), "crawl_id", F.col("nofollow").alias("page_nofollow")), ["pagereport_id", "crawl_id"])
     no = F.col("nofollow") | F.col("page_nofollow")
     return p.join(own.groupBy("crawl_id").agg(F.count_if(~no).alias("internal_follow"), F.count_if(no).alias("internal_nofollow")), "crawl_id", "left").fillna(0)
@@ -91,14 +103,23 @@ def link_counters(records: DataFrame) -> DataFrame:
     no = lambda link: link["nofollow"] | F.col("nofollow")
     many = lambda column, of: F.coalesce(F.sum(F.size(F.filter(column, of))), F.lit(0)).alias
     return records.groupBy("crawl_id").agg(
-        many("links", lambda x: ~no(x))("internal_follow"), many("links", no)("internal_nofollow"), many("external_links", lambda x: ~no(x))("external_follow"), many("external_links", no)("external_nofollow"),
+        many("links", lambda x: ~no(x))("internal_follow"), many("links", no)("internal_nofollow"), many(
+            "external_links",
+            lambda x: ~no(x),
+        )("external_follow"), many("external_links", no)("external_nofollow"),
         many("external_links", lambda x: x["sponsored"])("sponsored"), many("external_links", lambda x: x["ugc"])("ugc"),
     )
 
 
 def link_totals(counters: DataFrame) -> DataFrame:
     """Sums of the follow kinds, for the chart of link types."""
-    return counters.select("crawl_id", (F.col("internal_follow") + F.col("internal_nofollow")).alias("internal"), (F.col("external_follow") + F.col("external_nofollow")).alias("external"), "sponsored", "ugc")
+    return counters.select(
+        "crawl_id",
+        (F.col("internal_follow") + F.col("internal_nofollow")).alias("internal"),
+        (F.col("external_follow") + F.col("external_nofollow")).alias("external"),
+        "sponsored",
+        "ugc",
+    )
 
 
 def issues_count(issues: DataFrame, types: DataFrame) -> DataFrame:
@@ -207,7 +228,10 @@ def page_report(tables: dict[str, DataFrame], page_id: int, tab: str, number: in
     if tab == "internal":
         return page(links_with_target(own("links"), pages), number, "line", "url")
     if tab == "inlinks":
-        rows = tables["links"].join(one, "url_hash", "left_semi").join(pages.select(F.col("id").alias("pagereport_id"), "crawl_id", F.col("url").alias("source")), ["pagereport_id", "crawl_id"])
+        rows = tables["links"].join(one, "url_hash", "left_semi").join(
+            pages.select(F.col("id").alias("pagereport_id"), "crawl_id", F.col("url").alias("source")),
+            ["pagereport_id", "crawl_id"],
+        )
         return page(rows.select("pagereport_id", "source", "nofollow", "text"), number, "pagereport_id", "text")
     if tab == "redirections":
         return page(pages.join(one.select(F.col("url_hash").alias("redirect_hash")), "redirect_hash", "left_semi").select("id", "url", "title"), number, "id")
@@ -223,6 +247,13 @@ def page_report_view(tables: dict[str, DataFrame], issues: DataFrame, types: Dat
     paged = tab in ("internal", "external", "inlinks", "redirections")
     total = tab_page_count(tables, page_id, tab).first()[0] if paged else 1
     return {
-        "page": page_by_id(tables["pagereports"], page_id), "hreflangs": tables["hreflangs"].where(F.col("pagereport_id") == page_id), "error_types": error_types_of_page(issues, types, page_id),
-        "rows": page_report(tables, page_id, tab, number), "paginator": {"current": number, "previous": number - 1 if number > 1 else 0, "next": number + 1 if number < total else 0, "total": total},
+        "page": page_by_id(tables["pagereports"], page_id), "hreflangs": tables["hreflangs"].where(
+            F.col("pagereport_id") == page_id
+        ), "error_types": error_types_of_page(issues, types, page_id),
+        "rows": page_report(tables, page_id, tab, number), "paginator": {
+            "current": number,
+            "previous": number - 1 if number > 1 else 0,
+            "next": number + 1 if number < total else 0,
+            "total": total,
+        },
     }

@@ -57,8 +57,23 @@ FLAT = {
     "link_header": f"CASE {K} % 7 WHEN 0 THEN '<https://site.example/c>; rel=\"canonical\"' WHEN 1 THEN '<https://site.example/d>; rel=\"canonical\"' ELSE '' END", "n_body_child_meta": f"CAST({K} % 2 AS INT)", "n_elements": f"CAST(({K} * 13) % 3000 AS INT)", "has_duplicate_id": f"{K} % 10 = 1", "picture_without_img": f"{K} % 14 = 3", "img_missing_size": f"{K} % 15 = 6",
     "level": f"CAST({K} % 4 AS INT)", "form": f"CAST({K} % 3 AS INT)", "viewport": f"CASE WHEN {K} % 3 = 0 THEN '' ELSE 'width=device-width' END", "has_csp_meta": f"{K} % 2 = 1", "csp": f"CASE WHEN {K} % 6 = 0 THEN 'default-src' ELSE '' END", "hsts": f"CASE {K} % 4 WHEN 0 THEN '' WHEN 1 THEN 'max-age=x; preload' ELSE 'max-age=300; preload' END", "nosniff": f"CASE WHEN {K} % 5 = 0 THEN 'nosniff' ELSE '' END", "pagination": f"CAST({K} % 4 AS INT)", "alternate": f"CASE WHEN {K} % 8 = 5 THEN '/fr' ELSE 'https://site.example/fr' END",
 }
-LINK = {"pagereport_id": "l_orderkey", "crawl_id": "CAST(1 + (l_orderkey / 7500) % 2 AS BIGINT)", "line": "CAST(l_linenumber AS INT)", "url": url("l_orderkey - l_orderkey % 300 + l_partkey % 290"), "nofollow": "l_returnflag = 'R'", "text": "concat('part ', CAST(l_partkey AS STRING))"}
-ALTERNATE = {"pagereport_id": "l_orderkey", "crawl_id": LINK["crawl_id"], "line": LINK["line"], "from_lang": "'en'", "to_lang": "CASE l_partkey % 4 WHEN 0 THEN 'x-default' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END", "from_url": url("l_orderkey"), "to_url": url("CASE WHEN l_partkey % 3 = 0 THEN l_orderkey ELSE l_orderkey - l_orderkey % 50 + l_partkey % 40 END")}
+LINK = {
+    "pagereport_id": "l_orderkey",
+    "crawl_id": "CAST(1 + (l_orderkey / 7500) % 2 AS BIGINT)",
+    "line": "CAST(l_linenumber AS INT)",
+    "url": url("l_orderkey - l_orderkey % 300 + l_partkey % 290"),
+    "nofollow": "l_returnflag = 'R'",
+    "text": "concat('part ', CAST(l_partkey AS STRING))",
+}
+ALTERNATE = {
+    "pagereport_id": "l_orderkey",
+    "crawl_id": LINK["crawl_id"],
+    "line": LINK["line"],
+    "from_lang": "'en'",
+    "to_lang": "CASE l_partkey % 4 WHEN 0 THEN 'x-default' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END",
+    "from_url": url("l_orderkey"),
+    "to_url": url("CASE WHEN l_partkey % 3 = 0 THEN l_orderkey ELSE l_orderkey - l_orderkey % 50 + l_partkey % 40 END"),
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +87,10 @@ def _int_div(sql: str) -> str:
 def flat_pages(spark: SparkSession, sf_dir: str, flat: bool = True) -> DataFrame:
     columns = PAGE | (FLAT if flat else {})
     df = _table(spark, sf_dir, "orders").selectExpr(*[f"{_int_div(v)} AS {k}" for k, v in columns.items()])
-    return df.withColumn("url_hash", F.sha2("url", 256)).withColumn("redirect_hash", F.when(F.col("redirect_url") == "", "").otherwise(F.sha2("redirect_url", 256))).withColumn("scheme", F.regexp_extract("url", "^([a-z]+):", 1))
+    return df.withColumn("url_hash", F.sha2("url", 256)).withColumn(
+        "redirect_hash",
+        F.when(F.col("redirect_url") == "", "").otherwise(F.sha2("redirect_url", 256)),
+    ).withColumn("scheme", F.regexp_extract("url", "^([a-z]+):", 1))
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +103,14 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "transform(IF(n_external = 0, CAST(array() AS array<int>), sequence(1, n_external)), i -> named_struct('url', IF(external_local, 'http://localhost/x', 'https://other.example/'), 'nofollow', external_nofollow, 'status_code', external_status)) AS external_links",
         "transform(IF(n_images = 0, CAST(array() AS array<int>), sequence(1, n_images)), i -> named_struct('url', 'i.png', 'alt', repeat('a', alt_length))) AS images",
         "CASE hreflang_kind WHEN 0 THEN array(named_struct('url', url, 'lang', 'en'), named_struct('url', 'https://o.example/', 'lang', 'x-default')) WHEN 1 THEN array(named_struct('url', url, 'lang', 'fr')) WHEN 2 THEN array(named_struct('url', 'https://o.example/', 'lang', 'fr')) ELSE CAST(array() AS array<struct<url:string,lang:string>>) END AS hreflangs",
-        "map_from_entries(array_compact(array(" + ", ".join(header(*x) for x in (("link", "link_header"), ("content-security-policy", "csp"), ("strict-transport-security", "hsts"), ("x-content-type-options", "nosniff"))) + "))) AS headers",
+        "map_from_entries(array_compact(array(" + ", ".join(
+            header(*x) for x in (
+                ("link", "link_header"),
+                ("content-security-policy", "csp"),
+                ("strict-transport-security", "hsts"),
+                ("x-content-type-options", "nosniff"),
+            )
+        ) + "))) AS headers",
         "named_struct('n_head_title', n_head_title, 'n_head_meta_description', n_head_meta_description, 'n_head_canonical', n_head_canonical, 'first_canonical_href', first_canonical_href, 'n_body_child_meta', n_body_child_meta, 'n_elements', n_elements, 'has_duplicate_id', has_duplicate_id, 'picture_without_img', picture_without_img, 'img_missing_size', img_missing_size, "
         "'heading_levels', array(level, 1, 3), 'form_actions', CASE form WHEN 0 THEN CAST(array() AS array<string>) WHEN 1 THEN array('http://site.example/f') ELSE array('/f') END, 'viewport_content', viewport, 'has_csp_meta', has_csp_meta, 'pagination_hrefs', IF(pagination = 0, CAST(array() AS array<string>), array(concat('https://site.example/', pagination))), 'alternate_hrefs', array(alternate)) AS dom",
     )

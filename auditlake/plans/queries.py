@@ -42,7 +42,11 @@ for _g in graph_rules.GRAPH_RULES:
 
 TYPES_SQL = ", types AS (SELECT * FROM (VALUES " + ", ".join(map(str, ROWS)) + ") t(issue_type_id, type, priority))"
 ISSUES_SQL = rule_sql.all_issues() + TYPES_SQL
-register("rules_all_by_type", lambda s, d: issues(s, d).groupBy("issue_type_id").agg(F.count("*").alias("n"), F.count_distinct("pagereport_id").alias("pages")), ISSUES_SQL + " SELECT CAST(issue_type_id AS INT) AS issue_type_id, count(*) AS n, count(DISTINCT pagereport_id) AS pages FROM issues GROUP BY issue_type_id")
+register(
+    "rules_all_by_type",
+    lambda s, d: issues(s, d).groupBy("issue_type_id").agg(F.count("*").alias("n"), F.count_distinct("pagereport_id").alias("pages")),
+    ISSUES_SQL + " SELECT CAST(issue_type_id AS INT) AS issue_type_id, count(*) AS n, count(DISTINCT pagereport_id) AS pages FROM issues GROUP BY issue_type_id",
+)
 
 # aggregates
 
@@ -50,76 +54,274 @@ P = fx.duck("pagereports")
 PL = fx.duck("pagereports", "links")
 pages = lambda s, d: fx.flat_pages(s, d, flat=False)
 OK = "media_type = 'text/html' AND status_code >= 200 AND status_code < 300"
-register("agg_canonical_count", lambda s, d: reports.canonical_count(pages(s, d)), f"{P} SELECT count(*) FILTER (canonical = '' OR canonical = url) AS canonical, count(*) FILTER (canonical <> '' AND canonical <> url) AS non_canonical FROM pagereports WHERE {OK}")
-images = lambda s, d: fx.page_records(s, d).select("id", "crawl_id", F.explode("images").alias("i")).select(F.col("id").alias("pagereport_id"), "crawl_id", "i.url", "i.alt")
-register("agg_image_alts", lambda s, d: reports.image_alts(images(s, d)), f"{P} SELECT CAST(coalesce(sum(n_images) FILTER (alt_length > 0), 0) AS BIGINT) AS alt, CAST(coalesce(sum(n_images) FILTER (alt_length = 0), 0) AS BIGINT) AS non_alt FROM pagereports")
-register("agg_scheme", lambda s, d: reports.scheme_count(pages(s, d)), f"{P} SELECT count(*) FILTER (scheme = 'https') AS https, count(*) FILTER (scheme <> 'https') AS http FROM pagereports")
+register(
+    "agg_canonical_count",
+    lambda s, d: reports.canonical_count(pages(s, d)),
+    f"{P} SELECT count(*) FILTER (canonical = '' OR canonical = url) AS canonical, count(*) FILTER (canonical <> '' "
+    f"AND canonical <> url) AS non_canonical FROM pagereports WHERE {OK}",
+)
+images = lambda s, d: fx.page_records(s, d).select("id", "crawl_id", F.explode("images").alias("i")).select(
+    F.col("id").alias("pagereport_id"),
+    "crawl_id",
+    "i.url",
+    "i.alt",
+)
+register(
+    "agg_image_alts",
+    lambda s, d: reports.image_alts(images(s, d)),
+    f"{P} SELECT CAST(coalesce(sum(n_images) FILTER (alt_length > 0), 0) AS BIGINT) AS alt, "
+    f"CAST(coalesce(sum(n_images) FILTER (alt_length = 0), 0) AS BIGINT) AS non_alt FROM pagereports",
+)
+register(
+    "agg_scheme",
+    lambda s, d: reports.scheme_count(pages(s, d)),
+    f"{P} SELECT count(*) FILTER (scheme = 'https') AS https, count(*) FILTER (scheme <> 'https') AS http FROM pagereports",
+)
 for _c in ("media_type", "status_code"):
     _sql = f"{P} SELECT CAST({_c} AS VARCHAR) AS key, count(*) AS value FROM pagereports WHERE crawled GROUP BY 1"
     register(f"agg_by_{_c}", lambda s, d, c=_c: reports.count_by(pages(s, d), c), _sql)
-    register(f"agg_chart_{_c}", lambda s, d, c=_c: reports.top_with_other(reports.count_by(pages(s, d), c)), f"SELECT CASE WHEN n > 4 AND r >= 4 THEN 'Other' ELSE key END AS key, CAST(sum(value) AS BIGINT) AS value FROM (SELECT *, row_number() OVER (ORDER BY value DESC, key) AS r, count(*) OVER () AS n FROM ({_sql})) GROUP BY 1")
-_depth = ", ".join(f"count(*) FILTER (p.status_code {w}) AS status_{n}" for n, w in ((100, "< 200"), (200, "BETWEEN 200 AND 299"), (300, "BETWEEN 300 AND 399"), (400, "BETWEEN 400 AND 499"), (500, ">= 500")))
-register("agg_status_by_depth", lambda s, d: reports.status_by_depth(pages(s, d)), f"{P} SELECT CAST(d.depth AS INT) AS depth, {_depth} FROM range(1, 9) d(depth) LEFT JOIN pagereports p ON p.depth = d.depth GROUP BY 1")
+    register(
+        f"agg_chart_{_c}",
+        lambda s, d, c=_c: reports.top_with_other(reports.count_by(pages(s, d), c)),
+        f"SELECT CASE WHEN n > 4 AND r >= 4 THEN 'Other' ELSE key END AS key, CAST(sum(value) AS BIGINT) AS value FROM (SELECT *, "
+        f"row_number() OVER (ORDER BY value DESC, key) AS r, count(*) OVER () AS n FROM ({_sql})) GROUP BY 1",
+    )
+_depth = ", ".join(
+    f"count(*) FILTER (p.status_code {w}) AS status_{n}" for n, w in (
+        (100, "< 200"),
+        (200, "BETWEEN 200 AND 299"),
+        (300, "BETWEEN 300 AND 399"),
+        (400, "BETWEEN 400 AND 499"),
+        (500, ">= 500"),
+    )
+)
+register(
+    "agg_status_by_depth",
+    lambda s, d: reports.status_by_depth(pages(s, d)),
+    f"{P} SELECT CAST(d.depth AS INT) AS depth, {_depth} FROM range(1, 9) d(depth) LEFT JOIN pagereports p ON p.depth = d.depth GROUP BY 1",
+)
 for _p in (1, 2, 3):
-    register(f"agg_issues_priority_{_p}", lambda s, d, p=_p: reports.issues_by_type(issues(s, d), issue_types(s), p), ISSUES_SQL + f" SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT pagereport_id) AS n FROM issues JOIN types USING (issue_type_id) WHERE priority = {_p} GROUP BY 1, 2")
-register("agg_passed_issues", lambda s, d: reports.passed_issues(issues(s, d), issue_types(s)), ISSUES_SQL + " SELECT type, CAST(priority AS INT) AS priority, CAST(0 AS BIGINT) AS n FROM types WHERE issue_type_id NOT IN (SELECT issue_type_id FROM issues)")
-register("agg_issues_count", lambda s, d: reports.issues_count(issues(s, d), issue_types(s)), ISSUES_SQL + " SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT pagereport_id) AS n FROM types LEFT JOIN issues USING (issue_type_id) GROUP BY 1, 2")
-register("agg_crawl_totals", lambda s, d: reports.issues_by_priority(issues(s, d), issue_types(s)), ISSUES_SQL + " SELECT count(*) FILTER (priority = 1) AS critical, count(*) FILTER (priority = 2) AS alert, count(*) FILTER (priority = 3) AS warning, count(*) AS total FROM issues JOIN types USING (issue_type_id)")
-register("agg_issue_page_count", lambda s, d: reports.issue_page_count(issues(s, d), 59), ISSUES_SQL + " SELECT CAST(ceil(count(DISTINCT pagereport_id) / 25) AS BIGINT) AS pages FROM issues WHERE issue_type_id = 59")
-register("agg_explorer_page_count", lambda s, d: reports.page_count(pages(s, d).where("crawled")), f"{P} SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM pagereports WHERE crawled")
-register("agg_error_types_of_page", lambda s, d: reports.error_types_of_page(issues(s, d), issue_types(s), 45), ISSUES_SQL + " SELECT DISTINCT type, CAST(priority AS INT) AS priority FROM issues JOIN types USING (issue_type_id) WHERE pagereport_id = 45")
+    register(
+        f"agg_issues_priority_{_p}",
+        lambda s, d, p=_p: reports.issues_by_type(issues(s, d), issue_types(s), p),
+        ISSUES_SQL + f" SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT pagereport_id) AS n FROM issues JOIN types USING (issue_type_id) WHERE priority = {_p} GROUP BY 1, 2",
+    )
+register(
+    "agg_passed_issues",
+    lambda s, d: reports.passed_issues(issues(s, d), issue_types(s)),
+    ISSUES_SQL + " SELECT type, CAST(priority AS INT) AS priority, CAST(0 AS BIGINT) AS n FROM types WHERE issue_type_id NOT IN (SELECT issue_type_id FROM issues)",
+)
+register(
+    "agg_issues_count",
+    lambda s, d: reports.issues_count(issues(s, d), issue_types(s)),
+    ISSUES_SQL + " SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT pagereport_id) AS n FROM types LEFT JOIN issues USING (issue_type_id) GROUP BY 1, 2",
+)
+register(
+    "agg_crawl_totals",
+    lambda s, d: reports.issues_by_priority(issues(s, d), issue_types(s)),
+    ISSUES_SQL + " SELECT count(*) FILTER (priority = 1) AS critical, count(*) FILTER (priority = 2) AS alert, count(*) FILTER (priority = 3) AS warning, count(*) AS total FROM issues JOIN types USING (issue_type_id)",
+)
+register(
+    "agg_issue_page_count",
+    lambda s, d: reports.issue_page_count(issues(s, d), 59),
+    ISSUES_SQL + " SELECT CAST(ceil(count(DISTINCT pagereport_id) / 25) AS BIGINT) AS pages FROM issues WHERE issue_type_id = 59",
+)
+register(
+    "agg_explorer_page_count",
+    lambda s, d: reports.page_count(pages(s, d).where("crawled")),
+    f"{P} SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM pagereports WHERE crawled",
+)
+register(
+    "agg_error_types_of_page",
+    lambda s, d: reports.error_types_of_page(issues(s, d), issue_types(s), 45),
+    ISSUES_SQL + " SELECT DISTINCT type, CAST(priority AS INT) AS priority FROM issues JOIN types USING (issue_type_id) WHERE pagereport_id = 45",
+)
 COUNTERS = f"""{PL}, l AS (SELECT l.crawl_id, l.nofollow OR p.nofollow AS no FROM links l JOIN pagereports p ON p.id = l.pagereport_id AND p.crawl_id = l.crawl_id)
 SELECT crawl_id, count(*) AS total_urls, count(*) FILTER (noindex) AS noindex, count(*) FILTER (robotstxt_blocked) AS blocked_by_robotstxt, (SELECT count(*) FROM l WHERE NOT no AND l.crawl_id = p.crawl_id) AS internal_follow, (SELECT count(*) FROM l WHERE no AND l.crawl_id = p.crawl_id) AS internal_nofollow FROM pagereports p GROUP BY crawl_id"""
 register("agg_crawl_counters", lambda s, d: reports.crawl_counters(pages(s, d), fx.links(s, d)), COUNTERS)
-register("agg_index_timeline", lambda s, d: reports.index_timeline(reports.crawl_counters(pages(s, d), fx.links(s, d))), f"{P} SELECT crawl_id, count(*) FILTER (NOT noindex) AS \"index\", count(*) FILTER (noindex) AS noindex FROM pagereports GROUP BY crawl_id")
+register(
+    "agg_index_timeline",
+    lambda s, d: reports.index_timeline(reports.crawl_counters(pages(s, d), fx.links(s, d))),
+    f"{P} SELECT crawl_id, count(*) FILTER (NOT noindex) AS \"index\", count(*) FILTER (noindex) AS noindex FROM pagereports "
+    f"GROUP BY crawl_id",
+)
 
-_blank = lambda df: df.withColumn("dom", F.col("dom").withField("css_urls", F.array().cast("array<string>")).withField("preload_hrefs", F.array().cast("array<string>"))).selectExpr("*", *[f"CAST(array() AS array<{t}>) AS {c}" for c, t in (("scripts", "string"), ("styles", "string"), ("audios", "string"), ("iframes", "string"), ("videos", "struct<url:string,poster:string>"))])
+_blank = lambda df: df.withColumn(
+    "dom",
+    F.col("dom").withField("css_urls", F.array().cast("array<string>")).withField("preload_hrefs", F.array().cast("array<string>")),
+).selectExpr(
+    "*",
+    *[
+        f"CAST(array() AS array<{t}>) AS {c}" for c, t in (
+            ("scripts", "string"),
+            ("styles", "string"),
+            ("audios", "string"),
+            ("iframes", "string"),
+            ("videos", "struct<url:string,poster:string>"),
+        )
+    ],
+)
 COUNT_LINKS = f"""{P}, l AS (SELECT p.crawl_id, CAST(i = 3 OR nofollow AS INT) AS no, 0 AS ext FROM pagereports p, range(1, 121) r(i) WHERE i <= n_links UNION ALL SELECT crawl_id, CAST(external_nofollow OR nofollow AS INT), 1 FROM pagereports p, range(1, 3) r(i) WHERE i <= n_external)
 SELECT crawl_id, count(*) FILTER (ext = 0 AND no = 0) AS internal_follow, count(*) FILTER (ext = 0 AND no = 1) AS internal_nofollow, count(*) FILTER (ext = 1 AND no = 0) AS external_follow, count(*) FILTER (ext = 1 AND no = 1) AS external_nofollow FROM l GROUP BY crawl_id"""
-_marked = lambda s, d: fx.page_records(s, d).withColumn("external_links", F.transform("external_links", lambda x: x.withField("sponsored", F.lit(False)).withField("ugc", F.lit(False))))
+_marked = lambda s, d: fx.page_records(s, d).withColumn(
+    "external_links",
+    F.transform("external_links", lambda x: x.withField("sponsored", F.lit(False)).withField("ugc", F.lit(False))),
+)
 register("agg_link_counters", lambda s, d: reports.link_counters(_marked(s, d)).drop("sponsored", "ugc"), COUNT_LINKS)
-register("agg_link_totals", lambda s, d: reports.link_totals(reports.link_counters(_marked(s, d))).drop("sponsored", "ugc"), f"SELECT crawl_id, internal_follow + internal_nofollow AS internal, external_follow + external_nofollow AS external FROM ({COUNT_LINKS})")
+register(
+    "agg_link_totals",
+    lambda s, d: reports.link_totals(reports.link_counters(_marked(s, d))).drop("sponsored", "ugc"),
+    f"SELECT crawl_id, internal_follow + internal_nofollow AS internal, external_follow + external_nofollow AS external "
+    f"FROM ({COUNT_LINKS})",
+)
 EXPAND = f"""{P}, one AS (SELECT 'link' AS kind, i FROM pagereports, range(1, 121) r(i) WHERE i <= n_links AND i <> 3 AND NOT nofollow UNION ALL SELECT 'link', i FROM pagereports, range(1, 3) r(i) WHERE i <= n_external AND NOT external_nofollow AND NOT nofollow
 UNION ALL SELECT 'resource', i FROM pagereports, range(1, 3) r(i) WHERE i <= n_images UNION ALL SELECT 'indirect', i FROM pagereports, range(0, 4) r(i) WHERE (i = 0 AND redirect_url <> '') OR (i = 1 AND canonical <> '') OR (i = 2 AND hreflang_kind < 3) OR (i = 3 AND hreflang_kind = 0))
 SELECT kind, kind = 'resource' AS ignore_domain, count(*) AS n FROM one GROUP BY 1"""
 register("crawl_expand_links", lambda s, d: crawl.expand_links(_blank(fx.page_records(s, d))).groupBy("kind", "ignore_domain").agg(F.count("*").alias("n")), EXPAND)
-for _tab, _from in (("links", "links WHERE pagereport_id = 45"), ("inlinks", "links WHERE url_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)"), ("redirections", "pagereports WHERE redirect_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)")):
-    register(f"agg_tab_page_count_{_tab}", lambda s, d, t=_tab: reports.tab_page_count(fx.tables(s, d), 45, t), f"{PL} SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM {_from}")
+for _tab, _from in (
+    ("links", "links WHERE pagereport_id = 45"),
+    ("inlinks", "links WHERE url_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)"),
+    ("redirections", "pagereports WHERE redirect_hash IN (SELECT url_hash FROM pagereports WHERE id = 45)"),
+):
+    register(
+        f"agg_tab_page_count_{_tab}",
+        lambda s, d, t=_tab: reports.tab_page_count(fx.tables(s, d), 45, t),
+        f"{PL} SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM {_from}",
+    )
 
 # listings and views
 
-register("view_pages_with_issue", lambda s, d: reports.page(reports.pages_with_issue(pages(s, d), issues(s, d), 12), 2, "url", "id").select("id", "url"), ISSUES_SQL + " SELECT id, url FROM pagereports WHERE id IN (SELECT pagereport_id FROM issues WHERE issue_type_id = 12) ORDER BY url, id LIMIT 25 OFFSET 25")
-register("view_pages_of_issue_type", lambda s, d: reports.pages_with_issue(pages(s, d), issues(s, d), 14).select("id", "url", "status_code", "title"), ISSUES_SQL + " SELECT id, url, status_code, title FROM pagereports WHERE id IN (SELECT pagereport_id FROM issues WHERE issue_type_id = 14)")
+register(
+    "view_pages_with_issue",
+    lambda s, d: reports.page(reports.pages_with_issue(pages(s, d), issues(s, d), 12), 2, "url", "id").select("id", "url"),
+    ISSUES_SQL + " SELECT id, url FROM pagereports WHERE id IN (SELECT pagereport_id FROM issues WHERE issue_type_id = 12) ORDER BY url, id LIMIT 25 OFFSET 25",
+)
+register(
+    "view_pages_of_issue_type",
+    lambda s, d: reports.pages_with_issue(pages(s, d), issues(s, d), 14).select("id", "url", "status_code", "title"),
+    ISSUES_SQL + " SELECT id, url, status_code, title FROM pagereports WHERE id IN (SELECT pagereport_id FROM issues WHERE issue_type_id = 14)",
+)
 SEARCH = f"{P} SELECT id, url FROM pagereports WHERE crawled AND list_has_any(list_filter(regexp_split_to_array(lower(url), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3), ['p_x', 'site3'])"
 register("search_urls", lambda s, d: reports.search(pages(s, d), "p_x site3").select("id", "url"), SEARCH)
-register("search_first_page", lambda s, d: reports.page(reports.search(pages(s, d), "p_x site3"), 1, "url", "id").select("id", "url"), SEARCH + " ORDER BY url, id LIMIT 25")
-register("view_links_with_target", lambda s, d: reports.links_with_target(fx.links(s, d), pages(s, d)).select("pagereport_id", "line", "url", "target_id", "status_code"), f"{PL} SELECT l.pagereport_id, l.line, l.url, p.id AS target_id, p.status_code FROM links l JOIN pagereports p ON p.crawl_id = l.crawl_id AND p.url_hash = l.url_hash")
-register("view_tab_inlinks", lambda s, d: reports.page_report(fx.tables(s, d), 45, "inlinks"), f"{PL} SELECT s.id AS pagereport_id, s.url AS source, l.nofollow, l.text FROM links l JOIN pagereports p ON p.url_hash = l.url_hash AND p.id = 45 JOIN pagereports s ON s.id = l.pagereport_id AND s.crawl_id = l.crawl_id ORDER BY 1, 4 LIMIT 25")
-register("view_tab_redirections", lambda s, d: reports.page_report(fx.tables(s, d), 19, "redirections"), f"{P} SELECT a.id, a.url, a.title FROM pagereports a JOIN pagereports b ON a.redirect_hash = b.url_hash WHERE b.id = 19 ORDER BY 1 LIMIT 25")
-register("view_page_by_id", lambda s, d: reports.page_by_id(pages(s, d), 38).select("id", "url", "robots", "nofollow"), f"{P} SELECT id, url, robots, robots LIKE '%nofollow%' OR robots LIKE '%none%' AS nofollow FROM pagereports WHERE id = 38")
-register("view_sitemap", lambda s, d: reports.sitemap_pages(pages(s, d)), f"{P} SELECT url FROM pagereports WHERE {OK} AND (canonical = '' OR canonical = url) AND crawled")
+register(
+    "search_first_page",
+    lambda s, d: reports.page(reports.search(pages(s, d), "p_x site3"), 1, "url", "id").select("id", "url"),
+    SEARCH + " ORDER BY url, id LIMIT 25",
+)
+register(
+    "view_links_with_target",
+    lambda s, d: reports.links_with_target(fx.links(s, d), pages(s, d)).select("pagereport_id", "line", "url", "target_id", "status_code"),
+    f"{PL} SELECT l.pagereport_id, l.line, l.url, p.id AS target_id, p.status_code FROM links l "
+    f"JOIN pagereports p ON p.crawl_id = l.crawl_id AND p.url_hash = l.url_hash",
+)
+register(
+    "view_tab_inlinks",
+    lambda s, d: reports.page_report(fx.tables(s, d), 45, "inlinks"),
+    f"{PL} SELECT s.id AS pagereport_id, s.url AS source, l.nofollow, l.text FROM links l JOIN pagereports p ON p.url_hash = l.url_hash "
+    f"AND p.id = 45 JOIN pagereports s ON s.id = l.pagereport_id AND s.crawl_id = l.crawl_id ORDER BY 1, 4 LIMIT 25",
+)
+register(
+    "view_tab_redirections",
+    lambda s, d: reports.page_report(fx.tables(s, d), 19, "redirections"),
+    f"{P} SELECT a.id, a.url, a.title FROM pagereports a JOIN pagereports b ON a.redirect_hash = b.url_hash WHERE b.id = 19 ORDER BY 1 "
+    f"LIMIT 25",
+)
+register(
+    "view_page_by_id",
+    lambda s, d: reports.page_by_id(pages(s, d), 38).select("id", "url", "robots", "nofollow"),
+    f"{P} SELECT id, url, robots, robots LIKE '%nofollow%' OR robots LIKE '%none%' AS nofollow FROM pagereports WHERE id = 38",
+)
+register(
+    "view_sitemap",
+    lambda s, d: reports.sitemap_pages(pages(s, d)),
+    f"{P} SELECT url FROM pagereports WHERE {OK} AND (canonical = '' OR canonical = url) AND crawled",
+)
 # orders stand for crawls of customers
-crawls = lambda s, d: s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS id", "o_custkey AS project_id", "o_orderdate AS start", "IF(o_orderkey % 3 = 0, NULL, o_orderdate) AS end", "IF(o_orderkey % 5 = 0, NULL, o_orderdate) AS issues_end")
-register("view_last_crawl", lambda s, d: reports.last_crawl(crawls(s, d)).select("project_id", "id", "crawling"), "SELECT o_custkey AS project_id, o_orderkey AS id, o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AS crawling FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+crawls = lambda s, d: s.read.parquet(f"{d}/orders.parquet").selectExpr(
+    "o_orderkey AS id",
+    "o_custkey AS project_id",
+    "o_orderdate AS start",
+    "IF(o_orderkey % 3 = 0, NULL, o_orderdate) AS end",
+    "IF(o_orderkey % 5 = 0, NULL, o_orderdate) AS issues_end",
+)
+register(
+    "view_last_crawl",
+    lambda s, d: reports.last_crawl(crawls(s, d)).select("project_id", "id", "crawling"),
+    "SELECT o_custkey AS project_id, o_orderkey AS id, o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 AS crawling FROM orders "
+    "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+)
 register("crawls_unfinished", lambda s, d: lifecycle.unfinished(crawls(s, d)), "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0")
-register("crawls_superseded", lambda s, d: lifecycle.superseded(crawls(s, d)), "SELECT o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 1")
-register("view_last_crawls", lambda s, d: reports.last_crawls(crawls(s, d)).select("id", "project_id"), "SELECT o_orderkey AS id, o_custkey AS project_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+register(
+    "crawls_superseded",
+    lambda s, d: lifecycle.superseded(crawls(s, d)),
+    "SELECT o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 1",
+)
+register(
+    "view_last_crawls",
+    lambda s, d: reports.last_crawls(crawls(s, d)).select("id", "project_id"),
+    "SELECT o_orderkey AS id, o_custkey AS project_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5",
+)
 
 # exports
 
-register("export_page_reports", lambda s, d: exports.page_reports(pages(s, d)), f"""{P} SELECT status_code AS "Status Code", url AS "URL", title AS "Title", CAST(length(title) AS INT) AS "Title Length", description AS "Description", CAST(length(description) AS INT) AS "Description Length", lang AS "Language", h1 AS "H1", h2 AS "H2", words AS "Nº of words", content_type AS "Content Type", media_type AS "Media Type", robots AS "Robots", canonical AS "Canonical", printf('%.1f KB', size / 1024) AS "Size", printf('%d ms', ttfb) AS "TTFB", depth AS "Depth" FROM pagereports""")
-register("export_links", lambda s, d: exports.resource("internal", fx.links(s, d), pages(s, d)), f"""{PL} SELECT p.url AS "Origin", l.url AS "Destination", l.text AS "Text" FROM links l LEFT JOIN pagereports p ON p.id = l.pagereport_id AND p.crawl_id = l.crawl_id""")
-register("export_images", lambda s, d: exports.resource("images", images(s, d), pages(s, d)), f"""{P} SELECT url AS "Origin", 'i.png' AS "Image URL", repeat('a', alt_length) AS "Alt" FROM pagereports, range(1, 3) r(i) WHERE i <= n_images""")
-register("export_hreflangs", lambda s, d: exports.resource("hreflangs", fx.hreflangs(s, d), pages(s, d)), f"""{fx.duck('pagereports', 'hreflangs')} SELECT p.url AS "Origin", from_lang AS "Origin Language", to_url AS "Hreflang", to_lang AS "Hreflang Language" FROM hreflangs h LEFT JOIN pagereports p ON p.id = h.pagereport_id AND p.crawl_id = h.crawl_id""")
-register("export_all_issues", lambda s, d: exports.all_issues(issues(s, d), issue_types(s), pages(s, d)), ISSUES_SQL + """ SELECT p.url AS "URL", type AS "Issue Type", CASE priority WHEN 1 THEN 'Critical' WHEN 2 THEN 'Alert' ELSE 'Warning' END AS "Issue Priority" FROM issues i JOIN types USING (issue_type_id) JOIN pagereports p ON p.id = i.pagereport_id""")
-register("archive_cdxj_key", lambda s, d: pages_table(s, d).select("page_id", archive.cdxj_key(F.col("url")).alias("key")), r"SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', ''), '.')), ',') || ')' || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) END AS key FROM pages")
+register(
+    "export_page_reports",
+    lambda s, d: exports.page_reports(pages(s, d)),
+    f"""{P} SELECT status_code AS "Status Code", url AS "URL", title AS "Title", CAST(length(title) AS INT) AS "Title Length", """
+    f"""description AS "Description", CAST(length(description) AS INT) AS "Description Length", lang AS "Language", h1 AS "H1", """
+    f"""h2 AS "H2", words AS "Nº of words", content_type AS "Content Type", media_type AS "Media Type", robots AS "Robots", """
+    f"""canonical AS "Canonical", printf('%.1f KB', size / 1024) AS "Size", printf('%d ms', ttfb) AS "TTFB", depth AS "Depth" """
+    f"""FROM pagereports""",
+)
+register(
+    "export_links",
+    lambda s, d: exports.resource("internal", fx.links(s, d), pages(s, d)),
+    f"""{PL} SELECT p.url AS "Origin", l.url AS "Destination", l.text AS "Text" FROM links l LEFT """
+    f"""JOIN pagereports p ON p.id = l.pagereport_id AND p.crawl_id = l.crawl_id""",
+)
+register(
+    "export_images",
+    lambda s, d: exports.resource("images", images(s, d), pages(s, d)),
+    f"""{P} SELECT url AS "Origin", 'i.png' AS "Image URL", repeat('a', alt_length) AS "Alt" FROM pagereports, range(1, 3) r(i) """
+    f"""WHERE i <= n_images""",
+)
+register(
+    "export_hreflangs",
+    lambda s, d: exports.resource("hreflangs", fx.hreflangs(s, d), pages(s, d)),
+    f"""{fx.duck('pagereports', 'hreflangs')} SELECT p.url AS "Origin", from_lang AS "Origin Language", to_url AS "Hreflang", """
+    f"""to_lang AS "Hreflang Language" FROM hreflangs h LEFT JOIN pagereports p ON p.id = h.pagereport_id AND p.crawl_id = h.crawl_id""",
+)
+register(
+    "export_all_issues",
+    lambda s, d: exports.all_issues(issues(s, d), issue_types(s), pages(s, d)),
+    ISSUES_SQL + """ SELECT p.url AS "URL", type AS "Issue Type", CASE priority WHEN 1 THEN 'Critical' WHEN 2 THEN 'Alert' ELSE 'Warning' END AS "Issue Priority" FROM issues i JOIN types USING (issue_type_id) JOIN pagereports p ON p.id = i.pagereport_id""",
+)
+register(
+    "archive_cdxj_key",
+    lambda s, d: pages_table(s, d).select("page_id", archive.cdxj_key(F.col("url")).alias("key")),
+    r"SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', "
+    r"''), '.')), ',') || ')' || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, "
+    r"'^[a-z]+://[^/?#]*([^#]*)', 1) END AS key FROM pages",
+)
 
 # extraction from the real pages
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`pages` taken as fetched HTML with status 200, which is an assumption: the table has no fetch facts."""
-    return pages_table(spark, sf_dir).selectExpr("1L AS crawl_id", "url", "200 AS status_code", "map('Content-Type', array('text/html; charset=utf-8')) AS headers", "html AS body", "CAST(octet_length(html) AS BIGINT) AS content_length", "100 AS ttfb", "1 AS depth", "true AS in_sitemap", "false AS robotstxt_blocked", "false AS timeout")
+    return pages_table(spark, sf_dir).selectExpr(
+        "1L AS crawl_id",
+        "url",
+        "200 AS status_code",
+        "map('Content-Type', array('text/html; charset=utf-8')) AS headers",
+        "html AS body",
+        "CAST(octet_length(html) AS BIGINT) AS content_length",
+        "100 AS ttfb",
+        "1 AS depth",
+        "true AS in_sitemap",
+        "false AS robotstxt_blocked",
+        "false AS timeout",
+    )
 
 
 records = lambda s, d: html.page_records(responses(s, d)).withColumn("id", F.xxhash64("crawl_id", "url"))
@@ -136,19 +338,71 @@ register(
     "table_pagereports", lambda s, d: lifecycle.page_table(site.records(s, d)),
     f"{site.duck()} SELECT {', '.join(site.FACTS)}, sha256(url) AS url_hash, CASE WHEN redirect_url = '' THEN '' ELSE sha256(redirect_url) END AS redirect_hash FROM site",
 )
-register("extract_record", lambda s, d: site.records(s, d).select("id", "h1", "h2", "words", "canonical", "refresh", "robots", F.size("links").alias("n_links"), F.size("images").alias("n_images"), F.size("dom.css_urls").alias("n_css_urls"), "dom.n_head_title", "dom.n_head_canonical"), f"{site.duck()} SELECT id, h1, h2, words, canonical, refresh, robots, CAST(len(links) AS INT) AS n_links, CAST(len(images) AS INT) AS n_images, CAST(len(css_urls) AS INT) AS n_css_urls, CAST(n_title AS INT) AS n_head_title, CAST(n_canonical AS INT) AS n_head_canonical FROM site")
+register(
+    "extract_record",
+    lambda s, d: site.records(s, d).select(
+        "id",
+        "h1",
+        "h2",
+        "words",
+        "canonical",
+        "refresh",
+        "robots",
+        F.size("links").alias("n_links"),
+        F.size("images").alias("n_images"),
+        F.size("dom.css_urls").alias("n_css_urls"),
+        "dom.n_head_title",
+        "dom.n_head_canonical",
+    ),
+    f"{site.duck()} SELECT id, h1, h2, words, canonical, refresh, robots, CAST(len(links) AS INT) AS n_links, "
+    f"CAST(len(images) AS INT) AS n_images, CAST(len(css_urls) AS INT) AS n_css_urls, CAST(n_title AS INT) AS n_head_title, "
+    f"CAST(n_canonical AS INT) AS n_head_canonical FROM site",
+)
 register("extract_page_issues", lambda s, d: page_rules.page_issues(site.records(s, d)), site.issues_sql(site.RULES))
-register("rules_strict", lambda s, d: page_rules.page_issues(site.records(s, d), [r for r in page_rules.page_rules(strict=True) if r.code in site.STRICT]), site.issues_sql(site.STRICT))
+register(
+    "rules_strict",
+    lambda s, d: page_rules.page_issues(site.records(s, d), [r for r in page_rules.page_rules(strict=True) if r.code in site.STRICT]),
+    site.issues_sql(site.STRICT),
+)
 register("extract_expand_links", lambda s, d: crawl.expand_links(site.records(s, d)), site.EXPANDED)
 register("extract_link_counters", lambda s, d: reports.link_counters(site.records(s, d)), site.COUNTERS)
 TITLE = r"trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
-register("extract_title", lambda s, d: records(s, d).select("url", "title", "lang", "body_hash", "size", "scheme"), rf"SELECT url, replace(replace(replace({TITLE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, '<html lang=.([^>]*).>', 1) AS lang, sha256(html) AS body_hash, CAST(strlen(html) AS BIGINT) AS size, regexp_extract(url, '^([a-z]+):', 1) AS scheme FROM pages")
-register("extract_links", lambda s, d: records(s, d).select("url", F.explode("links").alias("l")).groupBy("url").agg(F.count("*").alias("n")), "SELECT url, n FROM (SELECT url, len(regexp_extract_all(html, '<a href=')) AS n FROM pages) WHERE n > 0")
-register("flagship_titles_by_priority", lambda s, d: flagship(s, d), "SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT url) AS n FROM (" + " UNION ALL ".join(f"SELECT url, '{t}' AS type, {p} AS priority FROM (SELECT url, {TITLE} AS title FROM pages) WHERE {w}" for t, p, w in (("ERROR_EMPTY_TITLE", 2, "title = ''"), ("ERROR_SHORT_TITLE", 2, "strlen(title) BETWEEN 1 AND 19"), ("ERROR_LONG_TITLE", 2, "strlen(title) > 60"), ("HTTP_SCHEME", 1, "url LIKE 'http://%'"))) + ") GROUP BY 1, 2")
+register(
+    "extract_title",
+    lambda s, d: records(s, d).select("url", "title", "lang", "body_hash", "size", "scheme"),
+    rf"SELECT url, replace(replace(replace({TITLE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, "
+    rf"'<html lang=.([^>]*).>', 1) AS lang, sha256(html) AS body_hash, CAST(strlen(html) AS BIGINT) AS size, regexp_extract(url, "
+    rf"'^([a-z]+):', 1) AS scheme FROM pages",
+)
+register(
+    "extract_links",
+    lambda s, d: records(s, d).select("url", F.explode("links").alias("l")).groupBy("url").agg(F.count("*").alias("n")),
+    "SELECT url, n FROM (SELECT url, len(regexp_extract_all(html, '<a href=')) AS n FROM pages) WHERE n > 0",
+)
+register(
+    "flagship_titles_by_priority",
+    lambda s, d: flagship(s, d),
+    "SELECT type, CAST(priority AS INT) AS priority, count(DISTINCT url) AS n FROM (" + " UNION ALL ".join(
+        f"SELECT url, '{t}' AS type, {p} AS priority FROM (SELECT url, {TITLE} AS title FROM pages) WHERE {w}" for t, p, w in (
+            ("ERROR_EMPTY_TITLE", 2, "title = ''"),
+            ("ERROR_SHORT_TITLE", 2, "strlen(title) BETWEEN 1 AND 19"),
+            ("ERROR_LONG_TITLE", 2, "strlen(title) > 60"),
+            ("HTTP_SCHEME", 1, "url LIKE 'http://%'"),
+        )
+    ) + ") GROUP BY 1, 2",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and schemes of real pages to issues, joined to the dimension, pages counted by type: all in Catalyst."""
-    base = pages_table(spark, sf_dir).select(F.xxhash64("url").alias("id"), F.lit(1).alias("crawl_id"), "url", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.lit(True).alias("crawled"), F.lit("text/html").alias("media_type"), F.lit(200).alias("status_code"))
+    base = pages_table(spark, sf_dir).select(
+        F.xxhash64("url").alias("id"),
+        F.lit(1).alias("crawl_id"),
+        "url",
+        F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
+        F.lit(True).alias("crawled"),
+        F.lit("text/html").alias("media_type"),
+        F.lit(200).alias("status_code"),
+    )
     found = page_rules.page_issues(base, [r for r in page_rules.page_rules() if r.code in (6, 7, 8, 36)])
     return found.join(F.broadcast(issue_types(spark)), "issue_type_id").groupBy("type", "priority").agg(F.count_distinct("pagereport_id").alias("n"))

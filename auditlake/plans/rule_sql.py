@@ -87,24 +87,73 @@ def _same(column: str, outer: str) -> str:
 
 P, L, H = ("pagereports",), ("pagereports", "links"), ("pagereports", "hreflangs")
 GRAPH_RULE_SQL = {
-    59: (P, "SELECT id, crawl_id FROM pagereports p WHERE media_type = 'text/html' AND body_hash <> '' AND (SELECT count(*) FROM pagereports q WHERE q.crawl_id = p.crawl_id AND q.body_hash = p.body_hash AND q.media_type = 'text/html') > 1"),
-    14: (P, "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.redirect_hash = b.url_hash WHERE a.redirect_hash <> '' AND b.redirect_hash <> '' AND a.crawled AND b.crawled"),
-    23: (P, "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.redirect_hash = b.url_hash AND b.redirect_hash = a.url_hash WHERE a.crawled AND b.crawled"),
+    59: (
+        P,
+        "SELECT id, crawl_id FROM pagereports p WHERE media_type = 'text/html' AND body_hash <> '' AND (SELECT count(*) FROM pagereports q "
+        "WHERE q.crawl_id = p.crawl_id AND q.body_hash = p.body_hash AND q.media_type = 'text/html') > 1",
+    ),
+    14: (
+        P,
+        "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.redirect_hash = b.url_hash "
+        "WHERE a.redirect_hash <> '' AND b.redirect_hash <> '' AND a.crawled AND b.crawled",
+    ),
+    23: (
+        P,
+        "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.redirect_hash = b.url_hash "
+        "AND b.redirect_hash = a.url_hash WHERE a.crawled AND b.crawled",
+    ),
     4: (P, _same("title", "(y.canonical = '' OR y.canonical = y.url) AND y.crawled")),
     5: (P, _same("description", "y.canonical = '' OR y.canonical = y.url AND y.crawled")),
-    30: (L, "SELECT p.id, p.crawl_id FROM pagereports p LEFT JOIN links l ON l.crawl_id = p.crawl_id AND l.url_hash = p.url_hash WHERE p.media_type = 'text/html' AND l.url IS NULL"),
-    26: (L, "SELECT a.pagereport_id AS id, a.crawl_id FROM (SELECT DISTINCT pagereport_id, crawl_id, url_hash FROM links WHERE nofollow) a JOIN pagereports p ON p.crawl_id = a.crawl_id AND p.url_hash = a.url_hash WHERE p.crawled AND NOT p.noindex"),
+    30: (
+        L,
+        "SELECT p.id, p.crawl_id FROM pagereports p LEFT JOIN links l ON l.crawl_id = p.crawl_id AND l.url_hash = p.url_hash "
+        "WHERE p.media_type = 'text/html' AND l.url IS NULL",
+    ),
+    26: (
+        L,
+        "SELECT a.pagereport_id AS id, a.crawl_id FROM (SELECT DISTINCT pagereport_id, crawl_id, url_hash FROM links WHERE nofollow) a "
+        "JOIN pagereports p ON p.crawl_id = a.crawl_id AND p.url_hash = a.url_hash WHERE p.crawled AND NOT p.noindex",
+    ),
     34: (L, "SELECT id, crawl_id FROM pagereports WHERE (crawl_id, url_hash) IN (SELECT crawl_id, url_hash FROM links GROUP BY ALL HAVING count(DISTINCT nofollow) > 1)"),
-    18: (H, f"SELECT DISTINCT p.id, p.crawl_id FROM hreflangs h LEFT JOIN hreflangs b ON h.crawl_id = b.crawl_id AND h.from_hash = b.to_hash JOIN pagereports p ON p.id = h.pagereport_id WHERE h.to_lang <> 'x-default' AND b.to_hash IS NULL AND p.status_code < 300 AND {SELF} AND p.crawled"),
+    18: (
+        H,
+        f"SELECT DISTINCT p.id, p.crawl_id FROM hreflangs h LEFT JOIN hreflangs b ON h.crawl_id = b.crawl_id AND h.from_hash = b.to_hash "
+        f"JOIN pagereports p ON p.id = h.pagereport_id WHERE h.to_lang <> 'x-default' AND b.to_hash IS NULL AND p.status_code < 300 "
+        f"AND {SELF} AND p.crawled",
+    ),
     25: (H, f"SELECT p.id, p.crawl_id FROM pagereports p JOIN hreflangs h ON h.crawl_id = p.crawl_id AND h.to_hash = p.url_hash WHERE {HTML_OK} AND {OTHER} AND crawled"),
     28: (H, "SELECT id, crawl_id FROM pagereports WHERE noindex AND crawled AND id IN (SELECT pagereport_id FROM hreflangs)"),
-    58: (H, "SELECT id, crawl_id FROM pagereports WHERE (crawl_id, url_hash) IN (SELECT crawl_id, to_hash FROM hreflangs WHERE to_lang <> 'x-default' GROUP BY ALL HAVING count(DISTINCT to_lang) > 1)"),
-    22: (P, "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.url = b.canonical WHERE a.canonical <> '' AND a.canonical <> a.url AND a.crawled AND b.crawled"),
+    58: (
+        H,
+        "SELECT id, crawl_id FROM pagereports WHERE (crawl_id, url_hash) IN (SELECT crawl_id, to_hash FROM hreflangs "
+        "WHERE to_lang <> 'x-default' GROUP BY ALL HAVING count(DISTINCT to_lang) > 1)",
+    ),
+    22: (
+        P,
+        "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.url = b.canonical "
+        "WHERE a.canonical <> '' AND a.canonical <> a.url AND a.crawled AND b.crawled",
+    ),
     38: (P, f"SELECT id, crawl_id FROM pagereports WHERE noindex AND (crawl_id, canonical) IN (SELECT crawl_id, url FROM pagereports WHERE {OTHER})"),
-    39: (H, "SELECT h.pagereport_id AS id, h.crawl_id FROM hreflangs h JOIN pagereports p ON p.crawl_id = h.crawl_id AND p.url_hash = h.to_hash WHERE p.status_code >= 300 AND p.status_code < 400"),
-    41: (H, "SELECT h.pagereport_id AS id, h.crawl_id FROM hreflangs h JOIN pagereports p ON p.crawl_id = h.crawl_id AND p.url_hash = h.to_hash WHERE p.status_code >= 400"),
-    40: (P, "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.canonical = b.url WHERE a.canonical <> '' AND b.status_code >= 300 AND b.status_code < 400"),
-    42: (P, "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.canonical = b.url WHERE a.canonical <> '' AND b.status_code >= 400"),
+    39: (
+        H,
+        "SELECT h.pagereport_id AS id, h.crawl_id FROM hreflangs h JOIN pagereports p ON p.crawl_id = h.crawl_id "
+        "AND p.url_hash = h.to_hash WHERE p.status_code >= 300 AND p.status_code < 400",
+    ),
+    41: (
+        H,
+        "SELECT h.pagereport_id AS id, h.crawl_id FROM hreflangs h JOIN pagereports p ON p.crawl_id = h.crawl_id "
+        "AND p.url_hash = h.to_hash WHERE p.status_code >= 400",
+    ),
+    40: (
+        P,
+        "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.canonical = b.url "
+        "WHERE a.canonical <> '' AND b.status_code >= 300 AND b.status_code < 400",
+    ),
+    42: (
+        P,
+        "SELECT a.id, a.crawl_id FROM pagereports a JOIN pagereports b ON a.crawl_id = b.crawl_id AND a.canonical = b.url "
+        "WHERE a.canonical <> '' AND b.status_code >= 400",
+    ),
 }
 
 

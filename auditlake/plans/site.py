@@ -37,17 +37,38 @@ ALT = case((every(59), "repeat('a', 101)"), other="'one'")
 N_LINKS, N_EXTERNAL, N_IMAGES, N_WORDS = f"{K} % 4", f"{K} % 3", f"{K} % 3", f"{K} % 300"
 
 HEAD = [
-    case((every(11), "''"), (every(5), join("'<title>First '", TEXT, "'</title><title>Second</title>'")), other=join("'<title> Page '", TEXT, "' of the site &amp; more </title>'")),
-    case((every(4), "''"), (every(4, 1), "'<meta name=\"description\" content=\"One\"><meta name=\"description\" content=\"Two\">'"), other=join("'<meta name=\"description\" content=\"'", f"repeat('d', CAST({K} % 200 AS INT))", "'\">'")),
+    case(
+        (every(11), "''"),
+        (every(5), join("'<title>First '", TEXT, "'</title><title>Second</title>'")),
+        other=join("'<title> Page '", TEXT, "' of the site &amp; more </title>'"),
+    ),
+    case(
+        (every(4), "''"),
+        (every(4, 1), "'<meta name=\"description\" content=\"One\"><meta name=\"description\" content=\"Two\">'"),
+        other=join("'<meta name=\"description\" content=\"'", f"repeat('d', CAST({K} % 200 AS INT))", "'\">'"),
+    ),
     case((every(3), "''"), other="'<meta name=\"viewport\" content=\"width=device-width\">'"),
-    case((every(12, 1), "'<meta name=\"robots\" content=\"noindex\">'"), (every(12, 2), "'<meta name=\"robots\" content=\"nofollow\">'"), (every(12, 3), "'<meta name=\"robots\" content=\"none\">'"), (every(12, 4), "'<meta name=\"robots\" content=\"nosnippet\">'"), (every(12, 5), "'<meta name=\"robots\" content=\"noimageindex\">'")),
+    case(
+        (every(12, 1), "'<meta name=\"robots\" content=\"noindex\">'"),
+        (every(12, 2), "'<meta name=\"robots\" content=\"nofollow\">'"),
+        (every(12, 3), "'<meta name=\"robots\" content=\"none\">'"),
+        (every(12, 4), "'<meta name=\"robots\" content=\"nosnippet\">'"),
+        (every(12, 5), "'<meta name=\"robots\" content=\"noimageindex\">'"),
+    ),
     case((every(10, 7), "'<meta http-equiv=\"refresh\" content=\"5;url=/moved\">'")),
     case((every(7, 3), "'<base href=\"/base/x\">'")),
-    case((every(5, 1), join("'<link rel=\"canonical\" href=\"'", URL, "'\">'")), (every(5, 2), "'<link rel=\"canonical\" href=\"/c\">'"), (every(5, 3), "'<link rel=\"canonical\" href=\"/c1\"><link rel=\"canonical\" href=\"/c2\">'")),
+    case(
+        (every(5, 1), join("'<link rel=\"canonical\" href=\"'", URL, "'\">'")),
+        (every(5, 2), "'<link rel=\"canonical\" href=\"/c\">'"),
+        (every(5, 3), "'<link rel=\"canonical\" href=\"/c1\"><link rel=\"canonical\" href=\"/c2\">'"),
+    ),
     case((every(4, 2), join("'<link rel=\"alternate\" hreflang=\"fr\" href=\"/fr/p\"><link rel=\"alternate\" hreflang=\"x-default\" href=\"'", URL, "'\">'"))),
     case((every(8, 2), join("'<link rel=\"alternate\" hreflang=\"es\" href=\"'", URL, "'\">'"))),
     case((every(6, 5), "'<link rel=\"next\" href=\"a/1.html\">'")),
-    case((every(2), "'<link rel=\"stylesheet\" href=\"/s.css\">'"), other="'<script src=\"/a.js\">no words here</script><meta http-equiv=\"Content-Security-Policy\" content=\"default-src\">'"),
+    case(
+        (every(2), "'<link rel=\"stylesheet\" href=\"/s.css\">'"),
+        other="'<script src=\"/a.js\">no words here</script><meta http-equiv=\"Content-Security-Policy\" content=\"default-src\">'",
+    ),
     case((every(3, 1), "'<link rel=\"preload\" href=\"/f.woff\">'"), (every(3, 2), "'<style>body{background:url(bg.png)}</style>'")),
 ]
 BODY = [
@@ -65,7 +86,13 @@ BODY = [
     case((every(43), "'<a href=\"http://localhost/z\">z</a>'")),
     case((f"{N_IMAGES} >= 1", join("'<img src=\"/i1.png\" width=\"1\" height=\"2\" alt=\"'", ALT, "'\">'"))),
     case((f"{N_IMAGES} >= 2", "'<img src=\"i2.png\" srcset=\"s1.png 1x, s2.png 2x\" alt=\"\">'")),
-    case((every(6, 1), "'<picture><source srcset=\"/p1.webp 1x, /p2.webp 2x\"><img src=\"/p.png\" alt=\"pic\" width=\"1\" height=\"1\"></picture>'"), (every(6, 2), "'<picture><source srcset=\"/q.webp\"></picture>'")),
+    case(
+        (
+            every(6, 1),
+            "'<picture><source srcset=\"/p1.webp 1x, /p2.webp 2x\"><img src=\"/p.png\" alt=\"pic\" width=\"1\" height=\"1\"></picture>'",
+        ),
+        (every(6, 2), "'<picture><source srcset=\"/q.webp\"></picture>'"),
+    ),
     case((every(4, 1), "'<iframe src=\"/f.html\"></iframe>'")),
     case((every(5, 2), "'<audio src=\"/a.mp3\"><source src=\"/b.ogg\"></audio>'"), (every(5, 3), "'<video poster=\"/v.png\"><source src=\"/v.mp4\"></video>'")),
     case((every(3, 1), "'<form action=\"http://site.example/f\"></form>'"), (every(3, 2), "'<form action=\"/f\"></form>'")),
@@ -74,9 +101,21 @@ BODY = [
     case((every(97), "repeat('<i>x</i>', 1600)")),
     join("'<p>'", f"repeat('word ', CAST({N_WORDS} AS INT))", "'</p>'"),
 ]
-PAGE = join("'<!DOCTYPE html><html'", case((every(3), "' lang=\"en\"'"), (every(3, 1), "' lang=\"fr\"'")), "'><head>'", *HEAD, "'</head><body>'", *BODY, "'</body></html>'")
+PAGE = join(
+    "'<!DOCTYPE html><html'",
+    case((every(3), "' lang=\"en\"'"), (every(3, 1), "' lang=\"fr\"'")),
+    "'><head>'",
+    *HEAD,
+    "'</head><body>'",
+    *BODY,
+    "'</body></html>'",
+)
 CANONICAL_HEADER = case((f"{K} % 5 = 4 OR {every(10, 8)}", "'<https://site.example/h>; rel=\"canonical\"'"))
-LINK_HEADER = join(CANONICAL_HEADER, case((f"({K} % 5 = 4 OR {every(10, 8)}) AND {every(4, 3)}", "','")), case((every(4, 3), "'<https://site.example/de>; rel=\"alternate\"; hreflang=\"de\"'")))
+LINK_HEADER = join(
+    CANONICAL_HEADER,
+    case((f"({K} % 5 = 4 OR {every(10, 8)}) AND {every(4, 3)}", "','")),
+    case((every(4, 3), "'<https://site.example/de>; rel=\"alternate\"; hreflang=\"de\"'")),
+)
 HEADERS = {
     "Content-Type": join(KIND, case((f"{KIND} = 'text/html'", "'; charset=utf-8'"))),
     "Location": case((every(9, 1), join("'/m'", TEXT))),
@@ -88,7 +127,11 @@ HEADERS = {
     "X-Content-Type-Options": case((every(5), "'nosniff'")),
 }
 RESPONSE = {
-    "crawl_id": "CAST(1 AS BIGINT)", "url": URL, "status_code": STATUS, "body": case((f"{KIND} = 'image/png'", "NULL"), (f"{KIND} = 'text/css'", "'a{background:url(x.png)}'"), other=PAGE), "content_length": f"CAST(({K} * 7919) % 1000000 AS BIGINT)",
+    "crawl_id": "CAST(1 AS BIGINT)", "url": URL, "status_code": STATUS, "body": case(
+        (f"{KIND} = 'image/png'", "NULL"),
+        (f"{KIND} = 'text/css'", "'a{background:url(x.png)}'"),
+        other=PAGE,
+    ), "content_length": f"CAST(({K} * 7919) % 1000000 AS BIGINT)",
     "ttfb": f"CAST(({K} * 37) % 1200 AS INT)", "depth": f"CAST({K} % 10 - 1 AS INT)", "in_sitemap": every(2), "robotstxt_blocked": every(29), "timeout": every(101),
 }
 
@@ -134,8 +177,16 @@ LISTS = {
         given(f"{N_LINKS} >= 3", link(case((every(7, 3), absolute("/a/3.html")), other=join(absolute("/a/3.html"), "'?x=1'")), "", "3 &lt; 4")),
         f"CASE WHEN ({HTML}) AND {every(89)} THEN list_transform(range(101), lambda i: {link(absolute('/many'), '', 'm')}) ELSE [] END",
     ],
-    "external_links": [given(f"{N_EXTERNAL} >= 1", link("'https://other.example/x'", "sponsored", "x")), given(f"{N_EXTERNAL} >= 2", link("'http://other.example/'", "ugc nofollow", "y")), given(every(43), link("'http://localhost/z'", "", "z"))],
-    "hreflangs": [given(every(4, 2), row(url=absolute("/fr/p"), lang="'fr'"), row(url=URL, lang="'x-default'")), given(every(8, 2), row(url=URL, lang="'es'")), given(every(4, 3), row(url="'https://site.example/de'", lang="'de'"))],
+    "external_links": [
+        given(f"{N_EXTERNAL} >= 1", link("'https://other.example/x'", "sponsored", "x")),
+        given(f"{N_EXTERNAL} >= 2", link("'http://other.example/'", "ugc nofollow", "y")),
+        given(every(43), link("'http://localhost/z'", "", "z")),
+    ],
+    "hreflangs": [
+        given(every(4, 2), row(url=absolute("/fr/p"), lang="'fr'"), row(url=URL, lang="'x-default'")),
+        given(every(8, 2), row(url=URL, lang="'es'")),
+        given(every(4, 3), row(url="'https://site.example/de'", lang="'de'")),
+    ],
     "images": [
         given(f"{N_IMAGES} >= 1", image("/i1.png", ALT)), given(f"{N_IMAGES} >= 2", image("i2.png", "''"), image("s1.png", "''"), image("s2.png", "''")),
         given(every(6, 1), image("/p.png", "'pic'"), image("/p1.webp", "'pic'"), image("/p2.webp", "'pic'")),
@@ -145,7 +196,11 @@ LISTS = {
     "styles": [given(every(2), absolute("/s.css"))],
     "iframes": [given(every(4, 1), absolute("/f.html"))],
     "audios": [given(every(5, 2), absolute("/a.mp3"), absolute("/b.ogg"))],
-    "css_urls": [given(every(3, 2), join(FOLDER, "'bg.png'")), given(every(7, 2), join(ORIGIN, "'/in.png'")), f"CASE WHEN {KIND} = 'text/css' AND {K} % 9 <> 1 THEN [concat({FOLDER}, 'x.png')] ELSE [] END"],
+    "css_urls": [
+        given(every(3, 2), join(FOLDER, "'bg.png'")),
+        given(every(7, 2), join(ORIGIN, "'/in.png'")),
+        f"CASE WHEN {KIND} = 'text/css' AND {K} % 9 <> 1 THEN [concat({FOLDER}, 'x.png')] ELSE [] END",
+    ],
     "preload": [given(every(3, 1), absolute("/f.woff"))],
 }
 
@@ -155,22 +210,35 @@ def of_page(value: str, other: str = "''") -> str:
 
 
 TITLE = of_page(case((every(11), "''"), (every(5), join("'First '", TEXT)), other=join("'Page '", TEXT, "' of the site & more'")))
-ROBOTS = of_page(f"CASE {K} % 12 WHEN 1 THEN 'noindex' WHEN 2 THEN 'nofollow' WHEN 3 THEN 'none' WHEN 4 THEN 'nosnippet' WHEN 5 THEN 'noimageindex' WHEN 6 THEN 'noindex' ELSE '' END")
+ROBOTS = of_page(
+    f"CASE {K} % 12 WHEN 1 THEN 'noindex' WHEN 2 THEN 'nofollow' WHEN 3 THEN 'none' WHEN 4 THEN 'nosnippet' WHEN 5 THEN 'noimageindex' "
+    f"WHEN 6 THEN 'noindex' ELSE '' END"
+)
 FACTS = {
     "id": K, "crawl_id": RESPONSE["crawl_id"], "url": URL, "scheme": SCHEME, "status_code": STATUS, "content_type": HEADERS["Content-Type"], "media_type": KIND,
-    "redirect_url": case((every(9, 1), f"concat({ORIGIN}, '/m', {TEXT})"), (f"({HTML}) AND {every(10, 7)}", absolute("/moved"))), "refresh": of_page(case((every(10, 7), "'5;url=/moved'"))),
+    "redirect_url": case(
+        (every(9, 1), f"concat({ORIGIN}, '/m', {TEXT})"),
+        (f"({HTML}) AND {every(10, 7)}", absolute("/moved")),
+    ), "refresh": of_page(case((every(10, 7), "'5;url=/moved'"))),
     "lang": of_page(case((every(3), "'en'"), (every(3, 1), "'fr'"), (every(6, 5), "'de'"))), "title": TITLE,
     "description": of_page(case((every(4), "''"), (every(4, 1), "'One'"), other=f"repeat('d', CAST({K} % 200 AS INT))")),
     "robots": ROBOTS, "noindex": f"({HTML}) AND {K} % 12 IN (1, 3, 6)", "nofollow": f"({HTML}) AND {K} % 12 IN (2, 3)",
     "canonical": of_page(case((every(5, 1), URL), (every(5, 2), absolute("/c")), (f"{K} % 5 = 4 OR {every(10, 8)}", "'https://site.example/h'"))),
     "h1": of_page(case((every(6), "''"), other=join("'Heading '", TEXT))), "h2": of_page(case((every(4), "''"), other=join("'Part '", TEXT))),
-    "words": of_page(f"CAST({N_WORDS} + CASE WHEN {every(6)} THEN 0 ELSE 2 END + CASE WHEN {every(4)} THEN 0 ELSE 2 END + CASE WHEN {every(8)} THEN 1 ELSE 0 END + CASE WHEN {every(97)} THEN 1600 ELSE 0 END AS INT)", "0"),
+    "words": of_page(
+        f"CAST({N_WORDS} + CASE WHEN {every(6)} THEN 0 ELSE 2 END + CASE WHEN {every(4)} THEN 0 ELSE 2 END + CASE WHEN {every(8)} THEN 1 "
+        f"ELSE 0 END + CASE WHEN {every(97)} THEN 1600 ELSE 0 END AS INT)",
+        "0",
+    ),
     "size": f"CASE WHEN {KIND} = 'image/png' THEN {RESPONSE['content_length']} ELSE strlen(body) END", "body_hash": of_page("sha256(body)"),
     "robotstxt_blocked": every(29), "crawled": f"NOT ({every(101)}) AND NOT (({HTML}) AND {K} % 12 IN (2, 3))", "in_sitemap": every(2), "timeout": every(101), "depth": RESPONSE["depth"], "ttfb": RESPONSE["ttfb"],
 }
 #: What only rules read.
 DOM = {
-    "n_title": of_page(case((every(11), "0"), (every(5), "2"), other="1"), "0"), "n_canonical": of_page(f"CASE {K} % 5 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END", "0"), "first_canonical": of_page(case((every(5, 1), URL), (every(5, 2), "'/c'"), (every(5, 3), "'/c1'"))),
+    "n_title": of_page(case((every(11), "0"), (every(5), "2"), other="1"), "0"), "n_canonical": of_page(
+        f"CASE {K} % 5 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END",
+        "0",
+    ), "first_canonical": of_page(case((every(5, 1), URL), (every(5, 2), "'/c'"), (every(5, 3), "'/c1'"))),
     "html": HTML, "k": K, "canonical_header": f"CASE WHEN {K} % 5 = 4 OR {every(10, 8)} THEN 'https://site.example/h' END", "hsts": HEADERS["Strict-Transport-Security"], "csp": f"(({HTML}) AND {every(2, 1)}) OR {every(4)}", "nosniff": every(5),
 }
 
@@ -210,17 +278,31 @@ STRICT = {20: f"{OK} AND (nofollow AND len(links) > 0 OR html AND k % 4 >= 2)",
 
 
 def issues_sql(rules: dict[int, str]) -> str:
-    return f"{duck()} " + " UNION ALL ".join(f"SELECT id AS pagereport_id, crawl_id, CAST({code} AS INT) AS issue_type_id FROM site WHERE {where}" for code, where in rules.items())
+    return f"{duck()} " + " UNION ALL ".join(
+        f"SELECT id AS pagereport_id, crawl_id, CAST({code} AS INT) AS issue_type_id FROM site WHERE {where}" for code, where in rules.items()
+    )
 
 
 #: What records lead to, by kind, as operators.crawl.expand_links() gives it.
 EXPANDED = (
     f"{duck()} SELECT crawl_id, source, url, kind, kind = 'resource' AS ignore_domain FROM ("
     + " UNION ALL ".join(
-        [f"SELECT crawl_id, url AS source, x.url AS url, 'link' AS kind FROM (SELECT crawl_id, url, nofollow, unnest({c}) AS x FROM site) WHERE NOT nofollow AND NOT x.nofollow" for c in ("links", "external_links")]
-        + ["SELECT crawl_id, url, x.url, 'indirect' FROM (SELECT crawl_id, url, unnest(hreflangs) AS x FROM site)", "SELECT crawl_id, url, unnest(iframes), 'indirect' FROM site", "SELECT crawl_id, url, unnest([redirect_url, canonical]), 'indirect' FROM site"]
+        [
+            f"SELECT crawl_id, url AS source, x.url AS url, 'link' AS kind FROM (SELECT crawl_id, url, nofollow, unnest({c}) AS x FROM site) WHERE NOT nofollow AND NOT x.nofollow" for c in ("links", "external_links")
+        ]
+        + [
+            "SELECT crawl_id, url, x.url, 'indirect' FROM (SELECT crawl_id, url, unnest(hreflangs) AS x FROM site)",
+            "SELECT crawl_id, url, unnest(iframes), 'indirect' FROM site",
+            "SELECT crawl_id, url, unnest([redirect_url, canonical]), 'indirect' FROM site",
+        ]
         + [f"SELECT crawl_id, url, unnest({c}), 'resource' FROM site" for c in ("scripts", "styles", "audios", "css_urls", "preload")]
-        + [f"SELECT crawl_id, url, x.{at}, 'resource' FROM (SELECT crawl_id, url, unnest({c}) AS x FROM site)" for c, at in (("images", "url"), ("videos", "url"), ("videos", "poster"))]
+        + [
+            f"SELECT crawl_id, url, x.{at}, 'resource' FROM (SELECT crawl_id, url, unnest({c}) AS x FROM site)" for c, at in (
+                ("images", "url"),
+                ("videos", "url"),
+                ("videos", "poster"),
+            )
+        ]
     )
     + ") WHERE url <> ''"
 )

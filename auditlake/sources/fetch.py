@@ -97,4 +97,7 @@ def with_external_status(pages: DataFrame, known: DataFrame) -> DataFrame:
     filled = one.join(known.select(F.col("url").alias("asked"), F.col("status_code").alias("told")), F.col("link.url") == F.col("asked"), "left")
     link = F.col("link").withField("status_code", F.coalesce("told", F.lit(-1)))
     lists = filled.groupBy("crawl_id", "url").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", link.alias("link")))), lambda x: x["link"]).alias("told_links"))
-    return pages.join(lists, ["crawl_id", "url"], "left").withColumn("external_links", F.coalesce("told_links", "external_links")).drop("told_links").select(*pages.columns)
+    return pages.join(lists, ["crawl_id", "url"], "left").withColumn(
+        "external_links",
+        F.coalesce("told_links", "external_links"),
+    ).drop("told_links").select(*pages.columns)

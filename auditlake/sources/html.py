@@ -58,7 +58,9 @@ class _Page(HTMLParser):
         self.stack: list[str] = []
         self.head_done = self.n_elements = 0
         self.ids: list[str] = []
-        self.facts: dict[str, list] = {k: [] for k in "title description canonical refresh robots h1 h2 alternate hreflang links images sources iframes audios videos scripts styles headings forms pagination viewport csp base preload css body_meta".split()}
+        self.facts: dict[str, list] = {
+            k: [] for k in "title description canonical refresh robots h1 h2 alternate hreflang links images sources iframes audios videos scripts styles headings forms pagination viewport csp base preload css body_meta".split()
+        }
         self.lang, self.text, self.words = "", [], []
         self.missing_size = self.bare_picture = False
         self.open: list[tuple[str, str, list]] = []  # captured texts
@@ -211,7 +213,20 @@ def link_header(values: list[str]) -> list[tuple[str, list[str]]]:
 
 
 #: Names that browsers give to other character sets than their own.
-CHARSETS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-9": "cp1254", "shift_jis": "cp932", "sjis": "cp932", "gb2312": "gb18030", "gbk": "gb18030", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "tis-620": "cp874"}
+CHARSETS = {
+    "iso-8859-1": "cp1252",
+    "latin1": "cp1252",
+    "ascii": "cp1252",
+    "us-ascii": "cp1252",
+    "iso-8859-9": "cp1254",
+    "shift_jis": "cp932",
+    "sjis": "cp932",
+    "gb2312": "gb18030",
+    "gbk": "gb18030",
+    "euc-kr": "cp949",
+    "ks_c_5601-1987": "cp949",
+    "tis-620": "cp874",
+}
 META_CHARSET = re.compile(rb"""<meta\s[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9_:.-]+)""", re.I)
 
 
@@ -251,7 +266,26 @@ def parse(r: dict) -> dict:
         **{k: "" for k in "redirect_url refresh lang title description robots canonical h1 h2 body_hash".split()}, "noindex": False, "nofollow": False, "words": 0,
         **{k: [] for k in "links external_links internal_links hreflangs images scripts styles iframes audios videos".split()},
     }
-    dom = {"n_head_canonical": 0, "first_canonical_href": "", "n_head_title": 0, "n_head_meta_description": 0, "n_body_child_meta": 0, "n_elements": 0, "has_duplicate_id": False, "heading_levels": [], "form_actions": [], "picture_without_img": False, "img_missing_size": False, "alternate_hrefs": [], "pagination_hrefs": [], "viewport_content": None, "has_csp_meta": False, "base_href": None, "preload_hrefs": [], "css_urls": []}
+    dom = {
+        "n_head_canonical": 0,
+        "first_canonical_href": "",
+        "n_head_title": 0,
+        "n_head_meta_description": 0,
+        "n_body_child_meta": 0,
+        "n_elements": 0,
+        "has_duplicate_id": False,
+        "heading_levels": [],
+        "form_actions": [],
+        "picture_without_img": False,
+        "img_missing_size": False,
+        "alternate_hrefs": [],
+        "pagination_hrefs": [],
+        "viewport_content": None,
+        "has_csp_meta": False,
+        "base_href": None,
+        "preload_hrefs": [],
+        "css_urls": [],
+    }
     out["dom"] = dom
     if 300 <= status <= 399:
         out["redirect_url"] = resolve(first("location"), url) or ""
@@ -283,7 +317,18 @@ def parse(r: dict) -> dict:
     for ref, rel, label in f["links"]:
         if target := resolve(ref, url, base):
             external = re.sub(r"^[a-z]+://([^/?#]*).*", r"\1", target, flags=re.S) != host
-            links.append({"url": target, "rel": rel, "text": label, "external": external, "nofollow": "nofollow" in rel, "sponsored": "sponsored" in rel, "ugc": "ugc" in rel, "status_code": None})
+            links.append(
+                {
+                    "url": target,
+                    "rel": rel,
+                    "text": label,
+                    "external": external,
+                    "nofollow": "nofollow" in rel,
+                    "sponsored": "sponsored" in rel,
+                    "ugc": "ugc" in rel,
+                    "status_code": None,
+                }
+            )
     alternates = [{"url": u, "lang": lang} for x, lang in f["hreflang"] if (u := resolve(x, url, base))]
     if not alternates:
         for u, ps in header_links:
@@ -304,7 +349,9 @@ def parse(r: dict) -> dict:
     out["dom"] = dom | {
         "n_head_canonical": len(f["canonical"]), "first_canonical_href": f["canonical"][0] if f["canonical"] else "", "n_head_title": len(f["title"]), "n_head_meta_description": len(f["description"]), "n_body_child_meta": len(f["body_meta"]),
         "n_elements": p.n_elements, "has_duplicate_id": len(set(p.ids)) < len(p.ids), "heading_levels": f["headings"], "form_actions": f["forms"], "picture_without_img": p.bare_picture, "img_missing_size": p.missing_size,
-        "alternate_hrefs": f["alternate"], "pagination_hrefs": absolute(f["pagination"]), "viewport_content": f["viewport"][0] if f["viewport"] else None, "has_csp_meta": bool(f["csp"]), "base_href": base, "preload_hrefs": absolute(f["preload"]), "css_urls": [u for x in f["css"] if (u := resolve(x, url))],
+        "alternate_hrefs": f["alternate"], "pagination_hrefs": absolute(f["pagination"]), "viewport_content": f["viewport"][0] if f["viewport"] else None, "has_csp_meta": bool(f["csp"]), "base_href": base, "preload_hrefs": absolute(f["preload"]), "css_urls": [
+            u for x in f["css"] if (u := resolve(x, url))
+        ],
     }
     return out
 
@@ -327,7 +374,15 @@ def page_records(responses: DataFrame, follow_nofollow: bool = False, include_no
                 r["headers"] = dict(r["headers"] or [])
                 page = parse(r)
                 flags = {k: bool(r[k]) for k in ("in_sitemap", "robotstxt_blocked", "timeout")}
-                page |= {"crawl_id": r["crawl_id"], "url": r["url"], "status_code": r["status_code"] or 0, "depth": r["depth"], "ttfb": r["ttfb"], **flags, "crawled": not flags["timeout"] and (follow_nofollow or not page["nofollow"])}
+                page |= {
+                    "crawl_id": r["crawl_id"],
+                    "url": r["url"],
+                    "status_code": r["status_code"] or 0,
+                    "depth": r["depth"],
+                    "ttfb": r["ttfb"],
+                    **flags,
+                    "crawled": not flags["timeout"] and (follow_nofollow or not page["nofollow"]),
+                }
                 page["headers"] = list(page["headers"].items())
                 if include_noindex or not page["noindex"]:
                     rows.append(page)

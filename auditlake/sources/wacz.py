@@ -38,7 +38,14 @@ def key(url: str) -> str:
 
 
 def warc_record(url: str, stamp: str, mime: str, content: bytes) -> bytes:
-    names = {"WARC-Type": "response", "WARC-Date": stamp, "WARC-Target-URI": url, "Content-Type": mime, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{stamp} {url}')}>", "Content-Length": len(content)}
+    names = {
+        "WARC-Type": "response",
+        "WARC-Date": stamp,
+        "WARC-Target-URI": url,
+        "Content-Type": mime,
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{stamp} {url}')}>",
+        "Content-Length": len(content),
+    }
     clean = lambda v: str(v).replace("\r", " ").replace("\n", " ")
     return b"WARC/1.0\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in names.items()).encode() + b"\r\n" + content + b"\r\n\r\n"
 
@@ -50,7 +57,15 @@ def _record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             body = (r["body"] or "").encode()
             content = f"HTTP/1.1 {r['status_code'] or 0}\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, vs in headers.items() for v in vs).encode() + b"\r\n" + body
             mime = next((vs[0] for k, vs in headers.items() if k.lower() == "content-type" and vs), "")
-            columns = [r["url"], r["stamp"], mime, r["status_code"] or 0, "sha-256:" + hashlib.sha256(body).hexdigest(), "sha256:" + hashlib.sha256(content).hexdigest(), warc_record(r["url"], r["stamp"], mime, content)]
+            columns = [
+                r["url"],
+                r["stamp"],
+                mime,
+                r["status_code"] or 0,
+                "sha-256:" + hashlib.sha256(body).hexdigest(),
+                "sha256:" + hashlib.sha256(content).hexdigest(),
+                warc_record(r["url"], r["stamp"], mime, content),
+            ]
             types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, types)], [x.split()[0] for x in RECORD.split(", ")])
 
@@ -58,7 +73,13 @@ def _record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def records(responses: DataFrame, moment: str | None = None) -> DataFrame:
     """RECORD rows of responses(url, status_code, headers, body); moment: their common time, now where not given."""
     time = F.current_timestamp() if moment is None else F.lit(moment).cast("timestamp")
-    return responses.where("url IS NOT NULL").select("url", "status_code", "headers", "body", F.date_format(urls.utc(time), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp")).mapInArrow(_record_batches, RECORD)
+    return responses.where("url IS NOT NULL").select(
+        "url",
+        "status_code",
+        "headers",
+        "body",
+        F.date_format(urls.utc(time), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"),
+    ).mapInArrow(_record_batches, RECORD)
 
 
 def write(responses: DataFrame, path: str, moment: str | None = None) -> int:
@@ -69,7 +90,16 @@ def write(responses: DataFrame, path: str, moment: str | None = None) -> int:
         with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as out:
             for r in records(responses, moment).toLocalIterator():
                 out.write(r.record)
-                entry = {"url": r.url, "mime": r.mime, "status": str(r.status), "digest": r.digest, "recordDigest": r.record_digest, "length": len(r.record), "offset": at, "filename": DATA}
+                entry = {
+                    "url": r.url,
+                    "mime": r.mime,
+                    "status": str(r.status),
+                    "digest": r.digest,
+                    "recordDigest": r.record_digest,
+                    "length": len(r.record),
+                    "offset": at,
+                    "filename": DATA,
+                }
                 lines.append(f"{key(r.url)} {r.stamp.translate(str.maketrans('', '', '-T:Z'))} {json.dumps(entry)}\n".encode())
                 pages.append(json.dumps({"url": r.url, "ts": r.stamp}) + "\n")
                 at += len(r.record)

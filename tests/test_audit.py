@@ -74,7 +74,15 @@ def test_audit(spark, site, tmp_path):
     asked.clear()
     run = Audit(spark, str(tmp_path), f"{root}/", 7, fetch.Client(delay=0), Options(crawl_sitemap=True, check_external=True))
     pages = {r.url.removeprefix(root): r for r in run.run().collect()}
-    assert {k: (r.depth, r.status_code) for k, r in pages.items() if not r.robotstxt_blocked} == {"/": (0, 200), "/a": (1, 200), "/i.png": (1, 404), "/moved": (2, 302), "/c": (3, 200), "/map-only": (0, 200), "/below": (-1, 200)}
+    assert {k: (r.depth, r.status_code) for k, r in pages.items() if not r.robotstxt_blocked} == {
+        "/": (0, 200),
+        "/a": (1, 200),
+        "/i.png": (1, 404),
+        "/moved": (2, 302),
+        "/c": (3, 200),
+        "/map-only": (0, 200),
+        "/below": (-1, 200),
+    }
     assert [k for k, r in pages.items() if r.robotstxt_blocked] == ["/private/x"] and pages["/private/x"].crawled is False
     assert pages["/a"].in_sitemap and not pages["/c"].in_sitemap and pages["/"].external_links[0].status_code == -1
     paths = [p for m, p, _ in asked if m == "GET"]
@@ -92,7 +100,12 @@ def test_audit(spark, site, tmp_path):
 
 
 def test_wacz(spark, tmp_path):
-    rows = [("http://h.example/a", 200, {"Content-Type": ["text/html"], "X": ["1", "2"]}, "body\r\n\r\nmore é"), ("http://h.example/a b", 200, {}, "two"), ("http://h.example/ab", 404, None, None), (None, 0, None, None)]
+    rows = [
+        ("http://h.example/a", 200, {"Content-Type": ["text/html"], "X": ["1", "2"]}, "body\r\n\r\nmore é"),
+        ("http://h.example/a b", 200, {}, "two"),
+        ("http://h.example/ab", 404, None, None),
+        (None, 0, None, None),
+    ]
     path = str(tmp_path / "x" / "t.wacz")
     assert wacz.write(spark.createDataFrame(rows, "url string, status_code int, headers map<string,array<string>>, body string"), path, "2026-01-02 03:04:05") == 3
     assert wacz.read(path, "http://h.example/a") == "HTTP/1.1 200\r\nContent-Type: text/html\r\nX: 1\r\nX: 2\r\n\r\nbody\r\n\r\nmore é".encode()
@@ -112,7 +125,10 @@ def test_empty_archive(spark, tmp_path):
 
 
 def test_tables_replace_their_own_crawl(spark, tmp_path):
-    rows = lambda c, body: spark.createDataFrame([(c, "http://h.example/", 200, {"Content-Type": ["text/html"]}, body, 0, 1, 0, False, False, False)], html.RESPONSE)
+    rows = lambda c, body: spark.createDataFrame(
+        [(c, "http://h.example/", 200, {"Content-Type": ["text/html"]}, body, 0, 1, 0, False, False, False)],
+        html.RESPONSE,
+    )
     records = lambda c, body: html.page_records(rows(c, body)).withColumn("id", F.xxhash64("crawl_id", "url"))
     long = "<h1>" + "é" * 2000 + "</h1>"
     lifecycle.save_crawl(records(1, SITE["/"] + long), str(tmp_path))
@@ -126,7 +142,12 @@ def test_tables_replace_their_own_crawl(spark, tmp_path):
 
 
 def test_a_table_that_became_empty_stays_empty(spark, tmp_path):
-    rows = lambda body: html.page_records(spark.createDataFrame([(1, "http://h.example/", 200, {"Content-Type": ["text/html"]}, body, 0, 1, 0, False, False, False)], html.RESPONSE)).withColumn("id", F.xxhash64("crawl_id", "url"))
+    rows = lambda body: html.page_records(
+        spark.createDataFrame(
+            [(1, "http://h.example/", 200, {"Content-Type": ["text/html"]}, body, 0, 1, 0, False, False, False)],
+            html.RESPONSE,
+        )
+    ).withColumn("id", F.xxhash64("crawl_id", "url"))
     root = str(tmp_path)
     lifecycle.save_crawl(rows(SITE["/"]), root)
     assert lifecycle.load(spark, root, "images").count() == 1
@@ -191,18 +212,31 @@ def test_jdbc(spark):
 
 def test_sitemaps(spark):
     hosts = spark.createDataFrame([("h.example", "https"), ("g.example", "http")], "host string, scheme string")
-    robots = spark.createDataFrame([("h.example", "User-agent: *\nDisallow: /hidden\nSitemap: https://h.example/hidden/s.xml\nSitemap: https://h.example/s.xml")], "host string, body string")
+    robots = spark.createDataFrame(
+        [("h.example", "User-agent: *\nDisallow: /hidden\nSitemap: https://h.example/hidden/s.xml\nSitemap: https://h.example/s.xml")],
+        "host string, body string",
+    )
     rules = crawl.robots_rules(robots, "bot")
     named = lambda ignore: sorted((r.sitemap, r.sitemap_blocked) for r in crawl.sitemaps_of(hosts, robots, rules, ignore).collect())
     assert named(False) == [("http://g.example/sitemap.xml", False), ("https://h.example/s.xml", False)]
     assert ("https://h.example/hidden/s.xml", True) in named(True)
-    maps = spark.createDataFrame([("s", "<urlset><url><loc> http://h.example </loc></url><url><loc>http://h.example/?a=1&amp;b</loc></url></urlset>"), ("i", "<sitemapindex><sitemap><loc>http://h.example/s.xml</loc></sitemap></sitemapindex>"), ("n", None)], "sitemap string, body string")
+    maps = spark.createDataFrame(
+        [
+            ("s", "<urlset><url><loc> http://h.example </loc></url><url><loc>http://h.example/?a=1&amp;b</loc></url></urlset>"),
+            ("i", "<sitemapindex><sitemap><loc>http://h.example/s.xml</loc></sitemap></sitemapindex>"),
+            ("n", None),
+        ],
+        "sitemap string, body string",
+    )
     assert {r.url for r in crawl.sitemap_urls(maps).collect()} == {"http://h.example/", "http://h.example/?a=1&b"}
     assert [r.url for r in crawl.sitemap_children(maps).collect()] == ["http://h.example/s.xml"]
 
 
 def test_settings():
-    got = settings.settings('[Server]\nport = 9000\n[crawler]\nagent = "x"\ndebug = false', {"AUDITLAKE_SERVER_PORT": "9001", "AUDITLAKE_CRAWLER_DEBUG": "true", "HOME": "/"})
+    got = settings.settings(
+        '[Server]\nport = 9000\n[crawler]\nagent = "x"\ndebug = false',
+        {"AUDITLAKE_SERVER_PORT": "9001", "AUDITLAKE_CRAWLER_DEBUG": "true", "HOME": "/"},
+    )
     assert got == {"server": {"port": 9001}, "database": {}, "crawler": {"agent": "x", "debug": True}, "ui": {}}
     texts = {"en": settings.translations('a: "Page %n% of \\"%m%\\"" # c\nb: plain text # c\n# no: x\nq: \'it\'\'s\''), "es": {"b": "texto"}}
     assert settings.translate("a", texts, "es", n=2, m="k") == 'Page 2 of "k"' and settings.translate("b", texts, "es") == "texto"

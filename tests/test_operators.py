@@ -14,7 +14,15 @@ PAGE = """<!DOCTYPE html><html lang="en"><head><title> A &amp; B </title><meta n
 
 
 def record(body=PAGE, url="http://site.example/", status=200, **headers):
-    return html.parse({"url": url, "status_code": status, "headers": {"Content-Type": ["text/html"], **{k: [v] for k, v in headers.items()}}, "body": body, "content_length": 0})
+    return html.parse(
+        {
+            "url": url,
+            "status_code": status,
+            "headers": {"Content-Type": ["text/html"], **{k: [v] for k, v in headers.items()}},
+            "body": body,
+            "content_length": 0,
+        }
+    )
 
 
 def test_parser():
@@ -36,7 +44,16 @@ def test_parser_edges():
     assert html.srcset(" ,a.png, b.png 2x") == ["a.png", "b.png"]
 
 
-@pytest.mark.parametrize(("ref", "base", "want"), [("../a", None, "http://h.example/a"), ("b#c", None, "http://h.example/d/b"), ("//o.example", None, "http://o.example/"), ("mailto:a@b", None, None), ("?q=1", None, "http://h.example/d/e?q=1")])
+@pytest.mark.parametrize(
+    ("ref", "base", "want"),
+    [
+        ("../a", None, "http://h.example/a"),
+        ("b#c", None, "http://h.example/d/b"),
+        ("//o.example", None, "http://o.example/"),
+        ("mailto:a@b", None, None),
+        ("?q=1", None, "http://h.example/d/e?q=1"),
+    ],
+)
 def test_resolve(ref, base, want):
     assert resolve(ref, "http://h.example/d/e", base) == want
 
@@ -55,7 +72,19 @@ def test_graph_rules(spark):
     def p(i, url, to="", status=200, canonical="", title="t", lang="en", crawl=1, noindex=False):
         return (i, crawl, url, url, to, status, "text/html", lang, title, "d", canonical, noindex, True, "")
 
-    pages = [p(1, "a", "b", 301), p(2, "b", "c", 301), p(3, "c", "b", 301), p(4, "s", "s", 301), p(5, "x", title="same"), p(6, "y", title="same"), p(7, "z", title="same", lang="fr"), p(8, "a", "b", 301, crawl=2), p(9, "n", canonical="m"), p(10, "k", canonical="n"), p(11, "l", canonical="n")]
+    pages = [
+        p(1, "a", "b", 301),
+        p(2, "b", "c", 301),
+        p(3, "c", "b", 301),
+        p(4, "s", "s", 301),
+        p(5, "x", title="same"),
+        p(6, "y", title="same"),
+        p(7, "z", title="same", lang="fr"),
+        p(8, "a", "b", 301, crawl=2),
+        p(9, "n", canonical="m"),
+        p(10, "k", canonical="n"),
+        p(11, "l", canonical="n"),
+    ]
     links = [(5, 1, "y", False), (5, 1, "y", True), (5, 1, "y", True)]
     alternates = [(5, 1, "fr", "x", "z"), (7, 1, "x-default", "z", "z")]
     t = {
@@ -84,28 +113,50 @@ def test_reports(spark):
     pages = spark.createDataFrame([(1, 1, "u")], "id long, crawl_id long, url string")
     from auditlake.issue_types import issue_types
 
-    assert [tuple(r) for r in exports.all_issues(issues, issue_types(spark), pages, texts).collect()] == [("u", "Redirect", "Critical"), ("u", "ERROR_NO_INDEXABLE", "Warning")]
+    assert [
+        tuple(r) for r in exports.all_issues(issues, issue_types(spark), pages, texts).collect()
+    ] == [("u", "Redirect", "Critical"), ("u", "ERROR_NO_INDEXABLE", "Warning")]
 
 
 def test_crawl(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
-    robots = spark.createDataFrame([("h.example", "User-agent: *\nDisallow: /a\nAllow: /a/b\n\nUser-agent: bot\nUser-agent: other\nDisallow: /c$ # end\nSitemap: http://h.example/s.xml")], "host string, body string")
+    robots = spark.createDataFrame(
+        [
+            (
+                "h.example",
+                "User-agent: *\nDisallow: /a\nAllow: /a/b\n\nUser-agent: bot\nUser-agent: other\nDisallow: /c$ # end\nSitemap: http://h.example/s.xml",
+            )
+        ],
+        "host string, body string",
+    )
     pages = spark.createDataFrame([(f"http://h.example{p}",) for p in ("/a", "/a/b", "/c", "/cd", "/")], "url string")
     blocked = lambda agent: {r.url[16:] for r in crawl.blocked(pages, crawl.robots_rules(robots, agent)).where("robotstxt_blocked").collect()}
     assert blocked("unnamed") == {"/a"} and blocked("bot") == {"/c"}
     assert crawl.robots_sitemaps(robots).first().sitemap == "http://h.example/s.xml"
     edges = [("/", "/1"), ("/1", "/2"), ("/2", "/"), ("/9", "/8")]
-    links = spark.createDataFrame([(f"http://h.example{a}", f"http://h.example{b}") for a, b in edges] + [("http://h.example/", "http://o.example/")], "source string, target string")
+    links = spark.createDataFrame(
+        [(f"http://h.example{a}", f"http://h.example{b}") for a, b in edges] + [("http://h.example/", "http://o.example/")],
+        "source string, target string",
+    )
     seeds = spark.createDataFrame([("http://h.example/",)], "url string")
     assert {(r.url[16:], r.depth) for r in crawl.reach(seeds, links, "h.example").collect()} == {("/", 0), ("/1", 1), ("/2", 2)}
 
 
 def test_archive(spark):
-    rows = spark.createDataFrame([("http://a.b.example/x?y", "2026-01-02 03:04:05", "text/html", 200, "d", 0, 9), ("http://a.b.example/x?yz", "2026-01-02 03:04:05", "text/html", 200, "d", 9, 9)], "url string, ts string, mime string, status int, digest string, offset long, length long")
+    rows = spark.createDataFrame(
+        [
+            ("http://a.b.example/x?y", "2026-01-02 03:04:05", "text/html", 200, "d", 0, 9),
+            ("http://a.b.example/x?yz", "2026-01-02 03:04:05", "text/html", 200, "d", 9, 9),
+        ],
+        "url string, ts string, mime string, status int, digest string, offset long, length long",
+    )
     index = archive.cdxj_index(rows.withColumn("ts", F.to_timestamp("ts")))
     assert index.first().line.startswith("example,b,a)/x?y 20260102030405 {")
     assert archive.lookup(index, "http://a.b.example/x?y").count() == 1
-    raw = spark.createDataFrame([("HTTP/1.1 200 OK\r\nA: 1\r\na: 2\r\n\r\nbody\r\n\r\nmore",)], "raw string").select(archive.parse_http(F.col("raw")).alias("r")).first().r
+    raw = spark.createDataFrame(
+        [("HTTP/1.1 200 OK\r\nA: 1\r\na: 2\r\n\r\nbody\r\n\r\nmore",)],
+        "raw string",
+    ).select(archive.parse_http(F.col("raw")).alias("r")).first().r
     assert raw.headers == {"a": ["1", "2"]} and raw.body == "body\r\n\r\nmore"
     to = lambda u: archive.replay_url(u, "http://h.example/d/", 3)
     assert 'href="/replay?pid=3&url=http%3A%2F%2Fh.example%2Fd%2Fx"' in archive.rewrite_html('<a class="k" href="x">', to)
@@ -139,8 +190,24 @@ def test_reach_has_no_depth_limit(spark, tmp_path):
 def test_references_of_a_base():
     page = "https://h.example/a/b?q=1"
     for ref, base, want in (
-        ("x", "dir/", "https://h.example/dir/x"), ("/page.html", "/test", "https://h.example/test/page.html"), ("//o.example/x", "/d", "https://h.example/d/x"), ("x/", "https://o.example", "https://o.example/x/"), ("../y?z=1#f", "/d/e", "https://h.example/d/y"),
-        ("https://o.example/../c", "/d", "https://o.example/../c"), ("x", None, "https://h.example/a/x"), ("//o.example/x", None, "https://o.example/x"), ("?r", None, "https://h.example/a/b?r"), ("#f", None, "https://h.example/a/b?q=1"),
+        ("x", "dir/", "https://h.example/dir/x"), (
+            "/page.html",
+            "/test",
+            "https://h.example/test/page.html",
+        ), ("//o.example/x", "/d", "https://h.example/d/x"), (
+            "x/",
+            "https://o.example",
+            "https://o.example/x/",
+        ), ("../y?z=1#f", "/d/e", "https://h.example/d/y"),
+        (
+            "https://o.example/../c",
+            "/d",
+            "https://o.example/../c",
+        ), ("x", None, "https://h.example/a/x"), (
+            "//o.example/x",
+            None,
+            "https://o.example/x",
+        ), ("?r", None, "https://h.example/a/b?r"), ("#f", None, "https://h.example/a/b?q=1"),
         ("../../c/./d/", None, "https://h.example/c/d/"), ("mailto:x", None, None), ("", "/d", "https://h.example/d"), ("/", "/d/", "https://h.example/d/"),
     ):
         assert resolve(ref, page, base) == want, (ref, base)
@@ -156,7 +223,15 @@ def test_canonical_falls_back_to_the_header():
 
 
 def test_replay_headers_and_keys(spark):
-    df = spark.createDataFrame([({"content-type": ["text/html"], "set-cookie": ["a"], "X-Frame-Options": ["DENY"], "expires": ["9"]}, "https://u:p@sub.h.example:8080/x?y=1")], "h map<string,array<string>>, url string")
+    df = spark.createDataFrame(
+        [
+            (
+                {"content-type": ["text/html"], "set-cookie": ["a"], "X-Frame-Options": ["DENY"], "expires": ["9"]},
+                "https://u:p@sub.h.example:8080/x?y=1",
+            )
+        ],
+        "h map<string,array<string>>, url string",
+    )
     got = df.select(archive.replay_headers(F.col("h")).alias("h"), archive.cdxj_key(F.col("url")).alias("key")).first()
     assert got.h == {"content-type": ["text/html"], "cache-control": ["no-store, no-cache, must-revalidate, max-age=0"], "pragma": ["no-cache"], "expires": ["0"]}
     assert got.key == wacz.key("https://u:p@sub.h.example:8080/x?y=1") == "example,h,sub)/x?y=1"
