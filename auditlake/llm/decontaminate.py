@@ -149,7 +149,16 @@ class Index:
                 last = np.maximum(stop - width, start) + 1  # shingles start..last lie in the window
                 start = start[(stop <= hi) & (upto[np.minimum(last, len(sh))] > upto[np.minimum(start, len(sh))])]
                 if len(start):
-                    self._check(start, np.minimum(start + size, n), size, simhash(total[np.minimum(start + size, n) - lo] - total[start - lo], np.minimum(start + size, n) - start), sh, least, width, found)
+                    self._check(
+                        start,
+                        np.minimum(start + size, n),
+                        size,
+                        simhash(total[np.minimum(start + size, n) - lo] - total[start - lo], np.minimum(start + size, n) - start),
+                        sh,
+                        least,
+                        width,
+                        found,
+                    )
         return found
 
     def _check(self, start: np.ndarray, stop: np.ndarray, size: int, fps: np.ndarray, sh: np.ndarray, least: float, width: int, found: dict) -> None:

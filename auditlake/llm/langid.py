@@ -140,7 +140,14 @@ def _sample_batches(batches: Iterator[pa.RecordBatch], per_text: int) -> Iterato
         i = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k)
         at = first[:-1][doc] + i * n[doc] // np.maximum(k[doc], 1)
         at = at[length[at] >= 32]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at])), batch.column(2).take(pa.array(owner[at])), pa.array([windows[j].tobytes() for j in at], pa.binary())], ["doc_id", "lang", "w"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(owner[at])),
+                batch.column(2).take(pa.array(owner[at])),
+                pa.array([windows[j].tobytes() for j in at], pa.binary()),
+            ],
+            ["doc_id", "lang", "w"],
+        )
 
 
 def train(docs: DataFrame, per_language: int = 1500, per_text: int = 4, steps: int = 600, most_languages: int = 500) -> Network | None:
@@ -148,7 +155,9 @@ def train(docs: DataFrame, per_language: int = 1500, per_text: int = 4, steps: i
 
     per_language and per_text bound what reaches the driver: at most about per_language * per_text windows a language."""
     tx.arrow_batches(docs.sparkSession)
-    labelled = tx.only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = tx.only(docs, "doc_id", "text", "lang").where(
+        F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+    )
     counts = labelled.groupBy("lang").count().limit(most_languages + 1).collect()
     if len(counts) > most_languages:
         raise ValueError(f"over {most_languages} languages")

@@ -221,7 +221,15 @@ def _conversation_batches(batches: Iterator[pa.RecordBatch], path: str, end_id:
         yield out()
 
 
-def pack_conversations(turns: DataFrame, path: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 16, max_loss: int | None = 1536, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def pack_conversations(
+    turns: DataFrame,
+    path: str | None = None,
+    end_id: int = 1,
+    max_tokens: int = 2048,
+    max_segments: int = 16,
+    max_loss: int | None = 1536,
+    roles: tuple[str, ...] = ("assistant",),
+) -> DataFrame:
     """Instruction data: turns(conv_id, turn, role, text) packed under limits on tokens, segments and loss-bearing tokens, which
     are those of `roles`. An example is a run of a conversation's turns, in order, of up to max_tokens (or one longer turn). Turns
     meet by a sort on (conv_id, turn), so a conversation of any length may lie in several tasks, and is then several examples.
@@ -231,8 +239,15 @@ def pack_conversations(turns: DataFrame, path: str | None = None, end_id: int =
     tx.arrow_batches(turns.sparkSession)
     limits = {"max_tokens": max_tokens, "max_segments": max_segments, "max_loss": max_loss}
     order = ["conv_id", "turn", "role", "text"]
-    sorted_turns = tx.only(turns, *order).withColumn("turn", F.col("turn").cast("long")).repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*order)
-    return sorted_turns.mapInArrow(lambda b, p=path or tokens.vocabulary(), e=end_id, m=limits, r=frozenset(roles): _conversation_batches(b, p, e, m, r), CONVERSATION_SCHEMA)
+    sorted_turns = tx.only(turns, *order).withColumn("turn", F.col("turn").cast("long")).repartitionByRange(
+        "conv_id",
+        "turn",
+        F.xxhash64("role", "text"),
+    ).sortWithinPartitions(*order)
+    return sorted_turns.mapInArrow(
+        lambda b, p=path or tokens.vocabulary(), e=end_id, m=limits, r=frozenset(roles): _conversation_batches(b, p, e, m, r),
+        CONVERSATION_SCHEMA,
+    )
 
 
 def pack_conversations_query(spark, sf_dir: str) -> DataFrame:

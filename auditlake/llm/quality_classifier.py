@@ -76,7 +76,17 @@ class Ordinal:
         """P(grade <= k) for every k."""
         return np.concatenate([sigmoid(self.theta[None] - scores[:, None]), np.ones((len(scores), 1))], 1)
 
-    def fit(self, texts: list[np.ndarray], grade: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.15, decay: float = 3e-3, least_texts: int = 10, seed: int = 5) -> "Ordinal":
+    def fit(
+        self,
+        texts: list[np.ndarray],
+        grade: np.ndarray,
+        epochs: int = 12,
+        batch: int = 128,
+        rate: float = 0.15,
+        decay: float = 3e-3,
+        least_texts: int = 10,
+        seed: int = 5,
+    ) -> "Ordinal":
         """Likelihood ascent with adaptive steps; grades count alike. Thresholds stay in order."""
         rng = np.random.default_rng(seed)
         # a bucket that too few of the texts have says nothing yet, and would only be learned by heart
@@ -134,7 +144,10 @@ def train(docs: DataFrame, rated: DataFrame, most_rated: int = 12_000) -> Ordina
     if not n:
         return None
     drawn = rated.where(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < int(min(1.0, most_rated / n) * (1 << 30))).limit(2 * most_rated)
-    rows = tx.only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade").mapInArrow(_feature_batches, "doc_id long, grade int, buckets array<int>").toArrow()
+    rows = tx.only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade").mapInArrow(
+        _feature_batches,
+        "doc_id long, grade int, buckets array<int>",
+    ).toArrow()
     if not rows.num_rows:
         return None
     lists = rows["buckets"].combine_chunks()

@@ -112,7 +112,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> It
         key, count = _merge(held.pop(name))
         for lo in range(0, len(key), 100_000):
             k = key[lo : lo + 100_000].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([name[0]] * len(k), pa.string()), pa.array([name[1]] * len(k), pa.int32()), pa.array(k), pa.array(count[lo : lo + 100_000])], ["lang", "half", "g", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name[0]] * len(k), pa.string()),
+                    pa.array([name[1]] * len(k), pa.int32()),
+                    pa.array(k),
+                    pa.array(count[lo : lo + 100_000]),
+                ],
+                ["lang", "half", "g", "n"],
+            )
 
     for batch in tx.pieces(batches):
         data, offs = tx.utf8(batch.column(0))
@@ -175,7 +183,17 @@ def _gather(table: pa.Table) -> pa.Table:
     k2, n2 = lower(k3, 2)
     one = lambda x, t: pa.array([x], t)
     names = ["lang", "half", "slice"]
-    return pa.table([*[table[x].slice(0, 1).combine_chunks() for x in names], one(g.tobytes(), pa.binary()), one(n.astype(np.int64).tobytes(), pa.binary()), one([*_few_counts(n), *_few_counts(n4), *_few_counts(n3)], pa.list_(pa.int64())), one(k2.astype(np.int64), pa.list_(pa.int64())), one(n2, pa.list_(pa.int64()))], [*names, "g", "n", "few", "k2", "n2"])
+    return pa.table(
+        [
+            *[table[x].slice(0, 1).combine_chunks() for x in names],
+            one(g.tobytes(), pa.binary()),
+            one(n.astype(np.int64).tobytes(), pa.binary()),
+            one([*_few_counts(n), *_few_counts(n4), *_few_counts(n3)], pa.list_(pa.int64())),
+            one(k2.astype(np.int64), pa.list_(pa.int64())),
+            one(n2, pa.list_(pa.int64())),
+        ],
+        [*names, "g", "n", "few", "k2", "n2"],
+    )
 
 
 def discounts(few: np.ndarray) -> np.ndarray:
@@ -214,7 +232,16 @@ def _ground(table: pa.Table) -> pa.Table:
     rows[np.searchsorted(before, k2 >> U(8)), (k2 & U(255)).astype(int)] = p2
     one = lambda x, t: pa.array([x], t)
     d = np.concatenate([discounts(few[i : i + 4]) for i in (0, 4, 8)])
-    return pa.table([table["lang"].slice(0, 1).combine_chunks(), table["half"].slice(0, 1).combine_chunks(), one(d, pa.list_(pa.float64())), one(before.astype(np.uint8).tobytes(), pa.binary()), one(rows.tobytes(), pa.binary())], ["lang", "half", "d", "before", "p2"])
+    return pa.table(
+        [
+            table["lang"].slice(0, 1).combine_chunks(),
+            table["half"].slice(0, 1).combine_chunks(),
+            one(d, pa.list_(pa.float64())),
+            one(before.astype(np.uint8).tobytes(), pa.binary()),
+            one(rows.tobytes(), pa.binary()),
+        ],
+        ["lang", "half", "d", "before", "p2"],
+    )
 
 
 def two(before: np.ndarray, rows: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -244,7 +271,15 @@ def _model_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             p4, x4, b4 = interpolated(k4, n4, d[1], p3[np.searchsorted(k3, k4 & U(0xFFFFFF))])
             p5, x5, b5 = interpolated(k5, n5, d[0], p4[np.searchsorted(k4, k5 & U(0xFFFFFFFF))])
             arrays = [x.tobytes() for k, p, x, b in ((k5, p5, x5, b5), (k4, p4, x4, b4), (k3, p3, x3, b3)) for x in (k, units(p), x, units(b))]
-            yield pa.RecordBatch.from_arrays([pa.array([row["lang"]]), pa.array([row["half"]], pa.int32()), pa.array([row["slice"]], pa.int32()), *[pa.array([x], pa.binary()) for x in arrays]], ["lang", "half", "slice", *ARRAYS])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["lang"]]),
+                    pa.array([row["half"]], pa.int32()),
+                    pa.array([row["slice"]], pa.int32()),
+                    *[pa.array([x], pa.binary()) for x in arrays],
+                ],
+                ["lang", "half", "slice", *ARRAYS],
+            )
 
 
 def slot(lang, half):
@@ -341,7 +376,13 @@ def kneser_ney(counts: DataFrame, most_bytes: int = 256 << 20) -> Store:
     """The model of count_grams(); see the module's text."""
     spark = counts.sparkSession
     key = "lang string, half int"
-    gathered = tx.written(counts.groupBy("lang", "half", "slice").applyInArrow(_gather, f"{key}, slice int, g binary, n binary, few array<long>, k2 array<long>, n2 array<long>"), "kn-slices")
+    gathered = tx.written(
+        counts.groupBy("lang", "half", "slice").applyInArrow(
+            _gather,
+            f"{key}, slice int, g binary, n binary, few array<long>, k2 array<long>, n2 array<long>",
+        ),
+        "kn-slices",
+    )
     path = tx.shared_dir(spark, "kn-model")
     ground = gathered.select("lang", "half", "few", "k2", "n2").groupBy("lang", "half").applyInArrow(_ground, f"{key}, d array<double>, before binary, p2 binary")
     named = lambda df: df.withColumn("slot", slot(F.col("lang"), F.col("half"))).write.partitionBy("slot")
@@ -349,9 +390,16 @@ def kneser_ney(counts: DataFrame, most_bytes: int = 256 << 20) -> Store:
     ground = spark.read.schema(ground.schema).parquet(f"{path}/ground")
     # a row of it has half a MB at most
     ground = F.broadcast(ground) if ground.count() <= 128 else ground
-    model = gathered.select("lang", "half", "slice", "g", "n").join(ground, ["lang", "half"]).mapInArrow(_model_batches, f"{key}, slice int, " + ", ".join(f"{x} binary" for x in ARRAYS))
+    model = gathered.select("lang", "half", "slice", "g", "n").join(ground, ["lang", "half"]).mapInArrow(
+        _model_batches,
+        f"{key}, slice int, " + ", ".join(f"{x} binary" for x in ARRAYS),
+    )
     named(model).parquet(f"{path}/slices")
-    size = spark.read.schema(T.StructType([*model.schema.fields, T.StructField("slot", T.StringType())])).parquet(f"{path}/slices").groupBy("slot").agg(F.sum(sum(F.octet_length(x) for x in ARRAYS)).alias("n")).agg(F.max("n")).first()[0] or 0
+    size = spark.read.schema(
+        T.StructType([*model.schema.fields, T.StructField("slot", T.StringType())])
+    ).parquet(f"{path}/slices").groupBy("slot").agg(
+        F.sum(sum(F.octet_length(x) for x in ARRAYS)).alias("n")
+    ).agg(F.max("n")).first()[0] or 0
     return Store(spark, path, min(SLICES, max(1, math.ceil(size / (most_bytes // 4)))), most_bytes)
 
 
@@ -391,7 +439,16 @@ def bands(scored: DataFrame, spread: float, margin: float) -> DataFrame:
     good = scored.where(~F.col("base_failed") & F.col("bits").isNotNull()).select("lang", steps.alias("v"))
     mid = few_languages(tx.written(good.groupBy("lang").agg(F.percentile("v", F.lit(0.5)).alias("mid")), "kn-mid"))
     off = good.join(mid, "lang").groupBy("lang").agg(F.first("mid").alias("mid"), F.percentile(F.abs(F.col("v") - F.col("mid")), F.lit(0.5)).alias("off"))
-    return few_languages(tx.written(off.select("lang", (F.col("mid") / 256).alias("mid"), F.greatest(1.4826 * spread * F.col("off") / 256, F.lit(margin)).alias("half")), "kn-bands"))
+    return few_languages(
+        tx.written(
+            off.select(
+                "lang",
+                (F.col("mid") / 256).alias("mid"),
+                F.greatest(1.4826 * spread * F.col("off") / 256, F.lit(margin)).alias("half"),
+            ),
+            "kn-bands",
+        )
+    )
 
 
 def quality_rules(docs: DataFrame, spread: float = 5.0, margin: float = 0.5, short: int = 50, most_bytes: int = 256 << 20) -> DataFrame:

@@ -31,7 +31,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
-SENSITIVE_WORDS = (*ASSIGN_WORDS, "pwd", "credential", "private", "bearer", "authoriz", "api-key", "access_key", "access-key", "accesskey", "auth_", "auth-", "signature", "client_id", "conn_str", "connection_string")
+SENSITIVE_WORDS = (
+    *ASSIGN_WORDS,
+    "pwd",
+    "credential",
+    "private",
+    "bearer",
+    "authoriz",
+    "api-key",
+    "access_key",
+    "access-key",
+    "accesskey",
+    "auth_",
+    "auth-",
+    "signature",
+    "client_id",
+    "conn_str",
+    "connection_string",
+)
 SENSITIVE = re.compile("|".join(map(re.escape, sorted(SENSITIVE_WORDS, key=len, reverse=True))), re.ASCII | re.IGNORECASE)
 #: '=' only ends a candidate: in front of a value it stands for an assignment.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
@@ -39,7 +56,17 @@ CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_.~-]")
 PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
 PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\]*")
 #: Character classes, narrowest first: a candidate's alphabet is the first that holds its letters and digits, and its signs.
-CLASSES = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+CLASSES = (
+    "0123456789",
+    "0123456789abcdef",
+    "0123456789ABCDEF",
+    "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "0123456789abcdefghijklmnopqrstuvwxyz",
+    "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",
+)
 #: Identifiers that source files and configurations share.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key client_id client_secret credential authorization bearer basic signature "

@@ -34,14 +34,20 @@ DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_to
 def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [len(tokens.encode(t.as_py(), path)) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "text_hash", "n_tokens"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(n, pa.int64())],
+            ["doc_id", "source", "lang", "text_hash", "n_tokens"],
+        )
 
 
 def count_tokens(docs: DataFrame, version: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
     """(doc_id, source, lang, tokenizer_version, n_tokens, text_hash) of every whole text; text_hash is 32 digits of its SHA-256."""
     tx.arrow_batches(docs.sparkSession)
     read = tx.only(docs, "doc_id", "text", "source", "lang").withColumn("text_hash", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
-    counted = read.mapInArrow(lambda b, p=path or tokens.vocabulary(version): _count_batches(b, p), "doc_id long, source string, lang string, text_hash string, n_tokens long")
+    counted = read.mapInArrow(
+        lambda b, p=path or tokens.vocabulary(version): _count_batches(b, p),
+        "doc_id long, source string, lang string, text_hash string, n_tokens long",
+    )
     return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), "n_tokens", "text_hash")
 
 
@@ -143,9 +149,20 @@ def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = tx.table(spark, sf_dir, "documents")
     counted = tx.written(count_tokens(docs), "counted")
     # all rows of a text that occurs again are deleted but one; rows are summed by text and key before they meet
-    per = counted.groupBy("text_hash", *KEY).agg(F.count("*").alias("m"), F.sum("n_tokens").alias("sum"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_tokens")).alias("row"))
+    per = counted.groupBy("text_hash", *KEY).agg(
+        F.count("*").alias("m"),
+        F.sum("n_tokens").alias("sum"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_tokens")).alias("row"),
+    )
     first = F.min(F.struct("row.none", "row.doc_id", *KEY, "row.n_tokens")).alias("first")
-    again = tx.written(per.groupBy("text_hash").agg(F.sum("m").alias("rows"), first, F.collect_list(F.struct(*KEY, "m", "sum")).alias("each")).where("rows > 1"), "copies")
+    again = tx.written(
+        per.groupBy("text_hash").agg(
+            F.sum("m").alias("rows"),
+            first,
+            F.collect_list(F.struct(*KEY, "m", "sum")).alias("each"),
+        ).where("rows > 1"),
+        "copies",
+    )
     gone = again.select(F.explode("each").alias("x")).select(*[f"x.{c}" for c in KEY], (-F.col("x.m")).alias("d_docs"), (-F.col("x.sum")).alias("d_tokens"))
     gone = gone.unionByName(inserts(again.select("first.*")))
     rollup = Rollup(spark, tx.shared_dir(spark, "rollup"))
@@ -160,4 +177,9 @@ def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     same = F.lit(True)
     for x in KEY:
         same = same & F.col(x).eqNullSafe(F.col(f"{x}_"))
-    return whole.join(distinct, same, "left").select(*KEY, "n_docs", "n_tokens", *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n_distinct_docs", "n_distinct_tokens")])
+    return whole.join(distinct, same, "left").select(
+        *KEY,
+        "n_docs",
+        "n_tokens",
+        *[F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n_distinct_docs", "n_distinct_tokens")],
+    )

@@ -104,7 +104,20 @@ def _read_batches(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iter
             for ordinal, (fields, block, _) in enumerate(parse(content.as_py())):
                 body, size = http_head(block)
                 revisit = fields["WARC-Type"] == "revisit"
-                rows.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Date"], fields["WARC-Payload-Digest"].removeprefix("sha256:"), size, fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if revisit else None, file, ordinal, bytes(block[body:]) if with_payload else None))
+                rows.append(
+                    (
+                        _page(fields["WARC-Record-ID"]),
+                        fields["WARC-Target-URI"],
+                        fields["WARC-Date"],
+                        fields["WARC-Payload-Digest"].removeprefix("sha256:"),
+                        size,
+                        fields["WARC-Type"],
+                        _page(fields["WARC-Refers-To"]) if revisit else None,
+                        file,
+                        ordinal,
+                        bytes(block[body:]) if with_payload else None,
+                    )
+                )
                 held += len(block) if with_payload else 0
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
@@ -151,7 +164,17 @@ def revisit(fields: dict[str, str], block: memoryview, refers_to: int, uri: str
     http = bytes(block[: http_head(block)[0]])
     kept = [f"{x}: {fields[x]}" for x in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest")]
     refers = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Refers-To-Target-URI: {uri or ''}", f"WARC-Refers-To-Date: {date}"]
-    lines = ["WARC/1.1", "WARC-Type: revisit", *kept, f"WARC-Profile: {PROFILE}", *refers, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}", "", ""]
+    lines = [
+        "WARC/1.1",
+        "WARC-Type: revisit",
+        *kept,
+        f"WARC-Profile: {PROFILE}",
+        *refers,
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(http)}",
+        "",
+        "",
+    ]
     return "\r\n".join(lines).encode() + http + b"\r\n\r\n"
 
 
