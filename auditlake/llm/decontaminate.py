@@ -104,9 +104,14 @@ class Index:
         at = np.repeat(np.arange(len(asked)) // len(self.masks), count)
         return at, order[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
-    def candidates(self, fps: np.ndarray, size: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of every pair within the radius, by block lookup; what is held at once is bounded."""
+    def candidates(self, fps: np.ndarray, size: int, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance) of every pair within the radius, by block lookup; what is held at once is bounded. Where there
+        are few pairs in all, as most texts have, the distances themselves are cheaper than four lookups."""
         items = self.items[size][1]
+        if len(fps) * len(items) <= 1 << 15:
+            distance = np.bitwise_count(fps[:, None] ^ items[None])
+            window, item = np.nonzero(distance <= self.radius)
+            return window, item, distance[window, item]
         found = []
         for b in range(BLOCKS):
             values, at = np.unique((fps >> U(16 * b)) & U(0xFFFF), return_inverse=True)

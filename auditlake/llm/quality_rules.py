@@ -404,7 +404,7 @@ def kneser_ney(counts: DataFrame, most_bytes: int = 256 << 20) -> Store:
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], store: Store) -> Iterator[pa.RecordBatch]:
-    for batch in tx.pieces(batches, most=(4 if store.parts == 1 else 16) << 20):
+    for batch in tx.pieces(batches, most=(2 if store.parts == 1 else 16) << 20):
         data, offs = tx.utf8(batch.column(1))
         spans = tx.words(data, offs)
         base = base_counts(data, offs, spans)

@@ -103,7 +103,7 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes of text; a longer text comes alone and whole."""
     for batch in batches:
         _, offs = utf8(batch.column(batch.schema.get_field_index(column)))
