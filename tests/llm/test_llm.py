@@ -103,6 +103,8 @@ def test_near_copies(spark, sf):
 def test_near_copies_of_copies(spark, monkeypatch, chunk):
     """Chains of copies of copies, large groups, and texts that share much without being links."""
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    if chunk == 3:
+        monkeypatch.setattr(near_copies, "TILE", 5)
     rng = np.random.default_rng(11)
     draw = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
     texts = []
@@ -133,6 +135,28 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert sorted(map(tuple, left), key=str) == sorted([x for x in data if item not in x[1]], key=str)
 
 
+def test_stages_at_the_edges(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, repeated rows, clashing columns, and no rows at all, through each stage."""
+    data = EDGES + rows(40)
+    docs = frame(spark, data)
+    spark.createDataFrame([(1, "no text has these words in it at all"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    speaks = [x for x in data if x[1] and re.search(r"[^\W\d_]", x[1])]
+    known = langid.stage(spark, docs, str(tmp_path), least=0.0)
+    assert known.columns == docs.columns and plain(known) == sorted(speaks, key=str)
+    near = near_copies.stage(spark, docs, str(tmp_path))
+    left = plain(near)
+    # null, empty and blank texts are copies of each other, and the repeated row goes
+    assert near.columns == docs.columns and (5001, None) in left and (5002, "") not in left and left.count((5005, LONG)) == 1 and (None, "null id text") in left
+    assert plain(decontaminate.stage(spark, docs, str(tmp_path))) == sorted(data, key=str)
+    safe = secrets.stage(spark, docs, str(tmp_path))
+    assert safe.columns == docs.columns and safe.count() == len(data) and (5001, None) in plain(safe) and (5007, '[secret]"') in plain(safe)
+    pieces = packing.stage(spark, docs, str(tmp_path)).collect()
+    assert sum(p.length for p in pieces) == sum(len(tokens.encode(t, tokens.vocabulary())) + 1 for _, t in data)
+    for stage in (langid.stage, near_copies.stage, decontaminate.stage, secrets.stage, packing.stage):
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_bit_sliced_counters():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 300)).astype(np.uint64)
@@ -170,7 +194,7 @@ def test_suffix_dedup(spark, shard):
         (5033, f"{short} x {short} y {short}"),
         (5034, "z " * 300),
     ]
-    got = suffix_dedup.remove_repeats(frame(spark, data), shard_bytes=shard, range_windows=300)
+    got = suffix_dedup.remove_repeats(frame(spark, data), shard_bytes=shard, range_windows=300, most_broadcast=10 if shard == 600 else 500_000)
     assert sorted((tuple(r) for r in got.collect()), key=str) == repeats(data)
 
 
@@ -609,6 +633,18 @@ def test_decontaminate(spark):
     assert {(1000, 902), (1001, 902), (1004, 902), (1004, 903)} <= set(got)
 
 
+def test_block_lookup_finds_all_within_the_radius():
+    rng = np.random.default_rng(9)
+    items = [" ".join(f"i{x}" for x in rng.integers(0, 400, 12)) for _ in range(8000)]
+    for many in (items[:3000], items):  # fewer and more items than masks
+        index = decontaminate.Index(list(range(len(many))), many)
+        fps = index.items[12][1][:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+        fps[100:] ^= rng.integers(0, 1 << 20, 100).astype(np.uint64)
+        d = np.bitwise_count(fps[:, None] ^ index.items[12][1][None])
+        w, i, found = index.candidates(fps, 12, most=50_000)
+        assert set(zip(w.tolist(), i.tolist(), found.tolist())) == {(a, b, int(d[a, b])) for a, b in zip(*np.nonzero(d <= index.radius))}
+
+
 def test_quality_classifier(spark):
     good, bad = "calm river stone walks under green hills today", "idiot trash scum loser moron pathetic clown worthless"
     rng = np.random.default_rng(0)
