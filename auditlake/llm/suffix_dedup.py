@@ -3,13 +3,18 @@
 Every byte under a 400-byte string that also starts anywhere else is removed. Suffix arrays are built over shards, and the
 shards are made so that equal strings meet in one: each 400-byte window names an anchor, the leftmost least 64-byte gram in
 it by hash, which equal windows share; windows whose anchor occurs once in the corpus cannot repeat. The windows of one
-anchor that follow each other form a context; equal contexts are folded into one with a count before any text is moved.
+anchor that follow each other form a context; equal contexts are folded into one with a count before any text is moved. An
+anchor with one context left, of several copies, needs no sorting: all of its windows repeat.
 
 Each shard of contexts gets a suffix array by Larsson-Sadakane refinement in numpy (sort by 8 bytes, then double the depth
 over the groups still tied) and common prefixes by Kasai's rule, run in step over many stretches of text at once. Suffixes
 between which all common prefixes reach 400 bytes are equal windows. An anchor with more text than a shard holds is spread
-over several; their distinct windows are cut by ranges of their hash, and sorted arrays of the shards are merged by binary
-search in each range, so no task ever holds an unbounded group.
+over several; their distinct windows are cut by the remainder of their hash, and the shards' sorted arrays of an anchor are
+merged by binary search in each part, so no task ever holds an unbounded group.
+
+Passages of just over 50 words often have fewer than 400 bytes, and stay. So that they can be found, `n_shared_windows` counts
+the places of a document where a 50-word string starts that another row has too, in the same way: contexts of 8-word anchors
+are folded, and only where an anchor has several of them are their strings' hashes grouped.
 
 Defined results: a null or empty text has no bytes, and the hash of none; strings never cross documents; texts under 400
 bytes are kept whole; repeated rows are documents of their own, so they remove each other's strings; texts of any length are
@@ -45,10 +50,10 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def contexts(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(x: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, context hash, low, n): the runs of window starts low .. low+n-1 of a text that name the same anchor."""
     out = []
-    gram = min(GRAM, window)
+    gram = min(gram, window)
     for at in range(0, len(x) - window + 1, STEP):
         part = x[at : at + STEP + window - 1]
         s = tx.prefix_sums(part)
@@ -76,7 +81,16 @@ def _context_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
         if rows:
             anchor, ctx, low, n = (np.concatenate(c) for c in zip(*rows))
             at = pa.array(np.concatenate(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c.view(np.int64)) for c in (anchor, ctx)], pa.array(low), pa.array(n.astype(np.int64))], [*NAMED, "anchor", "ctx", "low", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    *[pa.array(c.view(np.int64)) for c in (anchor, ctx)],
+                    pa.array(low),
+                    pa.array(n.astype(np.int64)),
+                ],
+                [*NAMED, "anchor", "ctx", "low", "n"],
+            )
 
 
 def suffix_array(x: np.ndarray, end: np.ndarray, real: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
@@ -191,7 +205,19 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
     hot = np.asarray(table["hot"])
     text, position, repeated, leader = shard_windows(texts, np.asarray(table["n"]), np.asarray(table["m"]), window)
     t, a, b = spans_of(text[repeated], position[repeated], window)
-    found = [pa.table({"anchor": table["anchor"].take(pa.array(t)), "ctx": table["ctx"].take(pa.array(t)), "a": a, "b": b, "hash": pa.nulls(len(t), pa.int64()), "shard": pa.nulls(len(t), pa.int64()), "done": pa.nulls(len(t), pa.bool_())})]
+    found = [
+        pa.table(
+            {
+                "anchor": table["anchor"].take(pa.array(t)),
+                "ctx": table["ctx"].take(pa.array(t)),
+                "a": a,
+                "b": b,
+                "hash": pa.nulls(len(t), pa.int64()),
+                "shard": pa.nulls(len(t), pa.int64()),
+                "done": pa.nulls(len(t), pa.bool_()),
+            }
+        )
+    ]
     far = leader & hot[text]
     if far.any():  # other shards hold contexts of the same anchor: this one's distinct windows go to meet theirs
         h = np.zeros(int(far.sum()), U)
@@ -200,11 +226,33 @@ def _shard(table: pa.Table, window: int) -> pa.Table:
             s = tx.prefix_sums(np.frombuffer(texts[i], np.uint8))
             h[t == i] = tx.hashes(s, p[t == i], p[t == i] + window)
         shard = np.full(len(t), table["shard"][0].as_py())
-        found.append(pa.table({"anchor": table["anchor"].take(pa.array(t)), "ctx": table["ctx"].take(pa.array(t)), "a": p, "b": p + window, "hash": h.view(np.int64), "shard": shard, "done": repeated[far]}))
+        found.append(
+            pa.table(
+                {
+                    "anchor": table["anchor"].take(pa.array(t)),
+                    "ctx": table["ctx"].take(pa.array(t)),
+                    "a": p,
+                    "b": p + window,
+                    "hash": h.view(np.int64),
+                    "shard": shard,
+                    "done": repeated[far],
+                }
+            )
+        )
     return pa.concat_tables([x.cast(SHARD_SCHEMA) for x in found])
 
 
-SHARD_SCHEMA = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("hash", pa.int64()), ("shard", pa.int64()), ("done", pa.bool_())])
+SHARD_SCHEMA = pa.schema(
+    [
+        ("anchor", pa.int64()),
+        ("ctx", pa.int64()),
+        ("a", pa.int64()),
+        ("b", pa.int64()),
+        ("hash", pa.int64()),
+        ("shard", pa.int64()),
+        ("done", pa.bool_()),
+    ]
+)
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -230,19 +278,46 @@ def _merge(table: pa.Table) -> pa.Table:
 def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())], [*NAMED, "z"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([z.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary())],
+            [*NAMED, "z"],
+        )
+
+
+CUT = "anchor long, ctx long, low long, n long, m long, shard long, hot boolean, z binary, a long, b long, h long"
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(.., z, list of contexts) to one row per context with its bytes."""
+def _cut_batches(batches: Iterator[pa.RecordBatch], window: int, words: int) -> Iterator[pa.RecordBatch]:
+    """(z, list of contexts, list of word contexts) to one row per context with its bytes, and one per word window with its hash."""
     unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    names = ["anchor", "ctx", "low", "n", "m", "shard", "hot"]
+    names = [x.split()[0] for x in CUT.split(", ")]
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(x, types[kind]) for x, kind in map(str.split, CUT.split(", "))])
+
+    def out(columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(n, schema.field(x).type)) for x in names], names)
+
     for batch in batches:
-        for z, rows in zip(batch.column(0), batch.column(1)):
+        for z, rows, at in zip(*batch.columns):
             text = unpack.decompress(z.as_py())
-            flat = rows.values
-            part = [pack.compress(text[a : a + n + window - 1]) for a, n in zip(flat.field("low").to_pylist(), flat.field("n").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*[flat.field(x) for x in names], pa.array(part, pa.binary())], [*names, "z"])
+            if rows.is_valid:
+                flat = rows.values
+                columns = {x: flat.field(x) for x in ("anchor", "ctx", "low", "n", "m", "shard", "hot")}
+                spans = zip(columns["low"].to_pylist(), columns["n"].to_pylist())
+                yield out(columns | {"z": pa.array([pack.compress(text[a : a + n + window - 1]) for a, n in spans], pa.binary())})
+            if at.is_valid:
+                h, _ = _word_hashes(pa.array([text], pa.binary()))
+                *own, low, n = (np.asarray(at.values.field(x)) for x in ("anchor", "ctx", "a", "b", "low", "n"))
+                start = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                w = tx.hashes(tx.prefix_sums(h), start, start + words)
+                yield out({x: pa.array(np.repeat(v, n)) for x, v in zip(("anchor", "ctx", "a", "b"), own)} | {"h": pa.array(w.view(np.int64))})
+
+
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offs = tx.utf8(column)
+    starts, ends, first = tx.words(data, offs)
+    return tx.hashes(tx.prefix_sums(data), starts, ends), first
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -259,50 +334,182 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterato
                     at = b
                 last = max(last, b)
             rest = b"".join([*out, text[at:]])
-            size.append(len(text)), gone.append(len(text) - len(rest)), runs.append(n), digest.append(hashlib.sha256(rest).hexdigest()), kept.append(rest if with_text else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (size, gone, runs)], pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def remove_repeats(docs: DataFrame, window: int = 400, shard_bytes: int = 2 << 20, range_windows: int = 400_000, with_text: bool = False) -> DataFrame:
-    """One row per row of docs; `kept` holds the remaining bytes if with_text is set (they need not be valid UTF-8)."""
+            size.append(len(text)), gone.append(len(text) - len(rest)), runs.append(n), digest.append(
+                hashlib.sha256(rest).hexdigest()
+            ), kept.append(rest if with_text else None)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                *[pa.array(x, pa.int64()) for x in (size, gone, runs)],
+                pa.array(digest),
+                batch.column(3).fill_null(0),
+                pa.array(kept, pa.binary()),
+            ],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_windows", "kept"],
+        )
+
+
+def _anchor_batches(batches: Iterator[pa.RecordBatch], words: int, gram: int) -> Iterator[pa.RecordBatch]:
+    for batch in tx.pieces(batches):
+        h, first = _word_hashes(batch.column(2))
+        rows = [(i, *contexts(h[first[i] : first[i + 1]], words, gram)) for i in np.flatnonzero(np.diff(first) >= words)]
+        if rows:
+            at = pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]))
+            anchor, ctx, low, n = (np.concatenate([r[j] for r in rows]) for j in (1, 2, 3, 4))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    *[pa.array(x.view(np.int64)) for x in (anchor, ctx)],
+                    pa.array(low),
+                    pa.array(n.astype(np.int64)),
+                ],
+                [*NAMED, "anchor", "ctx", "low", "n"],
+            )
+
+
+def word_contexts(named: DataFrame, words: int, gram: int, most_broadcast: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc_id, k, text): all contexts of word windows whose anchor occurs again; these folded, with the least and the
+    greatest row that has each; and by row (doc_id, k) the folded ones whose windows must be compared.
+
+    Anchors that occur again are 64-bit numbers; up to `most_broadcast` are broadcast."""
+    row = F.xxhash64("doc_id", "k")
+    kinds = f"{KEY}, anchor long, ctx long, low long, n long"
+    found = tx.written(named.mapInArrow(lambda b: _anchor_batches(b, words, gram), kinds), "word-contexts")
+    again = tx.written(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "word-anchors")
+    live = tx.written(found.join(tx.few(again, most_broadcast), "anchor", "left_semi"), "word-live")
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "doc_id", "k", "low", "n")).alias("r")
+    folded = tx.written(live.groupBy("anchor", "ctx").agg(F.min(row).alias("a"), F.max(row).alias("b"), one), "word-folded")
+    several = folded.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    at = F.collect_list(F.struct("anchor", "ctx", "a", "b", "r.low", "r.n")).alias("at")
+    return live, folded, folded.join(several, "anchor").groupBy("r.doc_id", "r.k").agg(at)
+
+
+def shared_windows(live: DataFrame, folded: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(doc_id, k, w): of rows that share a word window with another row, the number of places where such a window starts.
+    Equal rows count as one.
+
+    A context that two rows have is shared whole; of the others the windows (anchor, ctx, a, b, h) are compared."""
+    met = hashes.groupBy("anchor", "h").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("anchor", "h")
+    # equal rows give a context's windows more than once; a context itself holds no window twice
+    partly = hashes.select("anchor", "ctx", "h").join(met, ["anchor", "h"]).groupBy("anchor", "ctx").agg(F.count_distinct("h").alias("some"))
+    shared = folded.select("anchor", "ctx", (F.col("a") != F.col("b")).alias("whole"))
+    shared = shared.join(partly, ["anchor", "ctx"], "left").where("whole OR some > 0")
+    starts = F.collect_set(F.struct("low", F.when(F.col("whole"), F.col("n")).otherwise(F.col("some")).alias("w"))).alias("at")
+    summed = F.aggregate("at", F.lit(0).cast("long"), lambda sum, x: sum + x["w"]).alias("w")
+    return live.join(shared, ["anchor", "ctx"]).groupBy("doc_id", "k").agg(starts).select("doc_id", "k", summed)
+
+
+def _parted(named: DataFrame, keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that keys(doc_id, k) name, all others), told apart where they lie if the keys are few; else (all rows, None)."""
+    keys = keys.select(F.col("doc_id").alias("i"), F.col("k").alias("j"))
+    if keys.limit(most + 1).count() > most:
+        return named, None
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j"))
+    return named.join(F.broadcast(keys), same, "left_semi"), named.join(F.broadcast(keys), same, "left_anti")
+
+
+def remove_repeats(
+    docs: DataFrame,
+    window: int = 400,
+    shard_bytes: int = 2 << 20,
+    range_windows: int = 400_000,
+    with_text: bool = False,
+    words: int = 50,
+    word_gram: int = 8,
+    most_broadcast: int = 500_000,
+) -> DataFrame:
+    """One row per row of docs; `kept` holds the remaining bytes if with_text is set (they need not be valid UTF-8).
+
+    most_broadcast: up to so many names of rows (two numbers each) are broadcast, so that other rows' texts stay where they are."""
     spark = docs.sparkSession
     tx.arrow_batches(spark)
     # a row is named by its doc_id and its text's hash: rows with equal names have equal texts, and so equal spans
     named = tx.only(docs, "doc_id", "text").select(F.col("doc_id"), F.xxhash64("text").alias("k"), "text")
     # found(anchor, ctx, doc_id, k, low, n): all contexts; `same` those whose anchor occurs again
     found = tx.written(named.mapInArrow(lambda b: _context_batches(b, window), f"{KEY}, anchor long, ctx long, low long, n long"), "contexts")
-    folded = tx.written(found.groupBy("anchor", "ctx").agg(F.count("*").alias("m"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "doc_id", "k", "low", "n")).alias("r")), "contexts-folded")
-    anchors = folded.groupBy("anchor").agg(F.sum("m").alias("all"), F.sum(F.col("r.n") + (window - 1)).alias("bytes")).where("all > 1")
+    folded = tx.written(
+        found.groupBy("anchor", "ctx").agg(
+            F.count("*").alias("m"),
+            F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "doc_id", "k", "low", "n")).alias("r"),
+        ),
+        "contexts-folded",
+    )
+    anchors = folded.groupBy("anchor").agg(F.sum("m").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("r.n") + (window - 1)).alias("bytes")).where("all > 1")
+    alone = folded.join(anchors.where("kinds = 1"), "anchor").select("anchor", "ctx", F.lit(0).cast("long").alias("a"), (F.col("r.n") + (window - 1)).alias("b"))
+    anchors = anchors.where("kinds > 1")
     total = anchors.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     parts = F.ceil(F.col("bytes") / (2 * shard_bytes))
     chosen = folded.join(anchors, "anchor").select(
         "anchor", "ctx", "m", "r.doc_id", "r.k", "r.low", "r.n", (parts > 1).alias("hot"),
         # a hot anchor's shards have numbers of their own, of a hash of anchor and part
-        F.when(parts > 1, -1 - F.abs(F.xxhash64("anchor", F.pmod(F.xxhash64("ctx"), parts)) % (1 << 60))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard"),
+        F.when(
+            parts > 1,
+            -1 - F.abs(F.xxhash64("anchor", F.pmod(F.xxhash64("ctx"), parts)) % (1 << 60)),
+        ).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard"),
     )
     per_doc = chosen.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "ctx", "low", "n", "m", "shard", "hot")).alias("rows"))
-    packed = named.mapInArrow(_pack_batches, f"{KEY}, z binary")
+    live, word_folded, places = word_contexts(named, words, word_gram)
+    per_doc = per_doc.select("doc_id", "k", "rows", F.lit(None).cast(places.schema["at"].dataType).alias("at"))
+    wanted = per_doc.union(places.select("doc_id", "k", F.lit(None).cast(per_doc.schema["rows"].dataType), "at"))
+    wanted = tx.written(wanted.groupBy("doc_id", "k").agg(*[F.first(x, ignorenulls=True).alias(x) for x in ("rows", "at")]), "wanted")
     both = lambda left, right, how: left.join(right, left.doc_id.eqNullSafe(right.doc_id) & (left.k == right.k), how)
-    pieces = both(packed, per_doc, "inner").select("z", "rows").mapInArrow(lambda b: _cut_batches(b, window), "anchor long, ctx long, low long, n long, m long, shard long, hot boolean, z binary")
+    packed = lambda rows: rows.mapInArrow(_pack_batches, f"{KEY}, z binary")
+    inside, _ = _parted(named, wanted, most_broadcast)
+    cut = both(packed(inside), wanted, "inner").select("z", "rows", "at").mapInArrow(lambda b: _cut_batches(b, window, words), CUT)
+    cut = tx.written(cut, "cut")
+    pieces = cut.where("z IS NOT NULL").drop("a", "b", "h")
     # equal rows of docs bring a context more than once
     pieces = pieces.groupBy("shard", "anchor", "ctx").agg(*[F.first(x).alias(x) for x in ("low", "n", "m", "hot", "z")])
     out = "anchor long, ctx long, a long, b long, hash long, shard long, done boolean"
     judged = tx.written(pieces.groupBy("shard").applyInArrow(lambda t: _shard(t, window), out), "shards")
     wide = judged.where("hash IS NOT NULL")
     ranges = max(1, -(-wide.count() // range_windows))
-    merged = wide.groupBy(F.pmod(F.shiftright("hash", 8), F.lit(ranges)).alias("range")).applyInArrow(lambda t: _merge(t.drop_columns(["range"]) if "range" in t.column_names else t), "anchor long, ctx long, a long, b long")
-    verdicts = judged.where("hash IS NULL").select("anchor", "ctx", "a", "b").union(merged).groupBy("anchor", "ctx").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # equal windows have equal anchors, so hashes are compared within an anchor only
+    merged = wide.groupBy("anchor", F.pmod(F.shiftright("hash", 8), F.lit(ranges)).alias("range")).applyInArrow(
+        lambda t: _merge(t.drop_columns(["range"]) if "range" in t.column_names else t),
+        "anchor long, ctx long, a long, b long",
+    )
+    verdicts = judged.where("hash IS NULL").select("anchor", "ctx", "a", "b").union(merged).union(alone).groupBy("anchor", "ctx").agg(
+        F.collect_list(F.struct("a", "b")).alias("spans")
+    )
     # contexts with over a thousandth of all rows, a thousand at most, are salted on both sides
     salts = 64
     hot = F.broadcast(folded.where(F.col("m") > max(salts, found.count() // 1000)).select("anchor", "ctx", F.lit(True).alias("salted")))
     found = found.join(hot, ["anchor", "ctx"], "left").withColumn("salt", F.when(F.col("salted"), F.pmod(F.xxhash64("doc_id", "k", "low"), F.lit(salts))).otherwise(0))
-    verdicts = verdicts.join(hot, ["anchor", "ctx"], "left").withColumn("salt", F.explode(F.when(F.col("salted"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("salted")
+    verdicts = verdicts.join(hot, ["anchor", "ctx"], "left").withColumn(
+        "salt",
+        F.explode(
+            F.when(
+                F.col("salted"),
+                F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")),
+            ).otherwise(F.array(F.lit(0).cast("long")))
+        ),
+    ).drop("salted")
     spans = (
-        found.join(verdicts, ["anchor", "ctx", "salt"]).select("doc_id", "k", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("low")).alias("a"), (s["b"] + F.col("low")).alias("b")))).alias("s"))
-        .groupBy("doc_id", "k").agg(F.collect_set("s").alias("spans"))
+        found.join(verdicts, ["anchor", "ctx", "salt"]).select(
+            "doc_id",
+            "k",
+            F.explode(
+                F.transform("spans", lambda s: F.struct((s["a"] + F.col("low")).alias("a"), (s["b"] + F.col("low")).alias("b")))
+            ).alias("s"),
+        )
+        .select("doc_id", "k", "s", F.lit(0).cast("long").alias("w"))
+        .union(shared_windows(live, word_folded, cut.where("h IS NOT NULL").select("anchor", "ctx", "a", "b", "h")).select("doc_id", "k", F.lit(None).alias("s"), "w"))
+        .groupBy("doc_id", "k").agg(F.collect_set("s").alias("spans"), F.max("w").alias("w"))
     )
-    kept = both(packed, spans, "left").select(packed.doc_id, "z", "spans").mapInArrow(lambda b: _kept_batches(b, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = tx.written(spans, "spans")
+    inside, outside = _parted(named, spans, most_broadcast)
+    inside = packed(inside)
+    kept = both(inside, spans, "left" if outside is None else "inner").select(inside.doc_id, "z", "spans", "w")
+    if outside is not None:  # texts without a repeat are not shuffled
+        none = [F.lit(None).cast(spans.schema[x].dataType).alias(x) for x in ("spans", "w")]
+        kept = kept.union(packed(outside).select("doc_id", "z", *none))
+    kept = kept.mapInArrow(
+        lambda b: _kept_batches(b, with_text),
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_windows long, kept binary",
+    )
     return kept if with_text else kept.drop("kept")
 
 
