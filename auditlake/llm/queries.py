@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from auditlake.llm import decontaminate, langid, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_counts, warc
+from auditlake.llm import (
+    decontaminate,
+    filter_audit,
+    langid,
+    packing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 
 
 def pipeline(spark, sf_dir: str):
@@ -22,7 +35,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_packing": packing.op9_packing,
     "op10_secrets": secrets.op10_secrets,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "packing_conversations": packing.pack_conversations_query,
     "pipeline": pipeline,
 }
-SQL = {"op8_warc": warc.OP8_SQL}
+SQL = {"op8_warc": warc.OP8_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
