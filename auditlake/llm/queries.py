@@ -6,6 +6,7 @@ from auditlake.llm import (
     decontaminate,
     filter_audit,
     langid,
+    minhash,
     packing,
     periodic_runs,
     quality_classifier,
@@ -36,6 +37,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_secrets": secrets.op10_secrets,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_minhash": minhash.op12_minhash,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "packing_conversations": packing.pack_conversations_query,
     "pipeline": pipeline,
