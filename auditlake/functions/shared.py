@@ -39,3 +39,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """Rows of a scan of few splits, dealt out by a hash so that every core has work; a scan of many splits stays as it is."""
+    tasks = 4 * scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(tasks, *by) if scan.rdd.getNumPartitions() < tasks else scan

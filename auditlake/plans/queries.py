@@ -364,6 +364,7 @@ register(
     lambda s, d: page_rules.page_issues(site.records(s, d), [r for r in page_rules.page_rules(strict=True) if r.code in site.STRICT]),
     site.issues_sql(site.STRICT),
 )
+register("extract_misnested", site.misnested, site.misnested_sql())
 register("extract_expand_links", lambda s, d: crawl.expand_links(site.records(s, d)), site.EXPANDED)
 register("extract_link_counters", lambda s, d: reports.link_counters(site.records(s, d)), site.COUNTERS)
 TITLE = r"trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.shared import spread
 from auditlake.sources import html
 
 K = "o_orderkey"
@@ -137,7 +138,8 @@ RESPONSE = {
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    # the keys alone are dealt out, as one split of them makes very many pages
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(K), K)
     filled = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.array(F.expr(v)).alias("value")) for k, v in HEADERS.items()]), lambda x: x["value"][0] != "")
     return df.select(*[F.expr(v).alias(k) for k, v in RESPONSE.items()], F.map_from_entries(filled).alias("headers"))
 
@@ -311,3 +313,53 @@ COUNTERS = (
     f"{duck()}, l AS (SELECT crawl_id, 0 AS ext, x.nofollow OR nofollow AS no, x.sponsored AS sponsored, x.ugc AS ugc FROM (SELECT crawl_id, nofollow, unnest(links) AS x FROM site) UNION ALL SELECT crawl_id, 1, x.nofollow OR nofollow, x.sponsored, x.ugc FROM (SELECT crawl_id, nofollow, unnest(external_links) AS x FROM site)) "
     "SELECT crawl_id, count(*) FILTER (ext = 0 AND NOT no) AS internal_follow, count(*) FILTER (ext = 0 AND no) AS internal_nofollow, count(*) FILTER (ext = 1 AND NOT no) AS external_follow, count(*) FILTER (ext = 1 AND no) AS external_nofollow, count(*) FILTER (ext = 1 AND sponsored) AS sponsored, count(*) FILTER (ext = 1 AND ugc) AS ugc FROM l GROUP BY crawl_id"
 )
+
+
+#: Pages whose markup is wrong in one way each: (fragment of the head, of the body, what the standard's tree then holds beside the
+#: page's own elements and words: elements, words, links (URL, text)).
+MISNESTED = [
+    ("", "<p>one<p>two<ul><li>a<li>b</ul>", 5, 4, []),
+    ("", "<table>stray<tr><td>cell<td>next</table>", 5, 3, []),
+    ("", "<a href=/one>one<a href=/two>two</a>", 2, 0, [("/one", "one"), ("/two", "two")]),
+    ("", "<b>x<p>y</b>z</p>", 3, 3, []),
+    ("", "<![foo[x]]><!weird><?pi?></>text<!-- a -- b -->", 0, 1, []),
+    ("", "<a href=/three><div>in</a>out</div>", 3, 1, [("/three", ""), ("/three", "in")]),
+    ("<noscript><img src=/i.png></noscript><meta name=description content=late>", "", 3, 0, []),
+    ("", "<svg><title>pic</title><path/><g><a href=/svg>s</a></g></svg>", 5, 1, [("/svg", "s")]),
+    ("", "<TABLE><TR><TD><a href=/cell>c</TABLE>after", 5, 1, [("/cell", "c")]),
+    ("", "<select><option>p<option>q<div>r</select>s", 3, 3, []),
+    ("", "<a href=?a=1&copy=2>k</a><a href=/x?a=1&amp;b=2>l</a>", 2, 0, [("?a=1&copy=2", "k"), ("/x?a=1&b=2", "l")]),
+    ("", "<div><p>deep<div>er</p>tail</div></div>", 4, 3, []),
+    ("", "<h2>&lt;script&gt;bad&lt;/script&gt;a &lt;b&gt;c&lt;/b&gt; &amp; d</h2>", 1, 8, []),
+]
+MISNESTED_URL = f"concat('https://site.example/m/', {TEXT})"
+
+
+def misnested_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = lambda at: "element_at(array(" + ", ".join(f"'{x[at]}'" for x in MISNESTED) + f"), CAST({K} % {len(MISNESTED)} + 1 AS INT))"
+    body = join("'<!DOCTYPE html><html><head><title>T'", TEXT, "'</title>'", parts(0), "'</head><body><h1>H'", TEXT, "'</h1>'", parts(1), "'<p>end</p></body></html>'")
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(K), K)
+    other = {"crawl_id": "1L", "url": MISNESTED_URL, "status_code": "200", "headers": "map('Content-Type', array('text/html'))", "content_length": "0L"}
+    flags = {x: "0" for x in ("ttfb", "depth")} | {x: "false" for x in ("in_sitemap", "robotstxt_blocked", "timeout")}
+    return df.select(*[F.expr(v).alias(k) for k, v in (other | flags | {"body": body}).items()])
+
+
+def misnested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parser finds in misnested pages."""
+    links = F.array_join(F.transform("links", lambda x: F.concat(x["url"], F.lit(" "), x["text"])), "; ")
+    columns = ["url", "title", "description", "h1", "h2", "words", "dom.n_elements", "dom.n_body_child_meta", F.size("images").alias("n_images"), links.alias("links")]
+    return html.page_records(misnested_responses(spark, sf_dir)).select(*columns)
+
+
+def misnested_sql() -> str:
+    """The same facts by the standard, as constants of each kind of page."""
+    of = lambda values: "CASE " + f"{K} % {len(MISNESTED)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+    text, url = TEXT.replace("STRING", "VARCHAR"), MISNESTED_URL.replace("STRING", "VARCHAR")
+    whole = lambda ref: f"concat({url}, '{ref}')" if ref.startswith("?") else f"'https://site.example{ref}'"
+    links = ["concat(" + ", '; ', ".join(f"{whole(u)}, ' {t}'" for u, t in x[4]) + ")" if x[4] else "''" for x in MISNESTED]
+    head, h2 = (of([str(int(x)) for x in flags]) for flags in ([bool(x[0]) for x in MISNESTED], ["<h2>" in x[1] for x in MISNESTED]))
+    return (
+        f"SELECT {url} AS url, concat('T', {text}) AS title, '' AS description, concat('H', {text}) AS h1, CASE {h2} WHEN 1 THEN 'a c &amp; d' ELSE '' END AS h2, "
+        f"2 + {of([x[3] for x in MISNESTED])} AS words, 6 + {of([x[2] for x in MISNESTED])} AS n_elements, {head} AS n_body_child_meta, {head} AS n_images, "
+        f"{of(links)} AS links FROM orders"
+    )

@@ -1,7 +1,7 @@
 """Responses to page records: one parse of a body gives every column, nested array and DOM fact that rules and exports need.
 
-No HTML5 library is at hand, so the standard tokenizer is used with the tree rules that matter here: void elements, an implied
-head and body, and the closing of open elements by an ancestor's end tag."""
+A body becomes the tree that the HTML standard gives it (tree.py), whatever it holds: no body fails, and the time is linear in
+its length. Defined results: a null body or url is an empty one, null headers are none, a null status is 0."""
 
 from __future__ import annotations
 
@@ -10,17 +10,24 @@ import html as entities
 import re
 import unicodedata
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.urls import resolve
+from auditlake.sources.tree import HEADINGS, MARKUP, Node, Tree, attributes
 
 MOST_BODY = 10 << 20
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
+#: Lists of facts, and the elements whose ends the walk must see.
+FOUND = (
+    "title description descriptions canonical refresh robots h1 h2 alternate hreflang links images sources iframes audios videos scripts "
+    "styles headings forms pagination viewport csp base preload css body_meta head"
+).split()
+#: Of pictures, or players, that lie in each other a source counts for so many of the innermost ones.
+NESTED = 4
+LEFT = frozenset("a title h1 h2 style picture audio video body head".split())
 HTML_TYPES = ("text/html", "application/xhtml+xml", "application/vnd.wap.xhtml+xml")
 LINK = "struct<url:string,rel:string,text:string,external:boolean,nofollow:boolean,sponsored:boolean,ugc:boolean,status_code:int>"
 DOM = (
@@ -52,65 +59,57 @@ def srcset(value: str) -> list[str]:
     return out
 
 
-class _Page(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.head_done = self.n_elements = 0
-        self.ids: list[str] = []
-        self.facts: dict[str, list] = {
-            k: [] for k in "title description canonical refresh robots h1 h2 alternate hreflang links images sources iframes audios videos scripts styles headings forms pagination viewport csp base preload css body_meta".split()
-        }
-        self.lang, self.text, self.words = "", [], []
+class Facts:
+    """What the columns and rules need of a document, from one walk over its tree in document order."""
+
+    def __init__(self, body: str):
+        tree = Tree(body)
+        self.f: dict[str, list] = {k: [] for k in FOUND}
+        self.texts: list[str] = []
+        self.words: list[str] = []
+        self.n_elements, self.in_link, self.in_body = 0, 0, 0
         self.missing_size = self.bare_picture = False
-        self.open: list[tuple[str, str, list]] = []  # captured texts
-        self.media: list[list] = []
+        self.media: list[tuple[str, list]] = []
         self.pictures: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        a: dict[str, str] = {}
-        for k, v in attrs:
-            a.setdefault(k, v or "")
-        f = self.facts
-        if tag == "body" or (tag not in IN_HEAD and tag not in ("html", "head") and not self.head_done):
-            self.head_done = True
+        self.lang = tree.root.attrs.get("lang", "")
+        ids = []
+        todo: list = [tree.root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Node):
+                if x.attrs.get("id"):
+                    ids.append(x.attrs["id"])
+                self.enter(x, x.up is not None and x.up is tree.head, x.up is not None and x.up is tree.body)
+                if x.tag in LEFT:
+                    todo.append((x, len(self.texts), len(self.f["links"])))
+                counts = x.tag != "script"
+                todo += [y if isinstance(y, Node) else (y, counts) for y in reversed(x.kids) if y is not None]
+            elif len(x) == 2:
+                text = "".join(x[0])
+                self.texts.append(text)
+                if self.in_body and not self.in_link and x[1]:
+                    self.words.append(text)
+            else:
+                self.leave(x[0], x[1], x[2], tree.head)
+        self.same_ids = len(set(ids)) < len(ids)
+
+    def enter(self, x: Node, in_head: bool, in_body: bool) -> None:
+        f, tag, a = self.f, x.tag, x.attrs
         self.n_elements += 1
-        if a.get("id"):
-            self.ids.append(a["id"])
-        if tag == "html" and not self.lang:
-            self.lang = a.get("lang", "")
-        head = not self.head_done
-        if tag == "base" and "href" in a and head:
-            f["base"].append(a["href"])
+        if a.get("style"):
+            f["css"] += css_urls(a["style"])
+        if in_head:
+            self.enter_head(tag, a)
         if tag == "meta":
-            name = a.get("name", "")
-            if head:
-                for key in ("description", "viewport"):
-                    if name == key:
-                        f[key].append(a.get("content", ""))
-                if a.get("http-equiv") == "refresh":
-                    f["refresh"].append(a.get("content", ""))
-                if a.get("http-equiv", "").lower() == "content-security-policy":
-                    f["csp"].append(1)
-            elif not [x for x in self.stack if x not in ("html", "body")]:
+            under = in_head or f["head"]  # below <head>, at any depth
+            if under and a.get("name") == "description":
+                f["descriptions"].append(1)
+            if under and a.get("http-equiv") == "refresh" and "content" in a:
+                f["refresh"].append(a["content"])
+            if in_body:
                 f["body_meta"].append(1)
-            if name == "robots":
-                f["robots"].append(a.get("content", ""))
-        elif tag == "link":
-            rel = a.get("rel", "")
-            if rel == "stylesheet" and "href" in a:
-                f["styles"].append(a["href"])
-            if head and "href" in a:
-                if rel == "canonical":
-                    f["canonical"].append(a["href"])
-                if rel == "alternate":
-                    f["alternate"].append(a["href"])
-                    if "hreflang" in a:
-                        f["hreflang"].append((a["href"], a["hreflang"]))
-                if rel in ("next", "prev", "previous"):
-                    f["pagination"].append(a["href"])
-                if rel == "preload":
-                    f["preload"].append(a["href"])
+        elif tag == "link" and a.get("rel") == "stylesheet" and "href" in a:
+            f["styles"].append(a["href"])
         elif tag == "script" and "src" in a:
             f["scripts"].append(a["src"])
         elif tag == "iframe" and a.get("src"):
@@ -123,84 +122,128 @@ class _Page(HTMLParser):
             if a.get("src"):
                 f["images"].append((a["src"], alt))
                 f["images"] += [(u, alt) for u in srcset(a.get("srcset", ""))]
-            if self.pictures and self.pictures[-1]["alt"] is None:
-                self.pictures[-1]["alt"] = alt
+            for p in self.pictures:
+                if p["alt"] is None:
+                    p["alt"] = alt
         elif tag == "picture":
             self.pictures.append({"alt": None, "sets": []})
         elif tag == "source":
-            if self.pictures and "picture" in self.stack:
-                self.pictures[-1]["sets"] += srcset(a.get("srcset", ""))
-            elif self.media:
-                self.media[-1][1].append(a.get("src", ""))
+            urls = srcset(a.get("srcset", "")) if self.pictures else []
+            for p in self.pictures[-NESTED:]:
+                p["sets"] += urls
+            for _, srcs in self.media[-NESTED:]:
+                srcs.append(a.get("src", ""))
         elif tag in ("audio", "video"):
-            self.media.append([tag, [a["src"]] if a.get("src") else [], a.get("poster", "")])
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.head_done:
+            self.media.append((a.get("poster", ""), [a["src"]] if a.get("src", "").strip() else []))
+        elif tag in HEADINGS and self.in_body:
             f["headings"].append(int(tag[1]) - 1)
-        if a.get("style"):
-            f["css"] += css_urls(a["style"])
-        if tag in ("title", "h1", "h2", "a", "style") and tag not in VOID:
-            self.open.append((tag, "head" if head else "body", [a]))
-        if tag not in VOID:
-            self.stack.append(tag)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def _close(self, tag):
-        if self.open and self.open[-1][0] == tag:
-            _, where, (a, *text) = self.open.pop()
-            text = "".join(text)
-            if tag == "title" and where == "head":
-                self.facts["title"].append(text)
-            elif tag in ("h1", "h2"):
-                self.facts[tag].append(text)
-            elif tag == "a" and "href" in a:
-                self.facts["links"].append((a["href"], a.get("rel", "").strip(), entities.escape(text.strip(), quote=True)))
-            elif tag == "style":
-                self.facts["css"] += css_urls(text)
-        if tag == "picture" and self.pictures:
+        elif tag == "a":
+            self.in_link += 1
+            if "href" in a:
+                f["links"].append(None)  # its place; the text is known when it ends
+        elif tag == "body":
+            self.in_body += 1
+        elif tag == "head":
+            f["head"].append(1)
+
+    def enter_head(self, tag: str, a: dict[str, str]) -> None:
+        """Children of <head>."""
+        f, rel = self.f, a.get("rel", "")
+        if tag == "base" and "href" in a:
+            f["base"].append(a["href"])
+        elif tag == "meta":
+            if a.get("name") in ("description", "robots") and "content" in a:
+                f[a["name"]].append(a["content"])
+            if a.get("name") == "viewport":
+                f["viewport"].append(a.get("content", ""))
+            if a.get("http-equiv") == "Content-Security-Policy":
+                f["csp"].append(1)
+        elif tag == "link":
+            if rel == "alternate":
+                f["alternate"].append(a.get("href", ""))
+                if "hreflang" in a:
+                    f["hreflang"].append((a.get("href", ""), a["hreflang"]))
+            elif "href" in a and rel in ("canonical", "next", "prev", "previous", "preload"):
+                f[rel if rel in ("canonical", "preload") else "pagination"].append(a["href"])
+
+    def leave(self, x: Node, texts: int, links: int, head: Node | None) -> None:
+        """The end of an element of LEFT, which began at these places of the texts and the links."""
+        f, tag = self.f, x.tag
+        text = lambda: "".join(self.texts[texts:])
+        if tag == "a":
+            self.in_link -= 1
+            if "href" in x.attrs:
+                f["links"][links - 1] = (x.attrs["href"], x.attrs.get("rel", "").strip(), text().strip())
+        elif tag == "title" and x.up is head:
+            f["title"].append(text())
+        elif tag in ("h1", "h2"):
+            f[tag].append((texts, text()) if not f[tag] or texts < f[tag][0][0] else (texts, ""))
+        elif tag == "style":
+            f["css"] += css_urls(text())
+        elif tag == "picture":
             p = self.pictures.pop()
             self.bare_picture |= p["alt"] is None
             if p["alt"] is not None:
-                self.facts["sources"] += [(u, p["alt"]) for u in p["sets"]]
-        if tag in ("audio", "video") and self.media:
-            kind, srcs, poster = self.media.pop()
-            self.facts[kind + "s"] += [(u, poster) for u in srcs] if kind == "video" else srcs
-
-    def handle_endtag(self, tag):
-        if tag not in self.stack:
-            return
-        while self.stack:
-            top = self.stack.pop()
-            while self.open and self.open[-1][0] not in self.stack and self.open[-1][0] != top:
-                self._close(self.open[-1][0])
-            self._close(top)
-            if top == tag:
-                break
-        if tag == "head":
-            self.head_done = True
-
-    def handle_data(self, data):
-        if not self.stack and data.strip():
-            self.head_done = True
-        for _, _, held in self.open:
-            held.append(data)
-        if self.head_done and "a" not in self.stack and not (self.stack and self.stack[-1] == "script"):
-            self.words.append(data)
-
-    def finish(self):
-        self.close()
-        while self.stack:
-            self._close(self.stack.pop())
+                f["sources"] += [(u, p["alt"]) for u in p["sets"]]
+        elif tag in ("audio", "video"):
+            poster, srcs = self.media.pop()
+            f[tag + "s"] += [(u, poster) for u in srcs] if tag == "video" else srcs
+        elif tag == "body":
+            self.in_body -= 1
+        elif tag == "head":
+            f["head"].clear()
+
+    def heading(self, tag: str) -> str:
+        """The text of the first element of that name, in document order."""
+        return sanitised(min(self.f[tag])[1]).strip() if self.f[tag] else ""
 
 
 def css_urls(css: str) -> list[str]:
     return [x.strip("'\" \t\n") for x in re.findall(r"url\((.*?)\)", css)]
 
 
+class _Spaced(dict):
+    """For str.translate: punctuation and symbols become spaces."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = 32 if unicodedata.category(chr(code))[0] in "PS" else code
+        return self[code]
+
+
+SPACED = _Spaced()
+
+
 def count_words(texts: list[str]) -> int:
-    joined = " ".join(texts)
-    return len("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in joined).split())
+    return len(" ".join(texts).translate(SPACED).split())
+
+
+#: Elements whose content a strict policy drops with them, and how it writes the five characters.
+DROPPED = frozenset("frame frameset iframe noembed noframes noscript nostyle object script style".split())
+ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;"})
+
+
+def sanitised(text: str) -> str:
+    """A text without any markup: tags and comments go, and what `DROPPED` elements hold; what stays is escaped."""
+    if "<" not in text:
+        return entities.unescape(text).translate(ESCAPES) if "&" in text else text.translate(ESCAPES)
+    out, at, dropped = [], 0, 0
+    while at < len(text):
+        m = MARKUP.search(text, at)
+        stop = m.start() if m else len(text)
+        if not dropped:
+            out.append(entities.unescape(text[at:stop]))
+        if not m:
+            break
+        if not m[2]:
+            end = text.find("-->" if m[3] else ">", m.end() if m[3] else m.start())
+            at = len(text) if end < 0 else end + (3 if m[3] else 1)
+            continue
+        tag, closed, at = m[2].lower(), *attributes(text, m.end())[1:]
+        if tag in DROPPED and not closed:
+            dropped = max(0, dropped + (-1 if m[1] else 1))
+        if at < 0:
+            break
+    return "".join(out).translate(ESCAPES)
 
 
 def link_header(values: list[str]) -> list[tuple[str, list[str]]]:
@@ -295,14 +338,11 @@ def parse(r: dict) -> dict:
         dom["css_urls"] = [u for x in css_urls(text) if (u := resolve(x, url))]
     if not any(x in kind for x in HTML_TYPES) or not size:
         return out
-    p = _Page()
-    p.feed(text)
-    p.finish()
-    f = p.facts
+    p = Facts(text)
+    f = p.f
     base = f["base"][0] if f["base"] else None
     absolute = lambda refs: [u for x in refs if (u := resolve(x, url, base))]
     one = lambda k: f[k][0].strip() if f[k] else ""
-    clean = lambda s: entities.escape(s.strip(), quote=True)
     robots = one("robots") or first("x-robots-tag")
     refresh = one("refresh")
     part = refresh.split(";")[1] if ";" in refresh else ""
@@ -321,7 +361,7 @@ def parse(r: dict) -> dict:
                 {
                     "url": target,
                     "rel": rel,
-                    "text": label,
+                    "text": sanitised(label),
                     "external": external,
                     "nofollow": "nofollow" in rel,
                     "sponsored": "sponsored" in rel,
@@ -339,7 +379,7 @@ def parse(r: dict) -> dict:
         "lang": p.lang or first("content-language"), "title": one("title"), "description": one("description"), "refresh": refresh,
         "redirect_url": (resolve(part[4:].replace("'", ""), url, base) or "") if part[:4].lower() == "url=" else "",
         "robots": robots, "noindex": "noindex" in robots or "none" in robots, "nofollow": "nofollow" in robots or "none" in robots,
-        "h1": clean(f["h1"][0]) if f["h1"] else "", "h2": clean(f["h2"][0]) if f["h2"] else "", "canonical": canonical,
+        "h1": p.heading("h1"), "h2": p.heading("h2"), "canonical": canonical,
         "hreflangs": alternates, "links": [x for x in links if not x["external"]], "external_links": [x for x in links if x["external"]],
         "images": [{"url": u, "alt": alt} for x, alt in f["images"] + f["sources"] if (u := resolve(x, url, base))],
         "scripts": absolute(f["scripts"]), "styles": absolute(f["styles"]), "iframes": absolute(f["iframes"]), "audios": absolute(f["audios"]),
@@ -347,8 +387,8 @@ def parse(r: dict) -> dict:
         "words": count_words(p.words), "body_hash": hashlib.sha256(body).hexdigest(),
     }
     out["dom"] = dom | {
-        "n_head_canonical": len(f["canonical"]), "first_canonical_href": f["canonical"][0] if f["canonical"] else "", "n_head_title": len(f["title"]), "n_head_meta_description": len(f["description"]), "n_body_child_meta": len(f["body_meta"]),
-        "n_elements": p.n_elements, "has_duplicate_id": len(set(p.ids)) < len(p.ids), "heading_levels": f["headings"], "form_actions": f["forms"], "picture_without_img": p.bare_picture, "img_missing_size": p.missing_size,
+        "n_head_canonical": len(f["canonical"]), "first_canonical_href": f["canonical"][0] if f["canonical"] else "", "n_head_title": len(f["title"]), "n_head_meta_description": len(f["descriptions"]), "n_body_child_meta": len(f["body_meta"]),
+        "n_elements": p.n_elements, "has_duplicate_id": p.same_ids, "heading_levels": f["headings"], "form_actions": f["forms"], "picture_without_img": p.bare_picture, "img_missing_size": p.missing_size,
         "alternate_hrefs": f["alternate"], "pagination_hrefs": absolute(f["pagination"]), "viewport_content": f["viewport"][0] if f["viewport"] else None, "has_csp_meta": bool(f["csp"]), "base_href": base, "preload_hrefs": absolute(f["preload"]), "css_urls": [
             u for x in f["css"] if (u := resolve(x, url))
         ],
@@ -360,8 +400,11 @@ def parse(r: dict) -> dict:
 RESPONSE = "crawl_id bigint, url string, status_code int, headers map<string,array<string>>, body string, content_length bigint, ttfb int, depth int, in_sitemap boolean, robotstxt_blocked boolean, timeout boolean"
 
 
-def page_records(responses: DataFrame, follow_nofollow: bool = False, include_noindex: bool = True) -> DataFrame:
-    """RECORD rows; a page is crawled unless it timed out or asks not to be followed. Noindex pages may be left out."""
+def page_records(responses: DataFrame, follow_nofollow: bool = False, include_noindex: bool = True, tasks: int | None = None) -> DataFrame:
+    """RECORD rows; a page is crawled unless it timed out or asks not to be followed. Noindex pages may be left out.
+
+    tasks: deal the responses out to so many tasks first, by a hash of their URL: for inputs of a few large splits, as parsing
+    takes far longer than reading."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(T._parse_datatype_string(RECORD))
@@ -369,24 +412,29 @@ def page_records(responses: DataFrame, follow_nofollow: bool = False, include_no
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                r["headers"] = dict(r["headers"] or [])
-                page = parse(r)
-                flags = {k: bool(r[k]) for k in ("in_sitemap", "robotstxt_blocked", "timeout")}
-                page |= {
-                    "crawl_id": r["crawl_id"],
-                    "url": r["url"],
-                    "status_code": r["status_code"] or 0,
-                    "depth": r["depth"],
-                    "ttfb": r["ttfb"],
-                    **flags,
-                    "crawled": not flags["timeout"] and (follow_nofollow or not page["nofollow"]),
-                }
-                page["headers"] = list(page["headers"].items())
-                if include_noindex or not page["noindex"]:
-                    rows.append(page)
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return responses.select(*names).mapInArrow(run, RECORD)
+            yield from map(of_slice, (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)))
+
+    def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for r in batch.to_pylist():
+            r["headers"] = dict(r["headers"] or [])
+            page = parse(r)
+            flags = {k: bool(r[k]) for k in ("in_sitemap", "robotstxt_blocked", "timeout")}
+            page |= {
+                "crawl_id": r["crawl_id"],
+                "url": r["url"],
+                "status_code": r["status_code"] or 0,
+                "depth": r["depth"],
+                "ttfb": r["ttfb"],
+                **flags,
+                "crawled": not flags["timeout"] and (follow_nofollow or not page["nofollow"]),
+            }
+            page["headers"] = list(page["headers"].items())
+            if include_noindex or not page["noindex"]:
+                rows.append(page)
+        return pa.RecordBatch.from_pylist(rows, schema)
+
+    dealt = responses.select(*names)
+    if tasks:
+        dealt = dealt.repartition(tasks, F.xxhash64("url"))
+    return dealt.mapInArrow(run, RECORD)
