@@ -12,7 +12,7 @@ from auditlake.issue_types import ROWS, issue_types
 from auditlake.operators import archive, crawl, exports, graph_rules, lifecycle, page_rules, reports
 from auditlake.plans import fixtures as fx
 from auditlake.plans import rule_sql, site
-from auditlake.sources import html
+from auditlake.sources import html, wacz
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,6 +324,21 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+KEY_SQL = (
+    r"array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', ''), '.')), ',') || ')' || "
+    r"coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/')"
+)
+MOMENT = "2026-01-02T03:04:05Z"
+register(
+    "archive_offsets",
+    # the places are the same whatever the number of parts
+    lambda s, d: wacz.offsets(wacz.pieces(responses(s, d), MOMENT, parts=4)[0]).select("url", "digest", "length", "position"),
+    f"""WITH p AS (SELECT url, html, {KEY_SQL} AS key, 'HTTP/1.1 200#Content-Type: text/html; charset=utf-8##' AS head FROM pages),
+    r AS (SELECT url, html, key || ' {MOMENT} {{"url":"' || url || '"}}' AS line, strlen(head) + 3 + strlen(html) AS content FROM p),
+    l AS (SELECT url, line, concat('sha-256:', sha256(html)) AS digest, content + 4 + strlen(concat('WARC/1.0', 'WARC-Type: response', 'WARC-Date: {MOMENT}', 'WARC-Target-URI: ', url,
+      'Content-Type: text/html; charset=utf-8', 'WARC-Record-ID: <urn:uuid:', repeat('0', 36), '>', 'Content-Length: ', content)) + 2 * 8 AS length FROM r)
+    SELECT url, digest, length, CAST(sum(length) OVER (ORDER BY line) - length AS BIGINT) AS position FROM l""",
+)
 records = lambda s, d: html.page_records(responses(s, d)).withColumn("id", F.xxhash64("crawl_id", "url"))
 for _t, _columns in {
     "links": "x.url, x.rel, x.text, x.nofollow, x.sponsored, x.ugc, sha256(x.url) AS url_hash",
