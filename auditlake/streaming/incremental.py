@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from auditlake.operators.page_rules import page_issues
 from auditlake.sources.html import RESPONSE, page_records
+from auditlake.streaming.progress import observed_issues, observed_pages
 
 
 def response_stream(spark: SparkSession, path: str, keep: str = "1 day") -> DataFrame:
@@ -18,12 +19,15 @@ def response_stream(spark: SparkSession, path: str, keep: str = "1 day") -> Data
 
 
 def issue_stream(responses: DataFrame) -> DataFrame:
-    return page_issues(page_records(responses).withColumn("id", F.xxhash64("crawl_id", "url")))
+    """Page issues of the stream; the numbers of pages and issues are observed metrics, which progress.py publishes."""
+    return observed_issues(page_issues(observed_pages(page_records(responses)).withColumn("id", F.xxhash64("crawl_id", "url"))))
 
 
-def write_issues(issues: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """All that has arrived, then stop; restarts go on from the checkpoint."""
-    return issues.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_issues(issues: DataFrame, path: str, checkpoint: str, topic: str | None = None) -> StreamingQuery:
+    """All that has arrived, then stop; restarts go on from the checkpoint. topic: the query's name, under which its progress is
+    published."""
+    to = issues.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (to.queryName(topic) if topic else to).start()
 
 
 def progress(responses: DataFrame) -> DataFrame:
