@@ -53,7 +53,7 @@ SENSITIVE = re.compile("|".join(map(re.escape, sorted(SENSITIVE_WORDS, key=len,
 #: '=' only ends a candidate: in front of a value it stands for an assignment.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
 CANDIDATE_CHARACTER = re.compile(r"[A-Za-z0-9+/_.~-]")
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+PEM_BEGIN, PEM_LABEL, KEY = "-----BEGIN ", re.compile(r"[A-Z0-9 ]*"), "PRIVATE KEY"
 PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\]*")
 #: Character classes, narrowest first: a candidate's alphabet is the first that holds its letters and digits, and its signs.
 CLASSES = (
@@ -149,18 +149,29 @@ class Novelty:
             done = max(done, at, stop + 1)
 
 
+def pem_mark(text: str, at: int) -> int:
+    """The end of the first mark that begins a private key's block, from `at` on; -1 without one. Each label is read once."""
+    while (at := text.find(PEM_BEGIN, at)) >= 0:
+        at += len(PEM_BEGIN)
+        label = PEM_LABEL.match(text, at)
+        at, (head, key, tail) = label.end(), label[0].rpartition(KEY)
+        if key and text.startswith("-----", at) and not any("0" <= c <= "9" for c in tail):
+            return at + 5
+    return -1
+
+
 def key_bodies(text: str) -> Iterator[tuple[int, int]]:
     """Spans between the marks of private keys' PEM blocks; without an end mark, as far as base64 goes."""
     at, mark = 0, 0
-    while m := PEM.search(text, at):
-        if 0 <= mark < m.end():
-            mark = text.find("-----END ", m.end())
+    while (start := pem_mark(text, at)) >= 0:
+        if 0 <= mark < start:
+            mark = text.find("-----END ", start)
         end = mark
-        if mark < 0 or text.find("-----BEGIN ", m.end(), mark) >= 0:
-            end = PEM_BODY.match(text, m.end()).end()
-        at = max(end, m.end())
-        body = text[m.end() : end]
-        yield m.end() + len(body) - len(body.lstrip()), m.end() + len(body.rstrip())
+        if mark < 0 or text.find(PEM_BEGIN, start, mark) >= 0:
+            end = PEM_BODY.match(text, start).end()
+        at = max(end, start)
+        body = text[start:end]
+        yield start + len(body) - len(body.lstrip()), start + len(body.rstrip())
 
 
 def base_spans(text: str, lower: str | None = None) -> list[tuple[int, int, str]]:
