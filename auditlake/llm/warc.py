@@ -134,9 +134,8 @@ def http_head(block: memoryview) -> tuple[int, int]:
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of the archives below `path`."""
+    """(file, content) of the archives below `path`. A row is a whole archive, so the batches are bounded by their bytes."""
     tx.arrow_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole archive file here
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
 
 
