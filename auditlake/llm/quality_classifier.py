@@ -137,14 +137,16 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, rated: DataFrame, most_rated: int = 12_000) -> Ordinal | None:
-    """rated: (doc_id, grade). most_rated bounds the sample, about; it is small enough to be sent to every task."""
+    """rated: (doc_id, grade). most_rated bounds the sample, about; it is small enough to be sent to every task. Of the texts of a
+    doc_id that repeats the least one is taken, so the sample has a text a rating at most."""
     spark = docs.sparkSession
     tx.arrow_batches(spark)
     n = rated.count()
     if not n:
         return None
     drawn = rated.where(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < int(min(1.0, most_rated / n) * (1 << 30))).limit(2 * most_rated)
-    rows = tx.only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade").mapInArrow(
+    met = tx.only(docs, "doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = met.select("doc_id", "text", "grade").mapInArrow(
         _feature_batches,
         "doc_id long, grade int, buckets array<int>",
     ).toArrow()
