@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import mime, urls
+from auditlake.functions.languages import valid_tag
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,11 @@ HEADER = "coalesce(try_element_at(try_element_at(headers, '{}'), 1), '')"
 #: The last Link entry whose one parameter names it canonical.
 LINK_CANONICAL = "try_element_at(filter(transform(split(" + HEADER.format("link") + r""", ','), e -> regexp_extract(e, '^\\s*<([^>]*)>\\s*;\\s*rel="?canonical"?\\s*$', 1)), e -> e <> ''), -1)"""
 RELATIVE = "NOT ({0} RLIKE '^[a-zA-Z][a-zA-Z0-9+.-]*:')"
-#: Syntax of a language tag: language, script, region, variants, extensions.
-LANGUAGE_TAG = "^([A-Za-z]{2,3}|[A-Za-z]{5,8})(-[A-Za-z]{4})?(-([A-Za-z]{2}|[0-9]{3}))?(-([A-Za-z0-9]{5,8}|[0-9][A-Za-z0-9]{3}))*(-[A-WYZa-wyz0-9](-[A-Za-z0-9]{2,8})+)*(-x(-[A-Za-z0-9]{1,8})+)?$"
+
+
+def invalid_language() -> Column:
+    """Whether one of the page's languages, parted by commas, is no tag of registered subtags."""
+    return F.expr(f"{NOT_3XX} AND lang <> '' AND exists(split(lang, ','), x -> NOT {valid_tag('x')})")
 
 
 def dom_size(most: int) -> Rule:
@@ -95,7 +99,7 @@ def page_rules(strict: bool = False, most_elements: int = 1500) -> list[Rule]:
         r(69, "noimageindex", f"{HTML} AND contains(robots, 'noimageindex')"),
         r(70, "picture_missing_img", f"{HTML} AND dom.picture_without_img"),
         r(73, "img_size_attr", f"{HTML} AND dom.img_missing_size"),
-        r(35, "invalid_lang", f"{NOT_3XX} AND lang <> '' AND exists(split(lang, ','), x -> NOT (x RLIKE '{LANGUAGE_TAG}'))"),
+        Rule(35, "invalid_lang", invalid_language),
         r(16, "no_lang", f"{NOT_3XX} AND lang = ''"),
         r(45, "hreflang_xdefault", f"{HTML} AND size(hreflangs) > 0 AND NOT exists(hreflangs, x -> x.lang = 'x-default')"),
         r(46, "hreflang_self_reference", f"{HTML} AND size(hreflangs) > 0 AND NOT exists(hreflangs, x -> x.url = url)"),

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls
+from auditlake.functions.languages import valid_tag
+from auditlake.functions.shared import shared_dir
 from auditlake.issue_types import ROWS, issue_types
-from auditlake.operators import archive, crawl, exports, graph_rules, lifecycle, page_rules, reports
+from auditlake.operators import archive, crawl, exports, graph_rules, lifecycle, page_rules, reports, search
 from auditlake.plans import fixtures as fx
 from auditlake.plans import rule_sql, site
 from auditlake.sources import html, wacz
@@ -208,6 +210,26 @@ register(
     lambda s, d: reports.page(reports.search(pages(s, d), "p_x site3"), 1, "url", "id").select("id", "url"),
     SEARCH + " ORDER BY url, id LIMIT 25",
 )
+
+
+def url_index(spark: SparkSession, sf_dir: str) -> str:
+    """The inverted index of all crawled pages, written for this query."""
+    path = shared_dir(spark, "url-index")
+    search.write_index(pages(spark, sf_dir), path)
+    return path
+
+
+register("search_index", lambda s, d: search.search(s, url_index(s, d), "p_x site3").select("id", "url"), SEARCH)
+register("search_index_page_count", lambda s, d: search.page_count(s, url_index(s, d), "p_x site3"), f"SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM ({SEARCH})")
+register(
+    "search_index_by_relevance",
+    # whole counts in place of the score, which is a sum of logarithms
+    lambda s, d: search.search(s, url_index(s, d), "p_x site3", by_relevance=True).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n")),
+    f"""{P}, t AS (SELECT DISTINCT crawl_id, id, w FROM (SELECT crawl_id, id, unnest(list_filter(regexp_split_to_array(lower(url), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 3)) AS w FROM pagereports WHERE crawled) WHERE w IN ('p_x', 'site3')),
+    c AS (SELECT crawl_id, w, count(*) AS n, max(count(*)) OVER (PARTITION BY crawl_id) AS most FROM t GROUP BY crawl_id, w),
+    s AS (SELECT id, sum(ln(1 + most / n)) AS score FROM t JOIN c USING (crawl_id, w) GROUP BY crawl_id, id)
+    SELECT round(score, 6) AS score, count(*) AS n FROM s GROUP BY 1""",
+)
 register(
     "view_links_with_target",
     lambda s, d: reports.links_with_target(fx.links(s, d), pages(s, d)).select("pagereport_id", "line", "url", "target_id", "status_code"),
@@ -380,6 +402,44 @@ register(
     site.issues_sql(site.STRICT),
 )
 register("extract_misnested", site.misnested, site.misnested_sql())
+SITE_PAGES = lambda s, d: site.with_id(site.responses(s, d)).select("id", "crawl_id", "url", F.sha2("url", 256).alias("url_hash"))
+for _t in ("scripts", "styles", "iframes", "audios", "videos", "external"):
+    _table, _names = reports.TABS.get(_t, _t), exports.RESOURCES[_t][1]
+    _at = {"videos": ["x.url"], "external": ["x.url", "x.text"]}.get(_t, ["x"])
+    register(
+        f"export_{_t}",
+        lambda s, d, t=_t, n=_table: exports.resource(t, lifecycle.child_table(site.records(s, d), n), SITE_PAGES(s, d)),
+        f"{site.duck()} SELECT url AS \"Origin\", " + ", ".join(f'{a} AS "{n}"' for a, n in zip(_at, _names)) + f" FROM (SELECT url, unnest({_table}) AS x FROM site)",
+    )
+EXTERNAL_COLUMNS = "x.url, x.rel, x.text, x.nofollow, x.sponsored, x.ugc, CAST(NULL AS INT) AS status_code"
+EXTERNAL = lambda s, d: {"external_links": lifecycle.child_table(site.records(s, d), "external_links"), "pagereports": SITE_PAGES(s, d)}
+register(
+    "view_tab_external",
+    lambda s, d: reports.page_report(EXTERNAL(s, d), 5, "external"),
+    f"SELECT * FROM ({site.child('external_links', EXTERNAL_COLUMNS)}) WHERE pagereport_id = 5 ORDER BY line, url LIMIT 25",
+)
+register(
+    "agg_tab_page_count_external",
+    lambda s, d: reports.tab_page_count(EXTERNAL(s, d), 5, "external"),
+    f"SELECT CAST(ceil(count(*) / 25) AS BIGINT) AS pages FROM ({site.child('external_links', EXTERNAL_COLUMNS)}) WHERE pagereport_id = 5",
+)
+#: Parts of language tags, and whether they are registered.
+TAG_PARTS = [
+    [("en", 1), ("zh-cmn", 1), ("xx", 0), ("GSW", 1), ("eng", 1), ("qq", 0), ("en-cmn", 0), ("e1", 0), ("und", 1)],
+    [("", 1), ("-Hans", 1), ("-Hoax", 0), ("_latn", 1)],
+    [("", 1), ("-CN", 1), ("-419", 1), ("-997", 0), ("-zz", 1)],
+    [("", 1), ("-1996", 1), ("-notavari", 0), ("-x-own", 1), ("-", 0), ("-u-co-phonebk", 1), (" ", 0)],
+]
+_steps = [1, 9, 36, 180]
+_tag = lambda text: "concat(" + ", ".join(f"element_at(array({', '.join(repr(x) for x, _ in part)}), CAST({text(step, len(part))} + 1 AS INT))" for step, part in zip(_steps, TAG_PARTS)) + ")"
+register(
+    "language_tags",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").selectExpr(
+        "o_orderkey", _tag(lambda step, n: f"(floor(o_orderkey / {step}) % {n})") + " AS tag"
+    ).select("o_orderkey", "tag", F.expr(valid_tag("tag")).alias("valid")),
+    "SELECT o_orderkey, " + " || ".join(f"[{', '.join(repr(x) for x, _ in part)}][(o_orderkey // {step}) % {len(part)} + 1]" for step, part in zip(_steps, TAG_PARTS)) + " AS tag, "
+    + " AND ".join(f"[{', '.join('true' if ok else 'false' for _, ok in part)}][(o_orderkey // {step}) % {len(part)} + 1]" for step, part in zip(_steps, TAG_PARTS)) + " AS valid FROM orders",
+)
 register("extract_expand_links", lambda s, d: crawl.expand_links(site.records(s, d)), site.EXPANDED)
 register("extract_link_counters", lambda s, d: reports.link_counters(site.records(s, d)), site.COUNTERS)
 TITLE = r"trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"

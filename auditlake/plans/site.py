@@ -144,9 +144,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*[F.expr(v).alias(k) for k, v in RESPONSE.items()], F.map_from_entries(filled).alias("headers"))
 
 
+def with_id(pages: DataFrame) -> DataFrame:
+    """The order's key as id."""
+    return pages.withColumn("id", F.regexp_extract("url", "/p[_ ]?([0-9]+)", 1).cast("long"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page records with the order's key as id."""
-    return html.page_records(responses(spark, sf_dir)).withColumn("id", F.regexp_extract("url", "/p[_ ]?([0-9]+)", 1).cast("long"))
+    return with_id(html.page_records(responses(spark, sf_dir)))
 
 
 def absolute(ref: str) -> str:
