@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from urllib.parse import quote, urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls
+from auditlake.sources.tree import ATTRIBUTE, MARKUP, RAW_END, SKIPPED, attribute_text, attributes
 
 
 def cdxj_key(url: Column) -> Column:
@@ -57,10 +59,9 @@ def replay_headers(headers: Column) -> Column:
 
 
 CSS_URL = re.compile(r"""url\(\s*["']?(.*?)["']?\s*\)""")
-ATTRIBUTE = re.compile(r"""(<(?:img|script|link|iframe|source|video|audio|a)\b[^>]*?\s(?:src|href|poster)\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
-SRCSET = re.compile(r"""(<(?:img|source)\b[^>]*?\ssrcset\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
-STYLE = re.compile(r"(<style\b[^>]*>)(.*?)(</style>)", re.I | re.S)
-INLINE = re.compile(r"""(\sstyle\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
+#: Attributes that hold a URL, by element.
+URL_ATTRIBUTES = {"img": {"src"}, "script": {"src"}, "link": {"href"}, "iframe": {"src"}, "source": {"src"}, "video": {"src", "poster"}, "audio": {"src"}, "a": {"href"}}
+SETS = {"img", "source"}
 
 
 def replay_url(ref: str, page: str, project: int) -> str:
@@ -72,17 +73,82 @@ def rewrite_css(css: str, to) -> str:
     return CSS_URL.sub(lambda m: f"url({to(m[1])})", css)
 
 
+def rewrite_srcset(value: str, to) -> str:
+    """Entries keep their descriptors."""
+    entries = (x.split(maxsplit=1) for x in re.split(r",\s+", value.strip(" ,\t\n\f\r")) if x.strip())
+    return ", ".join(" ".join([to(u), *d]) for u, *d in entries)
+
+
+def start_tags(html: str) -> Iterator[tuple[str, int, int]]:
+    """(name, where the attributes begin, the end) of each start tag, in one pass: comments, declarations, and what elements of raw
+    text hold are passed over."""
+    at = 0
+    while m := MARKUP.search(html, at):
+        if not m[2]:
+            stop = html.find("-->" if m[3] else ">", m.end() if m[3] else m.start())
+            at = len(html) if stop < 0 else stop + (3 if m[3] else 1)
+            continue
+        tag, (_, _, at) = m[2].lower(), attributes(html, m.end())
+        if at < 0:
+            return
+        if not m[1]:
+            yield tag, m.end(), at
+            if (end := RAW_END.get(tag)) is not None:
+                close = end.search(html, at)
+                at = close.start() if close else len(html)
+
+
+def _attribute(tag: str, name: str, value: str, to) -> str:
+    if name in URL_ATTRIBUTES.get(tag, ()):
+        return to(value)
+    if name == "srcset" and tag in SETS:
+        return rewrite_srcset(value, to)
+    return rewrite_css(value, to) if name == "style" else value
+
+
 def rewrite_html(html: str, to) -> str:
-    """Every fetched or linked URL through to(); srcset entries keep their descriptors."""
-    html = ATTRIBUTE.sub(lambda m: f"{m[1]}{m[2]}{to(m[3])}{m[2]}", html)
-    html = SRCSET.sub(lambda m: m[1] + m[2] + ", ".join(" ".join([to(u), *d]) for u, *d in (x.split() for x in re.split(r",\s+", m[3]) if x.strip())) + m[2], html)
-    html = STYLE.sub(lambda m: m[1] + rewrite_css(m[2], to) + m[3], html)
-    return INLINE.sub(lambda m: m[1] + m[2] + rewrite_css(m[3], to) + m[2], html)
+    """Every fetched or linked URL through to(): in attributes, srcset entries, style attributes and style elements. All else is
+    copied as it is, so scripts, comments and texts stay, and attributes without quotes get them only where their value changes."""
+    out, done = [], 0
+
+    def put(start: int, stop: int, text: str) -> None:
+        nonlocal done
+        out.extend((html[done:start], text))
+        done = stop
+
+    for tag, start, end in start_tags(html):
+        at, seen = start, set()
+        while html[(at := SKIPPED.match(html, at).end())] != ">":
+            m = ATTRIBUTE.match(html, at)
+            at, name = m.end(), m[1].lower()
+            group = next((g for g in (2, 3, 4) if m[g] is not None), None)
+            if group and name not in seen:
+                value = attribute_text(m[group])
+                new = _attribute(tag, name, value, to)
+                if new != value:
+                    quote = 0 if group == 4 else 1
+                    escaped = new if attribute_text(new) == new else new.replace("&", "&amp;")
+                    put(m.start(group) - quote, m.end(group) + quote, '"' + escaped.replace('"', "&quot;") + '"')
+            seen.add(name)
+        if tag == "style":
+            close = RAW_END[tag].search(html, end)
+            stop = close.start() if close else len(html)
+            put(end, stop, rewrite_css(html[end:stop], to))
+    return "".join([*out, html[done:]])
 
 
 def inject(html: str, head: str = "", body: str = "") -> str:
-    html = re.sub(r"(<head\b[^>]*>)", lambda m: m[1] + head, html, count=1, flags=re.I)
-    return re.sub(r"(<body\b[^>]*>)", lambda m: m[1] + body, html, count=1, flags=re.I)
+    """The fragments at the beginning of head and body. Where a page has no such tag, its head begins behind <html>, or the
+    declaration, and its body behind the head."""
+    begin: dict[str, int] = {}
+    for tag, _, end in start_tags(html):
+        if tag in ("html", "head", "body"):
+            begin.setdefault(tag, end)
+    declared = re.match(r"\s*<!doctype[^>]*>", html, re.I)
+    first = begin.get("head", begin.get("html", declared.end() if declared else 0))
+    closed = re.compile(r"</head\s*>", re.I).search(html, first)
+    second = max(first, begin.get("body", closed.end() if closed and "head" in begin else first))
+    return html[:first] + head + html[first:second] + body + html[second:]
 
 
 def download_name(url: str) -> str:
