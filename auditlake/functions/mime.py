@@ -1,20 +1,25 @@
-"""Media types by extension, as a literal map."""
+"""Media types by extension: those that the standard library knows without the machine's own tables, so that all machines agree,
+and a few that pages need otherwise or besides."""
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditlake.functions import urls
 
 #: Extension and media types.
-TYPES = {
+OWN = {
     "html": ["text/html"], "htm": ["text/html"], "css": ["text/css"], "js": ["text/javascript", "application/javascript"], "mjs": ["text/javascript"],
     "json": ["application/json"], "xml": ["text/xml"], "txt": ["text/plain"], "csv": ["text/csv"], "pdf": ["application/pdf"], "zip": ["application/zip"],
     "png": ["image/png"], "jpg": ["image/jpeg"], "jpeg": ["image/jpeg"], "gif": ["image/gif"], "webp": ["image/webp"], "svg": ["image/svg+xml"], "avif": ["image/avif"],
     "mp3": ["audio/mpeg"], "mp4": ["video/mp4"], "webm": ["video/webm"], "woff": ["font/woff"], "woff2": ["font/woff2"], "wasm": ["application/wasm"],
 }
 
+TYPES = {k.removeprefix("."): [v] for k, v in sorted(mimetypes.MimeTypes(filenames=()).types_map[True].items())} | OWN
+
 
 def media_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.element_at(F.split(content_type, ";"), 1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Headings of the page export.
 PAGE_COLUMNS = [
     "Status Code",
     "URL",
@@ -35,7 +36,7 @@ def page_reports(pages: DataFrame) -> DataFrame:
     )
 
 
-#: resource -> (columns of the child table, headings after Origin)
+#: Resource -> (columns of the child table, headings after Origin)
 RESOURCES = {
     "internal": (["url", "text"], ["Destination", "Text"]),
     "external": (["url", "text"], ["Destination", "Text"]),

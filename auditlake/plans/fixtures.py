@@ -129,15 +129,22 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"pagereports": flat_pages(spark, sf_dir, flat=False), "links": links(spark, sf_dir), "hreflangs": hreflangs(spark, sf_dir)}
 
 
-_stored: dict[tuple[str, str], dict[str, DataFrame]] = {}
+class Stored(dict):
+    """Tables that are written when they are first asked for, as an audit has them, with their hashes: the cross-page rules read
+    each several times, and a rule writes no table that it doesn't read."""
 
+    def __init__(self, made: dict[str, DataFrame]):
+        super().__init__()
+        self.made = made
 
-def stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """tables(), written once a session as an audit has them, with their hashes: the cross-page rules read each several times."""
-    name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _stored:
-        _stored[name] = {k: written(df, k) for k, df in tables(spark, sf_dir).items()}
-    return _stored[name]
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = written(self.made[name], name)
+        return self[name]
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> Stored:
+    """tables(), each written once for the caller."""
+    return Stored(tables(spark, sf_dir))
 
 
 def duck(*names: str) -> str:
