@@ -157,6 +157,8 @@ GRAPH_RULES = [
 BY_TARGET = (30, 34, 58)
 #: Rules that compare a page with another by its canonical or its hreflangs, once for each such pair: they share their join.
 BY_CANONICAL, BY_HREFLANG = (22, 40, 42), (25, 39, 41)
+#: Rules about a page's redirect and the next one, and about a page's own alternates.
+BY_REDIRECT, BY_ALTERNATES = (14, 23), (18, 28)
 
 
 def _exploded(rows: DataFrame, when: dict[int, str], codes: set[int]) -> DataFrame:
@@ -230,7 +232,23 @@ def by_hreflang(t: Tables, codes: set[int]) -> DataFrame:
     )
 
 
-SHARED = {BY_TARGET: by_target, BY_CANONICAL: by_canonical, BY_HREFLANG: by_hreflang}
+def by_redirect(t: Tables, codes: set[int]) -> DataFrame:
+    """Pairs of a redirect and the redirect that it leads to."""
+    a = _redirects(t)
+    b = a.select("crawl_id", F.col("url_hash").alias("redirect_hash"), F.col("redirect_hash").alias("back"))
+    return _exploded(a.join(b, ["crawl_id", "redirect_hash"]), {14: ("true", "id"), 23: ("back = url_hash", "id")}, codes)
+
+
+def by_alternates(t: Tables, codes: set[int]) -> DataFrame:
+    """Pages with alternates, and whether one of these is of a page that no alternate leads back to."""
+    h = t["hreflangs"]
+    led_to = h.select("crawl_id", F.col("to_hash").alias("from_hash")).distinct().withColumn("linked", F.lit(True))
+    lone = F.expr("coalesce(to_lang <> 'x-default' AND linked IS NULL, false)")
+    own = h.join(led_to, ["crawl_id", "from_hash"], "left").groupBy("crawl_id", F.col("pagereport_id").alias("id")).agg(F.max(lone).alias("lone"))
+    return _exploded(t["pagereports"].join(own, IDS), {18: (f"lone AND status_code < 300 AND {SELF} AND crawled", "id"), 28: ("noindex AND crawled", "id")}, codes)
+
+
+SHARED = {BY_TARGET: by_target, BY_CANONICAL: by_canonical, BY_HREFLANG: by_hreflang, BY_REDIRECT: by_redirect, BY_ALTERNATES: by_alternates}
 
 
 def graph_issues(tables: Tables, rules: list[GraphRule] | None = None) -> DataFrame:
