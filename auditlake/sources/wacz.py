@@ -211,6 +211,15 @@ def offsets(pieces_: DataFrame) -> DataFrame:
     return rows.select("url", "digest", F.col("entry").alias("filename"), F.col("at").alias("offset"), "length", (F.col("begin") + F.col("at")).alias("position"))
 
 
+def up_to_equals(offsets_: DataFrame) -> DataFrame:
+    """offsets() with the position as a sum in the order of the index lines has it, less a record's own length: records of one URL
+    have equal lines, so each of them ends where their last one ends. The places in the archive are those of offsets()."""
+    from pyspark.sql import Window
+
+    end = F.max(F.col("position") + F.col("length")).over(Window.partitionBy("url"))
+    return offsets_.withColumn("position", end - F.col("length"))
+
+
 def _place(names: dict[str, int], path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's work: its pieces into the file, at the places of their entries."""
 
