@@ -3,7 +3,7 @@
 Tables: pagereports (id, crawl_id, url, url_hash, redirect_hash, status_code, media_type, lang, title, description,
 canonical, noindex, crawled, body_hash), links (pagereport_id, crawl_id, url_hash, nofollow), hreflangs (pagereport_id,
 crawl_id, to_lang, from_hash, to_hash). Joins are equi-joins on (crawl_id, hash), so AQE may broadcast, split or coalesce;
-semi and anti joins are written as such.
+semi and anti joins are written as such. What is shuffled are ids and 16 bytes in place of a hash or text (`_key`).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Tables = dict[str, DataFrame]
@@ -31,22 +31,32 @@ SELF = "(canonical = '' OR canonical = url)"
 IDS = ["id", "crawl_id"]
 
 
+def _key(column: str) -> Column:
+    """128 bits of a text's SHA-256, by which texts of any length and hashes in hex are compared."""
+    return F.substring(F.unhex(F.sha2(column, 256)), 1, 16)
+
+
 def _same(column: str, outer: str) -> Callable[[Tables], DataFrame]:
     def find(t: Tables) -> DataFrame:
         p = t["pagereports"]
-        groups = p.where(f"{HTML_OK} AND {SELF} AND crawled").groupBy("crawl_id", column, "lang").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        return p.where(f"{HTML_OK} AND octet_length({column}) > 0 AND {outer}").join(groups, ["crawl_id", column, "lang"]).select(*IDS)
+        own = [*IDS, _key(column).alias("key"), "lang"]
+        groups = p.where(f"{HTML_OK} AND {SELF} AND crawled").select(*own).groupBy("crawl_id", "key", "lang").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        return p.where(f"{HTML_OK} AND octet_length({column}) > 0 AND {outer}").select(*own).join(groups, ["crawl_id", "key", "lang"]).select(*IDS)
 
     return find
 
 
 def duplicated_content(t: Tables) -> DataFrame:
-    p = t["pagereports"].where("media_type = 'text/html' AND body_hash <> ''")
-    return p.join(p.groupBy("crawl_id", "body_hash").agg(F.count("*").alias("n")).where("n > 1"), ["crawl_id", "body_hash"], "left_semi").select(*IDS)
+    p = t["pagereports"].where("media_type = 'text/html' AND body_hash <> ''").select(*IDS, _key("body_hash").alias("key"))
+    return p.join(p.groupBy("crawl_id", "key").agg(F.count("*").alias("n")).where("n > 1"), ["crawl_id", "key"], "left_semi").select(*IDS)
 
 
 def _redirects(t: Tables) -> DataFrame:
-    return t["pagereports"].where("redirect_hash <> '' AND crawled").select("id", "crawl_id", "url_hash", "redirect_hash")
+    return t["pagereports"].where("redirect_hash <> '' AND crawled").select(*IDS, _key("url_hash").alias("url_hash"), _key("redirect_hash").alias("redirect_hash"))
+
+
+def _pages(t: Tables, where: str = "true") -> DataFrame:
+    return t["pagereports"].where(where).select(*IDS, _key("url_hash").alias("url_hash"))
 
 
 def redirect_chains(t: Tables) -> DataFrame:
@@ -63,59 +73,63 @@ def redirect_loops(t: Tables) -> DataFrame:
 
 
 def orphans(t: Tables) -> DataFrame:
-    return t["pagereports"].where("media_type = 'text/html'").join(t["links"].select("crawl_id", "url_hash"), ["crawl_id", "url_hash"], "left_anti").select(*IDS)
+    return _pages(t, "media_type = 'text/html'").join(t["links"].select("crawl_id", _key("url_hash").alias("url_hash")).distinct(), ["crawl_id", "url_hash"], "left_anti").select(*IDS)
 
 
 def nofollow_indexable(t: Tables) -> DataFrame:
-    links = t["links"].where("nofollow").select("pagereport_id", "crawl_id", "url_hash").distinct()
-    targets = t["pagereports"].where("crawled AND NOT noindex").select("crawl_id", "url_hash")
+    links = t["links"].where("nofollow").select("pagereport_id", "crawl_id", _key("url_hash").alias("url_hash")).distinct()
+    targets = _pages(t, "crawled AND NOT noindex").drop("id")
     return links.join(targets, ["crawl_id", "url_hash"]).select(F.col("pagereport_id").alias("id"), "crawl_id")
 
 
 def follow_nofollow(t: Tables) -> DataFrame:
-    both = t["links"].groupBy("crawl_id", "url_hash").agg(F.min("nofollow").alias("a"), F.max("nofollow").alias("b")).where("a <> b")
-    return t["pagereports"].join(both, ["crawl_id", "url_hash"], "left_semi").select(*IDS)
+    both = t["links"].groupBy("crawl_id", _key("url_hash").alias("url_hash")).agg(F.min("nofollow").alias("a"), F.max("nofollow").alias("b")).where("a <> b")
+    return _pages(t).join(both, ["crawl_id", "url_hash"], "left_semi").select(*IDS)
 
 
 def hreflang_return(t: Tables) -> DataFrame:
     h = t["hreflangs"]
-    lone = h.where("to_lang <> 'x-default'").join(h.select("crawl_id", F.col("to_hash").alias("from_hash")), ["crawl_id", "from_hash"], "left_anti")
+    asking = h.where("to_lang <> 'x-default'").select("pagereport_id", "crawl_id", _key("from_hash").alias("from_hash")).distinct()
+    lone = asking.join(h.select("crawl_id", _key("to_hash").alias("from_hash")).distinct(), ["crawl_id", "from_hash"], "left_anti")
     pages = t["pagereports"].where(f"status_code < 300 AND {SELF} AND crawled")
     return pages.join(lone.select("crawl_id", F.col("pagereport_id").alias("id")), IDS, "left_semi").select(*IDS).distinct()
 
 
 def hreflang_to_non_canonical(t: Tables) -> DataFrame:
-    pages = t["pagereports"].where(f"{HTML_OK} AND crawled AND {NON_CANONICAL}")
-    return pages.join(t["hreflangs"].select("crawl_id", F.col("to_hash").alias("url_hash")), ["crawl_id", "url_hash"]).select(*IDS)
+    pages = _pages(t, f"{HTML_OK} AND crawled AND {NON_CANONICAL}")
+    return pages.join(t["hreflangs"].select("crawl_id", _key("to_hash").alias("url_hash")), ["crawl_id", "url_hash"]).select(*IDS)
 
 
 def hreflang_no_indexable(t: Tables) -> DataFrame:
     return t["pagereports"].where("noindex AND crawled").join(t["hreflangs"].select("crawl_id", F.col("pagereport_id").alias("id")), IDS, "left_semi").select(*IDS)
 
 
+def _languages(t: Tables) -> DataFrame:
+    """(crawl_id, url_hash, several): whether alternates of more than one language lead to a page."""
+    langs = t["hreflangs"].where("to_lang <> 'x-default'").groupBy("crawl_id", _key("to_hash").alias("url_hash")).agg(F.min("to_lang").alias("a"), F.max("to_lang").alias("b"))
+    return langs.select("crawl_id", "url_hash", (F.col("a") != F.col("b")).alias("several"))
+
+
 def multiple_lang_reference(t: Tables) -> DataFrame:
-    many = t["hreflangs"].where("to_lang <> 'x-default'").groupBy(
-        "crawl_id",
-        F.col("to_hash").alias("url_hash"),
-    ).agg(F.count_distinct("to_lang").alias("n")).where("n > 1")
-    return t["pagereports"].join(many, ["crawl_id", "url_hash"], "left_semi").select(*IDS)
+    return _pages(t).join(_languages(t).where("several"), ["crawl_id", "url_hash"], "left_semi").select(*IDS)
 
 
 def canonicalized_to_non_canonical(t: Tables) -> DataFrame:
     p = t["pagereports"].where("crawled")
-    return p.where(NON_CANONICAL).join(p.where("canonical <> ''").select("crawl_id", F.col("canonical").alias("url")), ["crawl_id", "url"]).select(*IDS)
+    own = p.where(NON_CANONICAL).select(*IDS, _key("url").alias("url"))
+    return own.join(p.where("canonical <> ''").select("crawl_id", _key("canonical").alias("url")), ["crawl_id", "url"]).select(*IDS)
 
 
 def canonicalized_to_non_indexable(t: Tables) -> DataFrame:
     p = t["pagereports"]
-    bad = p.where(NON_CANONICAL).select("crawl_id", F.col("url").alias("canonical"))
-    return p.where("noindex").join(bad, ["crawl_id", "canonical"], "left_semi").select(*IDS)
+    bad = p.where(NON_CANONICAL).select("crawl_id", _key("url").alias("canonical"))
+    return p.where("noindex").select(*IDS, _key("canonical").alias("canonical")).join(bad, ["crawl_id", "canonical"], "left_semi").select(*IDS)
 
 
 def _hreflang_to(status: str) -> Callable[[Tables], DataFrame]:
     def find(t: Tables) -> DataFrame:
-        targets = t["pagereports"].where(status).select("crawl_id", F.col("url_hash").alias("to_hash"))
-        own = t["hreflangs"].join(targets, ["crawl_id", "to_hash"]).select("crawl_id", F.col("pagereport_id").alias("id"))
+        targets = t["pagereports"].where(status).select("crawl_id", _key("url_hash").alias("to_hash"))
+        own = t["hreflangs"].select("crawl_id", F.col("pagereport_id").alias("id"), _key("to_hash").alias("to_hash")).join(targets, ["crawl_id", "to_hash"]).select("crawl_id", "id")
         return t["pagereports"].join(own, IDS).select(*IDS)
 
     return find
@@ -123,8 +137,8 @@ def _hreflang_to(status: str) -> Callable[[Tables], DataFrame]:
 
 def _canonical_to(status: str) -> Callable[[Tables], DataFrame]:
     def find(t: Tables) -> DataFrame:
-        targets = t["pagereports"].where(status).select("crawl_id", F.col("url").alias("canonical"))
-        return t["pagereports"].where("canonical <> ''").join(targets, ["crawl_id", "canonical"]).select(*IDS)
+        targets = t["pagereports"].where(status).select("crawl_id", _key("url").alias("canonical"))
+        return t["pagereports"].where("canonical <> ''").select(*IDS, _key("canonical").alias("canonical")).join(targets, ["crawl_id", "canonical"]).select(*IDS)
 
     return find
 
@@ -176,23 +190,23 @@ def _exploded(rows: DataFrame, when: dict[int, str], codes: set[int]) -> DataFra
 
 
 def by_target(t: Tables, codes: set[int]) -> DataFrame:
-    links = t["links"].groupBy("crawl_id", "url_hash").agg(F.min("nofollow").alias("least"), F.max("nofollow").alias("most"), F.lit(True).alias("linked"))
-    langs = t["hreflangs"].where("to_lang <> 'x-default'").groupBy("crawl_id", F.col("to_hash").alias("url_hash")).agg(F.count_distinct("to_lang").alias("langs"))
-    rows = t["pagereports"].select(*IDS, "url_hash", "media_type")
+    links = t["links"].groupBy("crawl_id", _key("url_hash").alias("url_hash")).agg(F.min("nofollow").alias("least"), F.max("nofollow").alias("most"), F.lit(True).alias("linked"))
+    html = F.coalesce(F.col("media_type") == "text/html", F.lit(False)).alias("html")
+    rows = t["pagereports"].select(*IDS, _key("url_hash").alias("url_hash"), html)
     if codes & {30, 34}:
         rows = rows.join(links, ["crawl_id", "url_hash"], "left")
     if 58 in codes:
-        rows = rows.join(langs, ["crawl_id", "url_hash"], "left")
-    return _exploded(rows, {30: ("media_type = 'text/html' AND linked IS NULL", "id"), 34: ("least <> most", "id"), 58: ("langs > 1", "id")}, codes)
+        rows = rows.join(_languages(t), ["crawl_id", "url_hash"], "left")
+    return _exploded(rows, {30: ("html AND linked IS NULL", "id"), 34: ("least <> most", "id"), 58: ("several", "id")}, codes)
 
 
 def by_canonical(t: Tables, codes: set[int]) -> DataFrame:
     """Pairs of a page with a canonical (a) and the page that it names (b)."""
     p = t["pagereports"]
-    a = p.where("canonical <> ''").select("crawl_id", F.col("id").alias("a"), F.col("crawled").alias("a_crawled"), F.col("canonical").alias("url"))
+    a = p.where("canonical <> ''").select("crawl_id", F.col("id").alias("a"), F.col("crawled").alias("a_crawled"), _key("canonical").alias("url"))
     b = p.select(
         "crawl_id",
-        "url",
+        _key("url").alias("url"),
         F.col("id").alias("b"),
         F.col("crawled").alias("b_crawled"),
         F.expr(NON_CANONICAL).alias("other"),
@@ -216,12 +230,12 @@ def by_hreflang(t: Tables, codes: set[int]) -> DataFrame:
     )
     b = t["pagereports"].where(wanted).select(
         "crawl_id",
-        F.col("url_hash").alias("to_hash"),
+        _key("url_hash").alias("to_hash"),
         F.col("id").alias("b"),
         F.col("status_code").alias("status"),
         F.expr(f"{HTML_OK} AND crawled AND {NON_CANONICAL}").alias("other"),
     )
-    a = t["hreflangs"].select("crawl_id", "to_hash", F.col("pagereport_id").alias("a"))
+    a = t["hreflangs"].select("crawl_id", _key("to_hash").alias("to_hash"), F.col("pagereport_id").alias("a"))
     if codes & {39, 41}:
         known = t["pagereports"].select("crawl_id", F.col("id").alias("a"), F.lit(True).alias("known"))
         a = a.join(known, ["crawl_id", "a"], "left")
@@ -242,10 +256,13 @@ def by_redirect(t: Tables, codes: set[int]) -> DataFrame:
 def by_alternates(t: Tables, codes: set[int]) -> DataFrame:
     """Pages with alternates, and whether one of these is of a page that no alternate leads back to."""
     h = t["hreflangs"]
-    led_to = h.select("crawl_id", F.col("to_hash").alias("from_hash")).distinct().withColumn("linked", F.lit(True))
-    lone = F.expr("coalesce(to_lang <> 'x-default' AND linked IS NULL, false)")
-    own = h.join(led_to, ["crawl_id", "from_hash"], "left").groupBy("crawl_id", F.col("pagereport_id").alias("id")).agg(F.max(lone).alias("lone"))
-    return _exploded(t["pagereports"].join(own, IDS), {18: (f"lone AND status_code < 300 AND {SELF} AND crawled", "id"), 28: ("noindex AND crawled", "id")}, codes)
+    led_to = h.select("crawl_id", _key("to_hash").alias("from_hash")).distinct().withColumn("linked", F.lit(True))
+    # a page's alternates are folded before they are dealt out
+    asks = F.max(F.expr("coalesce(to_lang <> 'x-default', false)")).alias("asks")
+    each = h.groupBy("crawl_id", F.col("pagereport_id").alias("id"), _key("from_hash").alias("from_hash")).agg(asks)
+    own = each.join(led_to, ["crawl_id", "from_hash"], "left").groupBy(*IDS).agg(F.max(F.expr("asks AND linked IS NULL")).alias("lone"))
+    pages = t["pagereports"].select(*IDS, F.expr(f"status_code < 300 AND {SELF} AND crawled").alias("whole"), F.expr("noindex AND crawled").alias("hidden"))
+    return _exploded(pages.where("whole OR hidden").join(own, IDS), {18: ("lone AND whole", "id"), 28: ("hidden", "id")}, codes)
 
 
 SHARED = {BY_TARGET: by_target, BY_CANONICAL: by_canonical, BY_HREFLANG: by_hreflang, BY_REDIRECT: by_redirect, BY_ALTERNATES: by_alternates}
