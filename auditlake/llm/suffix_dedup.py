@@ -101,24 +101,29 @@ def suffix_array(x: np.ndarray, end: np.ndarray, real: np.ndarray, key: np.ndarr
     first = key[real]
     order = np.argsort(first, kind="stable")
     sa, first = real[order], first[order]
-    rank = np.zeros(len(x) + 1, np.int64)
+    del order
+    rank = np.zeros(len(x) + 1, real.dtype)
 
     def refine(slot: np.ndarray, pos: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Give the sorted suffixes `pos` at `slot` their group's rank; what stays tied."""
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(new)))
-        rank[pos] = np.repeat(slot[head], size) + 1
+        rank[pos] = np.repeat(slot[head] + 1, size)
         tied = np.repeat(size > 1, size)
         return slot[tied], pos[tied]
 
-    slot, pos = refine(np.arange(len(sa)), sa, np.concatenate([[True], first[1:] != first[:-1]]) if len(sa) else np.zeros(0, bool))
-    del first, order
+    slot, pos = refine(np.arange(len(sa), dtype=real.dtype), sa, np.concatenate([[True], first[1:] != first[:-1]]) if len(sa) else np.zeros(0, bool))
+    del first
     h = 8
     while len(pos) and h < depth:
-        k = rank[pos] * (len(x) + 1) + rank[np.minimum(pos + h, end[pos])]
+        # ranks take as many bits as places; two of them side by side need 64
+        k = rank[pos].astype(np.int64)
+        k *= len(x) + 1
+        k += rank[np.minimum(pos + h, end[pos])]
         order = np.argsort(k, kind="stable")
         # groups lie in order of rank, so the sorted suffixes fill the same slots again
         pos, k = pos[order], k[order]
+        del order
         sa[slot] = pos
         slot, pos = refine(slot, pos, np.concatenate([[True], k[1:] != k[:-1]]))
         h *= 2
@@ -129,7 +134,7 @@ def common_prefixes(sa: np.ndarray, end: np.ndarray, key: np.ndarray, most: int,
     """Common prefix of each suffix with the one before it in `sa`, up to `most`: Kasai's rule that a prefix shrinks by one
     at most from one position to the next, applied to all stretches of text in step."""
     n = len(end)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, end.dtype)
     before[sa[1:]] = sa[:-1]
     length = np.zeros(n, np.int32)
     base = np.arange(0, n, stretch)
@@ -167,20 +172,26 @@ def shard_windows(texts: list[bytes], starts: np.ndarray, weight: np.ndarray, wi
     for a, n in zip(at, sizes):
         inside[a : a + n] = True
     x[inside] += 1  # no UTF-8 byte is 255, so zero is free to stand behind each text
-    end = np.zeros(len(x) - 8, np.int64)
+    # places of a shard fit 32 bits unless a single text is larger
+    place = np.int32 if len(x) < 1 << 31 else np.int64
+    end = np.zeros(len(x) - 8, place)
     for a, n in zip(at, sizes):
         end[a : a + n + 8] = a + n
     key = np.zeros(len(end), U)
     for j in range(8):
-        key |= x[j : j + len(key)].astype(U) << U(56 - 8 * j)
-    real = np.flatnonzero(inside[: len(end)])
+        key <<= U(8)
+        key |= x[j : j + len(key)]
+    real = np.flatnonzero(inside[: len(end)]).astype(place)
+    del inside
     sa = suffix_array(x, end, real, key, window)
+    del real
     lcp = common_prefixes(sa, end, key, window)
-    group = np.cumsum(lcp < window)
+    del key
+    block = np.zeros(len(end), place)
+    block[sa] = np.cumsum(lcp < window, dtype=place)
+    del sa, lcp, end, x
     text = np.repeat(np.arange(len(texts)), starts)
     position = np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
-    block = np.zeros(len(end), np.int64)
-    block[sa] = group
     mine = block[at[text] + position]
     total = np.bincount(mine, weight[text])
     leader = np.zeros(len(mine), bool)
