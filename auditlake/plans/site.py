@@ -149,9 +149,9 @@ def with_id(pages: DataFrame) -> DataFrame:
     return pages.withColumn("id", F.regexp_extract("url", "/p[_ ]?([0-9]+)", 1).cast("long"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page records with the order's key as id."""
-    return with_id(html.page_records(responses(spark, sf_dir)))
+def records(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Page records with the order's key as id: their columns of these names, all where none are given, and crawl_id and url."""
+    return with_id(html.page_records(responses(spark, sf_dir), columns=["crawl_id", "url", *columns] if columns else None))
 
 
 def absolute(ref: str) -> str:
@@ -353,7 +353,7 @@ def misnested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the parser finds in misnested pages."""
     links = F.array_join(F.transform("links", lambda x: F.concat(x["url"], F.lit(" "), x["text"])), "; ")
     columns = ["url", "title", "description", "h1", "h2", "words", "dom.n_elements", "dom.n_body_child_meta", F.size("images").alias("n_images"), links.alias("links")]
-    return html.page_records(misnested_responses(spark, sf_dir)).select(*columns)
+    return html.page_records(misnested_responses(spark, sf_dir), columns=["url", "title", "description", "h1", "h2", "words", "dom", "images", "links"]).select(*columns)
 
 
 def misnested_sql() -> str:
