@@ -36,6 +36,8 @@ from auditlake.llm import text as tx
 U = np.uint64
 GRAM = 64
 STEP = 1 << 21
+#: Bytes of text whose words or windows are hashed at a time: a worker keeps the powers that this takes.
+PIECE = 1 << 18
 LOW = U((1 << 22) - 1)
 
 
@@ -72,7 +74,7 @@ NAMED = ["doc_id", "k"]
 
 
 def _context_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in tx.pieces(batches):
+    for batch in tx.pieces(batches, most=PIECE):
         data, offs = tx.utf8(batch.column(2))
         rows, own = [], []
         for i in np.flatnonzero(np.diff(offs) >= window):
@@ -183,7 +185,8 @@ def shard_windows(texts: list[bytes], starts: np.ndarray, weight: np.ndarray, wi
         key |= x[j : j + len(key)]
     real = np.flatnonzero(inside[: len(end)]).astype(place)
     del inside
-    sa = suffix_array(x, end, real, key, window)
+    # sorted to the texts' ends, since Kasai's rule fails where suffixes tied at a lesser depth part behind it
+    sa = suffix_array(x, end, real, key, int(sizes.max(initial=window)))
     del real
     lcp = common_prefixes(sa, end, key, window)
     del key
@@ -209,8 +212,26 @@ def spans_of(text: np.ndarray, position: np.ndarray, window: int) -> tuple[np.nd
     return text[head], position[head], position[last] + window
 
 
-def _shard(table: pa.Table, window: int) -> pa.Table:
-    """One shard's rows (shard, anchor, ctx, m, n, hot, z) to spans, and for hot anchors to the hashes of distinct windows."""
+def _shard(table: pa.Table, window: int, most: int = 1 << 19) -> pa.Table:
+    """One shard's rows (shard, anchor, ctx, m, n, hot, z) to spans, and for hot anchors to the hashes of distinct windows.
+
+    Equal windows have equal anchors, so whole anchors are taken together up to `most` bytes of text at a time: memory is that
+    of the largest anchor, or of `most` bytes, whatever falls into one shard."""
+    anchor = np.asarray(table["anchor"])
+    order = np.argsort(anchor, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+    size = np.add.reduceat(np.asarray(table["n"])[order] + (window - 1), head)
+    cuts, held = [], 0
+    for a, n in zip(head, size):
+        if held and held + n > most:
+            cuts.append(a)
+            held = 0
+        held += n
+    return pa.concat_tables([_anchors(table.take(pa.array(rows)), window) for rows in np.split(order, cuts)])
+
+
+def _anchors(table: pa.Table, window: int) -> pa.Table:
+    """What _shard() gives, of rows that are sorted together."""
     z = zstandard.ZstdDecompressor()
     texts = [z.decompress(t) for t in table["z"].to_pylist()]
     hot = np.asarray(table["hot"])
@@ -332,11 +353,13 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, z, spans, w, text) to what is left; a text is packed in z, or else plain."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         size, gone, runs, digest, kept = [], [], [], [], []
-        for z, spans in zip(batch.column(1), batch.column(2)):
-            text, out, at, n = unpack.decompress(z.as_py()), [], 0, 0
+        for z, spans, plain in zip(batch.column(1), batch.column(2), batch.column(4)):
+            text = unpack.decompress(z.as_py()) if z.is_valid else (plain.as_py() or "").encode()
+            out, at, n = [], 0, 0
             last = -1
             for a, b in sorted((x["a"], x["b"]) for x in spans.as_py() or ()):
                 n += a > last
@@ -361,7 +384,7 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterato
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch], words: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in tx.pieces(batches):
+    for batch in tx.pieces(batches, most=PIECE):
         h, first = _word_hashes(batch.column(2))
         rows = [(i, *contexts(h[first[i] : first[i + 1]], words, gram)) for i in np.flatnonzero(np.diff(first) >= words)]
         if rows:
@@ -513,10 +536,10 @@ def remove_repeats(
     spans = tx.written(spans, "spans")
     inside, outside = _parted(named, spans, most_broadcast)
     inside = packed(inside)
-    kept = both(inside, spans, "left" if outside is None else "inner").select(inside.doc_id, "z", "spans", "w")
-    if outside is not None:  # texts without a repeat are not shuffled
-        none = [F.lit(None).cast(spans.schema[x].dataType).alias(x) for x in ("spans", "w")]
-        kept = kept.union(packed(outside).select("doc_id", "z", *none))
+    kept = both(inside, spans, "left" if outside is None else "inner").select(inside.doc_id, "z", "spans", "w", F.lit(None).cast("string").alias("text"))
+    if outside is not None:  # texts without a repeat are not shuffled, and so not packed: a task has one Python worker
+        none = [F.lit(None).cast(kept.schema[x].dataType).alias(x) for x in ("z", "spans", "w")]
+        kept = kept.union(outside.select("doc_id", *none, "text"))
     kept = kept.mapInArrow(
         lambda b: _kept_batches(b, with_text),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_windows long, kept binary",
