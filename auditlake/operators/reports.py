@@ -122,9 +122,18 @@ def link_totals(counters: DataFrame) -> DataFrame:
     )
 
 
+def pages_by_type(issues: DataFrame) -> DataFrame:
+    """(issue_type_id, n): distinct pages of each type. A page's types are the bits of a word for each 64 codes, so that a page is
+    shuffled once and not once an issue."""
+    word, bit = F.shiftright("issue_type_id", 6), F.expr("shiftleft(1L, CAST(issue_type_id & 63 AS INT))")
+    pages = issues.where("pagereport_id IS NOT NULL").groupBy("pagereport_id", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    codes = pages.select(F.expr("explode(transform(filter(sequence(0, 63), b -> (shiftright(bits, b) & 1) = 1), b -> CAST(64 * word + b AS INT)))").alias("issue_type_id"))
+    return codes.groupBy("issue_type_id").agg(F.count("*").alias("n"))
+
+
 def issues_count(issues: DataFrame, types: DataFrame) -> DataFrame:
     """Every issue type with its priority and the number of its pages, zero for those that passed: one frame for the dashboard."""
-    found = issues.groupBy("issue_type_id").agg(F.count_distinct("pagereport_id").alias("n"))
+    found = pages_by_type(issues)
     return F.broadcast(types).join(found, "issue_type_id", "left").select("type", "priority", F.coalesce("n", F.lit(0)).alias("n"))
 
 
