@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import posixpath
+import re
+from functools import lru_cache
 from urllib.parse import urlsplit, urlunsplit
 
 from pyspark.sql import Column
@@ -89,3 +91,35 @@ def resolve(ref: str, page: str, base: str | None = None) -> str | None:
     if target.scheme not in ("http", "https"):
         return None
     return urlunsplit((target.scheme, target.netloc, target.path or "/", target.query, ""))
+
+
+#: References and pages without anything that resolving changes: no dot segments, empty ones, or characters that are dropped.
+_PLAIN = re.compile(r"(/?)((?:[A-Za-z0-9_~-][A-Za-z0-9_.~-]*/)*[A-Za-z0-9_~-][A-Za-z0-9_.~-]*/?)(\?[A-Za-z0-9_.~=&%+-]+)?(?:#[A-Za-z0-9_.~=&%+/-]*)?")
+_WHOLE = re.compile(r"(https?://[A-Za-z0-9.-]+(?::[0-9]+)?)(/[A-Za-z0-9_.~/%+=,-]*(?:\?[A-Za-z0-9_.~=&%+/-]+)?)?(?:#[A-Za-z0-9_.~=&%+/-]*)?")
+_PAGE = re.compile(r"(https?://[A-Za-z0-9.-]+(?::[0-9]+)?/(?:[A-Za-z0-9_.~%/+-]*/)?)[^?#/]*")
+
+
+@lru_cache(1024)
+def _prefixes(folder: str, base: str | None) -> tuple[str | None, str | None]:
+    """What a plain reference is put behind, without and with a slash in front of it; None where resolving does more."""
+    found = [resolve(ref, folder, base) for ref in ("x", "/x")]
+    return tuple(x[:-1] if x and x.endswith("/x") else None for x in found)
+
+
+class Resolver:
+    """resolve() for many references of one page: plain ones are put behind a prefix."""
+
+    def __init__(self, page: str, base: str | None = None):
+        self.page, self.base = page, base
+        own = _PAGE.fullmatch(page)
+        self.prefixes = _prefixes(own[1], base) if own else (None, None)
+
+    def __call__(self, ref: str) -> str | None:
+        if m := _PLAIN.fullmatch(ref):
+            if prefix := self.prefixes[m[1] != ""]:
+                return prefix + m[2] + m[3] if m[3] and self.base is None else prefix + m[2]
+        elif m := _WHOLE.fullmatch(ref):
+            return m[1] + (m[2] or "/")
+        elif ref.startswith(("mailto:", "tel:", "javascript:")):
+            return None
+        return resolve(ref, self.page, self.base)
