@@ -50,16 +50,16 @@ def page_table(records: DataFrame) -> DataFrame:
     return _cut(flat.withColumn("url_hash", url_hash(F.col("url"))).withColumn("redirect_hash", redirect))
 
 
+def child_columns(name: str) -> list[str]:
+    """The record's columns that a child table is made of, beside the page's keys."""
+    return [CHILDREN[name][0], *["lang"][: name == "hreflangs"]]
+
+
 def child_table(records: DataFrame, name: str) -> DataFrame:
     """Rows of one child table: pagereport_id, crawl_id, line (its place on the page), and its own columns."""
     column, names = CHILDREN[name]
-    rows = records.select(
-        F.col("id").alias("pagereport_id"),
-        "crawl_id",
-        F.col("url").alias("page_url"),
-        F.col("lang").alias("page_lang"),
-        F.posexplode(column).alias("line", "x"),
-    )
+    of_page = [F.col("url").alias("page_url"), F.col("lang").alias("page_lang")] if name == "hreflangs" else []
+    rows = records.select(F.col("id").alias("pagereport_id"), "crawl_id", *of_page, F.posexplode(column).alias("line", "x"))
     if name == "hreflangs":
         return rows.select(
             "pagereport_id",
