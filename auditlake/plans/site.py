@@ -149,9 +149,14 @@ def with_id(pages: DataFrame) -> DataFrame:
     return pages.withColumn("id", F.regexp_extract("url", "/p[_ ]?([0-9]+)", 1).cast("long"))
 
 
-def records(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Page records with the order's key as id: their columns of these names, all where none are given, and crawl_id and url."""
-    return with_id(html.page_records(responses(spark, sf_dir), columns=["crawl_id", "url", *columns] if columns else None))
+def records(spark: SparkSession, sf_dir: str, *columns: str, page: int | None = None) -> DataFrame:
+    """Page records with the order's key as id: their columns of these names, all where none are given, and crawl_id and url.
+
+    page: the id of the only page that is wanted, whose response is looked for before any is parsed."""
+    found = responses(spark, sf_dir)
+    if page is not None:
+        found = with_id(found).where(F.col("id") == page).drop("id")
+    return with_id(html.page_records(found, columns=["crawl_id", "url", *columns] if columns else None))
 
 
 def absolute(ref: str) -> str:

@@ -7,6 +7,7 @@ import pytest
 from auditlake.functions.urls import Resolver, resolve
 from auditlake.operators.lifecycle import child_columns
 from auditlake.plans import site
+from auditlake.plans.queries import EXTERNAL
 from auditlake.sources import html
 from auditlake.sources.tree import Tree
 
@@ -102,11 +103,17 @@ def test_columns_without_their_elements_take_no_parse(monkeypatch):
     assert html.parse(r, frozenset({"scripts", "url"}))["scripts"] == []
 
 
+def test_child_tables_ask_for_their_own_columns():
+    assert (child_columns("styles"), child_columns("hreflangs")) == (["styles"], ["hreflangs", "lang"])
+
+
 def test_headers_of_null_maps_and_lists(spark):
     rows = [(1, "http://a.example/", 200, h, "<title>t</title>", 1, 1, 1, True, False, False) for h in (None, {}, {"Content-Type": None}, {"content-TYPE": ["text/html", "x"], "X-Robots-Tag": ["none"]})]
     found = html.page_records(spark.createDataFrame(rows, html.RESPONSE), columns=["crawl_id", "title", "crawled"]).collect()
     assert sorted((r.title, r.crawled) for r in found) == [("", True), ("", True), ("", True), ("t", False)]
 
 
-def test_child_tables_ask_for_their_own_columns():
-    assert (child_columns("styles"), child_columns("hreflangs")) == (["styles"], ["hreflangs", "lang"])
+def test_one_page_is_looked_for_before_any_is_parsed(spark):
+    table = EXTERNAL(spark, "/root/testdata/sf0.001", 5)["external_links"]
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[plan.index("MapInArrow") :] and {r.pagereport_id for r in table.collect()} == {5}
